@@ -49,3 +49,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training:
     )
     texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).select("_id", "text", "label")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def annotate(df: DataFrame, text: str, fn: Callable[[list[str | None]], pa.Array], kind: str, name: str) -> tuple[DataFrame, str]:
+    """df with one more column, fn of the text column's values batch by batch; also that column's name.
+
+    The other columns pass through untouched, whatever they are called."""
+    from pyspark.sql.types import StructType
+
+    name = fresh(df, name)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, fn(batch.column(at).to_pylist())], names=[*batch.schema.names, name])
+
+    schema = StructType(df.schema.fields + StructType.fromDDL(f"`{name}` {kind}").fields)
+    prepare(df.sparkSession)
+    return df.mapInArrow(run, schema), name

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from millrace.llm.byte_bpe import op9_byte_bpe
+from millrace.llm.decontaminate import op7_benchmark_decontamination
 from millrace.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
