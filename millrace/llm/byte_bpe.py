@@ -287,8 +287,8 @@ def decode(encoded: DataFrame, path: str, pre_tokens: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *more)
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from millrace.llm.byte_bpe import op9_byte_bpe
 from millrace.llm.decontaminate import op7_benchmark_decontamination
 from millrace.llm.pii_crf import op6_pii_crf
@@ -9,6 +10,7 @@ from millrace.llm.quality_rank import op8_quality_bradley_terry
 from millrace.llm.simhash_golay import op10_simhash_golay
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op6_pii_crf": op6_pii_crf,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_bradley_terry": op8_quality_bradley_terry,

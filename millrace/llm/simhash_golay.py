@@ -172,13 +172,15 @@ def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the least id stays, once; all columns kept.
+    """docs without near-duplicates: of each component the row with the least id stays; all columns kept.
 
-    Documents without an id can't be told apart by one: they stay where their component has no id at all."""
-    found = near_duplicates(docs, most_bits)
+    Where ids repeat or are null, rows with equal id and text collapse to one, and a row without an id stays only
+    where no row of its component has one. With unique ids, the usual case, texts aren't shuffled for that."""
+    found = near_duplicates(docs, most_bits).checkpoint()
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n")))).first()[0]
+    return out.dropDuplicates(["doc_id", "text"]) if (rows or 0) > 1 else out
 
 
 def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:
