@@ -8,9 +8,11 @@ from millrace.llm.decontaminate import op7_benchmark_decontamination
 from millrace.llm.pii_crf import op6_pii_crf
 from millrace.llm.quality_rank import op8_quality_bradley_terry
 from millrace.llm.simhash_golay import op10_simhash_golay
+from millrace.llm.toxicity import op5_toxicity_grammar
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op5_toxicity_grammar": op5_toxicity_grammar,
     "op6_pii_crf": op6_pii_crf,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_bradley_terry": op8_quality_bradley_terry,
