@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from millrace.llm.byte_bpe import op9_byte_bpe
 from millrace.llm.decontaminate import op7_benchmark_decontamination
+from millrace.llm.divergence import op3_distribution_divergence
 from millrace.llm.pii_crf import op6_pii_crf
 from millrace.llm.quality_rank import op8_quality_bradley_terry
 from millrace.llm.simhash_golay import op10_simhash_golay
@@ -12,6 +13,7 @@ from millrace.llm.toxicity import op5_toxicity_grammar
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op3_distribution_divergence": op3_distribution_divergence,
     "op5_toxicity_grammar": op5_toxicity_grammar,
     "op6_pii_crf": op6_pii_crf,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
