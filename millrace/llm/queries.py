@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from millrace.llm.brown_lm import op4_brown_class_lm
 from millrace.llm.byte_bpe import op9_byte_bpe
 from millrace.llm.decontaminate import op7_benchmark_decontamination
 from millrace.llm.divergence import op3_distribution_divergence
@@ -14,6 +15,7 @@ from millrace.llm.toxicity import op5_toxicity_grammar
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op3_distribution_divergence": op3_distribution_divergence,
+    "op4_brown_class_lm": op4_brown_class_lm,
     "op5_toxicity_grammar": op5_toxicity_grammar,
     "op6_pii_crf": op6_pii_crf,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
