@@ -9,11 +9,13 @@ from millrace.llm.decontaminate import op7_benchmark_decontamination
 from millrace.llm.divergence import op3_distribution_divergence
 from millrace.llm.pii_crf import op6_pii_crf
 from millrace.llm.quality_rank import op8_quality_bradley_terry
+from millrace.llm.resharding import op2_min_cost_resharding
 from millrace.llm.simhash_golay import op10_simhash_golay
 from millrace.llm.toxicity import op5_toxicity_grammar
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op2_min_cost_resharding": op2_min_cost_resharding,
     "op3_distribution_divergence": op3_distribution_divergence,
     "op4_brown_class_lm": op4_brown_class_lm,
     "op5_toxicity_grammar": op5_toxicity_grammar,
