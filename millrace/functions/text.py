@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,3 +58,8 @@ def word_count(text: Column) -> Column:
 def gram_words(text: Column) -> Column:
     """Lower-case ASCII letter and digit runs, as an array."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: inside a lambda a plain expression would be computed each time."""
+    return F.transform(F.array(value), body)[0]
