@@ -40,10 +40,10 @@ def _verdict_sql() -> str:
         if fixed:
             parts.append(f"SELECT {index} AS idx, false AS match, '{fixed}' AS category")
         elif index == 9:
-            parts.append(f"SELECT {index}, false, 'ok'")  # text and number never match
+            parts.append(f"SELECT {index} AS idx, false AS match, 'ok' AS category")  # text and number never match
         else:
             parts.append(
-                f"SELECT {index}, NOT EXISTS (({gold}) EXCEPT ({predicted})) AND NOT EXISTS (({predicted}) EXCEPT ({gold})), CASE WHEN NOT EXISTS ({gold}) AND NOT EXISTS ({predicted}) THEN 'empty' ELSE 'ok' END"
+                f"SELECT {index} AS idx, NOT EXISTS (({gold}) EXCEPT ({predicted})) AND NOT EXISTS (({predicted}) EXCEPT ({gold})) AS match, CASE WHEN NOT EXISTS ({gold}) AND NOT EXISTS ({predicted}) THEN 'empty' ELSE 'ok' END AS category"
             )
     return " UNION ALL ".join(parts)
 

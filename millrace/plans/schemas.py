@@ -80,7 +80,7 @@ def foreign_key_neighbours(spark, sf_dir):
     return schemas.kept_tables(_queries(spark), _columns(spark, sf_dir), _foreign(spark)).select("query", "table")
 
 
-@query("compact_schema", "SELECT * FROM (VALUES (1, 'region', 105::BIGINT), (2, 'region', 105)) AS t(level, \"table\", chars)")
+@query("compact_schema", "SELECT level, 'region' AS \"table\", length('CREATE TABLE \"region\" (' || chr(10) || '  \"r_regionkey\" int,' || chr(10) || '  \"r_name\" string,' || chr(10) || '  PRIMARY KEY (\"r_regionkey\")' || chr(10) || ');') AS chars FROM (VALUES (1), (2)) AS t(level)")
 def compact_schema(spark, sf_dir):
     columns, foreign = _columns(spark, sf_dir), _foreign(spark)
     parts = [schemas.compact(columns, foreign, cap).select(F.lit(k).alias("level"), "table", F.length("ddl").cast("long").alias("chars")) for k, cap in ((1, None), (2, schemas.MOST_COLUMNS))]
