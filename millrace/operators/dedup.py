@@ -134,7 +134,7 @@ def near_dropped(docs: DataFrame, rules: NearRules = NearRules(), seq: str = "se
 def with_near_verdict(docs: DataFrame, rules: NearRules = NearRules(), seq: str = "seq") -> DataFrame:
     """docs with `verdict`: too_short (kept), near_duplicate or kept."""
     gone = near_dropped(docs, rules, seq).select(F.col("seq").alias("_gone"))
-    short = F.size(T.gram_words(F.col("text"))) < rules.shingle_size
+    short = F.size(T.gram_words(F.coalesce("text", F.lit("")))) < rules.shingle_size
     joined = docs.join(gone, F.col(seq) == F.col("_gone"), "left")
     return joined.withColumn("verdict", F.when(F.col("_gone").isNotNull(), "near_duplicate").when(short, "too_short").otherwise("kept")).drop("_gone")
 

@@ -58,15 +58,18 @@ class TimedOut(RuntimeError):
 
 def within(spark: SparkSession, seconds: float, action: Callable[[], object]) -> object:
     """The action's result; TimedOut if its jobs were cancelled at the deadline."""
-    context, group, late = spark.sparkContext, f"millrace-{uuid.uuid4()}", threading.Event()
+    context, group = spark.sparkContext, f"millrace-{uuid.uuid4()}"
+    done, late = threading.Event(), threading.Event()
 
-    def stop() -> None:
+    def watch() -> None:
+        if done.wait(seconds):
+            return
         late.set()
-        context.cancelJobGroup(group)
+        while not done.wait(0.25):  # the deadline may pass before a job starts, and one query may start several
+            context.cancelJobGroup(group)
 
-    timer = threading.Timer(seconds, stop)
     context.setJobGroup(group, "guarded query", interruptOnCancel=True)
-    timer.start()
+    threading.Thread(target=watch, daemon=True).start()
     try:
         return action()
     except Exception as error:
@@ -74,7 +77,7 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object]) ->
             raise TimedOut(f"timeout: query exceeded {seconds:g} s") from error
         raise
     finally:
-        timer.cancel()
+        done.set()
         for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
             context.setLocalProperty(key, None)
 
