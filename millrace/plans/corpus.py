@@ -43,7 +43,7 @@ def clean_documents(spark, sf_dir):
     return _cleaned(spark, sf_dir).select("seq", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-@query("clean_counters", f"WITH {CLEANED_SQL} SELECT count(*) AS docs_in, count_if(verdict = 'kept') AS docs_out, count_if(verdict = 'short') AS dropped_short, count_if(verdict = 'long') AS dropped_long, count_if(verdict = 'nonprintable') AS dropped_nonprintable FROM judged")
+@query("clean_counters", f"WITH {CLEANED_SQL} SELECT count(*) AS docs_in, CAST(count_if(verdict = 'kept') AS BIGINT) AS docs_out, CAST(count_if(verdict = 'short') AS BIGINT) AS dropped_short, CAST(count_if(verdict = 'long') AS BIGINT) AS dropped_long, CAST(count_if(verdict = 'nonprintable') AS BIGINT) AS dropped_nonprintable FROM judged")
 def clean_counters(spark, sf_dir):
     verdict = lambda v: F.count_if(F.col("verdict") == v)
     return clean.with_verdict(_docs(spark, sf_dir)).agg(F.count("*").alias("docs_in"), verdict("kept").alias("docs_out"), verdict("short").alias("dropped_short"), verdict("long").alias("dropped_long"), verdict("nonprintable").alias("dropped_nonprintable"))
@@ -156,7 +156,7 @@ def ddl_lookup_join(spark, sf_dir):
 
 
 TARGETS = [("src0", 20_000), ("src1", 10_000), ("src2", 500_000), ("absent", 1_000)]
-_TARGETS_SQL = "(VALUES " + ", ".join(f"({k}, '{s}', {t})" for k, (s, t) in enumerate(TARGETS)) + ") AS c(ord, source, target)"
+_TARGETS_SQL = "(VALUES " + ", ".join(f"({k}, '{s}', {t}::BIGINT)" for k, (s, t) in enumerate(TARGETS)) + ") AS c(ord, source, target)"
 
 
 @query(

@@ -69,7 +69,7 @@ def execution_verdicts(spark, sf_dir):
     return _verdicts(spark, sf_dir)
 
 
-@query("gold_check", f"SELECT {len(EXAMPLES)} AS total, {len(EXAMPLES) - 1} AS passed, 1 AS failures")
+@query("gold_check", f"SELECT {len(EXAMPLES)}::BIGINT AS total, {len(EXAMPLES) - 1}::BIGINT AS passed, 1::BIGINT AS failures")
 def gold_check(spark, sf_dir):
     _views(spark, sf_dir)
     return reports.gold_check(execute.Scorer(spark, seconds=60).score_all([(i, gold, gold) for i, _, gold, _, _, _ in EXAMPLES]))
@@ -80,7 +80,7 @@ _SCORED = f"WITH {VERDICTS_SQL}, ex AS (SELECT * FROM (VALUES " + ", ".join(f"({
 
 @query(
     "accuracy_report",
-    _SCORED + " SELECT part, name, total, correct, CASE WHEN total = 0 THEN 0.0 ELSE correct / total END AS ex FROM (SELECT 'overall' AS part, 'all' AS name, count(*) AS total, count_if(match) AS correct FROM scored UNION ALL SELECT 'difficulty', d, count(idx), count_if(match) FROM (VALUES ('simple'), ('moderate'), ('challenging')) v(d) LEFT JOIN scored ON difficulty = d GROUP BY d UNION ALL SELECT 'category', category, count(*), count_if(match) FROM scored GROUP BY category)",
+    _SCORED + " SELECT part, name, total, correct, CASE WHEN total = 0 THEN 0.0 ELSE correct / total END AS ex FROM (SELECT 'overall' AS part, 'all' AS name, count(*) AS total, count_if(match)::BIGINT AS correct FROM scored UNION ALL SELECT 'difficulty', d, count(idx), count_if(match)::BIGINT FROM (VALUES ('simple'), ('moderate'), ('challenging')) v(d) LEFT JOIN scored ON difficulty = d GROUP BY d UNION ALL SELECT 'category', category, count(*), count_if(match)::BIGINT FROM scored GROUP BY category)",
 )
 def accuracy_report(spark, sf_dir):
     verdicts = _verdicts(spark, sf_dir).where(F.col("index") != MISSING)
@@ -92,7 +92,7 @@ def _schema(spark, sf_dir):
     return spark.createDataFrame(rows, "db_id string, table string, column string")
 
 
-@query("diagnose_splits", _SCORED + ", j AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{'0-1' if g.count(' JOIN ') <= 1 else '2+'}')" for i, _, g, *_ in EXAMPLES) + ") AS t(idx, joins)) SELECT part, name, total, correct, correct / total AS ex FROM (SELECT 'difficulty' AS part, difficulty AS name, count(*) AS total, count_if(match) AS correct FROM scored GROUP BY difficulty UNION ALL SELECT 'joins', joins, count(*), count_if(match) FROM scored JOIN j USING (idx) GROUP BY joins)")
+@query("diagnose_splits", _SCORED + ", j AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{'0-1' if g.count(' JOIN ') <= 1 else '2+'}')" for i, _, g, *_ in EXAMPLES) + ") AS t(idx, joins)) SELECT part, name, total, correct, correct / total AS ex FROM (SELECT 'difficulty' AS part, difficulty AS name, count(*) AS total, count_if(match)::BIGINT AS correct FROM scored GROUP BY difficulty UNION ALL SELECT 'joins', joins, count(*), count_if(match)::BIGINT FROM scored JOIN j USING (idx) GROUP BY joins)")
 def diagnose_splits(spark, sf_dir):
     verdicts = _verdicts(spark, sf_dir).where(F.col("index") != MISSING)
     return reports.split_panel(reports.diagnose(_examples(spark), _predictions(spark), verdicts, _schema(spark, sf_dir)))
