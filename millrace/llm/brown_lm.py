@@ -267,17 +267,19 @@ def _score_batches(shared):
 def score(docs: DataFrame, learned: Learned) -> DataFrame:
     """(doc_id, text, held_out) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "held_out", "text", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("doc_id", "text"), F.crc32(F.coalesce("text", F.lit("")))).alias("row"))
+    rows = docs.select("doc_id", "held_out", "text", F.xxhash64("doc_id", "text").alias("row"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    part = map_arrow(rows, _score_batches(spark.sparkContext.broadcast(learned.model)), f"doc_id {kind}, held_out boolean, row string, n_tokens long, seen long, base double, score double, words array<binary>, times array<int>").checkpoint()
-    # words that are not broadcast, of each row; equal rows have equal words, so their sums are divided by their number
-    tail = part.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    part = map_arrow(rows, _score_batches(spark.sparkContext.broadcast(learned.model)), f"doc_id {kind}, held_out boolean, row long, n_tokens long, seen long, base double, score double, words array<binary>, times array<int>").checkpoint()
+    # words that are not broadcast, of each row, which its id and hash name; equal rows have equal words, so their sums
+    # are divided by their number
+    tail = part.where(F.size("words") > 0).select("doc_id", "row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("doc_id", "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rare = learned.rare.select(F.col("word").alias("rare"), F.col("n"))
-    priced = tail.join(rare, F.col("word") == F.col("rare"), "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
-    twice = part.groupBy("row").agg(F.count("*").alias("copies")).where("copies > 1")
-    priced = priced.join(twice, "row", "left").select(F.col("row").alias("_row"), (F.col("more") / F.coalesce("copies", F.lit(1))).alias("more"), F.floor(F.col("found") / F.coalesce("copies", F.lit(1))).cast("long").alias("found"))
+    priced = tail.join(rare, F.col("word") == F.col("rare"), "left").groupBy("doc_id", "row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
+    priced = priced.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "more", "found")
+    copies = part.groupBy("doc_id", "row").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("doc_id").alias("_i"), F.col("row").alias("_r"), "copies")
+    priced = priced.join(copies, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left").select("_id", "_row", (F.col("more") / F.coalesce("copies", F.lit(1))).alias("more"), F.floor(F.col("found") / F.coalesce("copies", F.lit(1))).cast("long").alias("found"))
     more = F.coalesce("more", F.lit(0.0))
-    return part.join(priced, F.col("row") == F.col("_row"), "left").select(
+    return part.join(priced, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(learned.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
     )
 
