@@ -41,7 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None, pre_tokens: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): ids as little-endian unsigned 32-bit integers."""
     vocabulary = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pre_tokens
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, *vocabulary), *vocabulary), "ids")
+    return byte_bpe.digests(byte_bpe.round_trip(docs, *vocabulary), "ids")
 
 
 STAGES = [

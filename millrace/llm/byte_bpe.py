@@ -287,6 +287,20 @@ def decode(encoded: DataFrame, path: str, pre_tokens: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids binary, bytes binary")
 
 
+def round_trip(docs: DataFrame, path: str, pre_tokens: str) -> DataFrame:
+    """(doc_id, text) -> (doc_id, ids, bytes): encode, then decode the ids, in one pass over the texts and one worker."""
+    shared = share(docs.sparkSession, path, pre_tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        own = codec(shared)
+        for batch in batches:
+            ids = own.encode_all(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "bytes"])
+
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    return map_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, bytes binary")
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), *more)
 
@@ -295,4 +309,4 @@ def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return digests(decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), *vocabulary), *vocabulary))
+    return digests(round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), *vocabulary))
