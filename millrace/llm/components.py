@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 No neighbour list is ever gathered: each round is a minimum per node (combined before the shuffle) joined back to
-the edges, and a checkpoint in the shared folder cuts the lineage, so lost executors cost one round at most."""
+the edges, and a checkpoint in the shared folder cuts the lineage, so lost executors cost one round at most. Rows of a
+node with very many links stay where they are in that join (see look_up)."""
 
 from __future__ import annotations
 
@@ -11,21 +12,36 @@ from pyspark.sql import functions as F
 from millrace.session import ensure_checkpoint_dir
 
 
+#: Keys with more than one part in HOT_PARTS of all rows are hot; there are fewer than HOT_PARTS of them, whatever the size.
+HOT_PARTS = 1024
+
+
+def look_up(rows: DataFrame, answers: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of answers(key, n, ...) but n: n says how many of the rows hold the key, total at least how many there are.
+
+    The answers of hot keys, fewer than HOT_PARTS, are broadcast, so that no task gets all rows of a hot key; the others
+    meet by key. Rows whose key is null or has no answer are left out, as by an inner join."""
+    hot = answers.where(F.col("n") * HOT_PARTS > total).drop("n")
+    cold = answers.where(F.col("n") * HOT_PARTS <= total).drop("n")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key))
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return look_up(both.where("v > u"), least, "u", 2 * links).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("w"), "m")
-    moved = edges.join(least, F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b"))).distinct()
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = look_up(edges, least, "a", links).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -38,7 +54,7 @@ def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if not mark[0]:
             break
-        now = _small_star(_large_star(now)).checkpoint()
+        now = _small_star(_large_star(now, mark[0]), mark[0]).checkpoint()  # a large star has no more links than it had
         was, mark = mark, _mark(now)
         if was == mark:
             break

@@ -11,7 +11,8 @@ them. Two words at distance two or less always share such a codeword. A key is t
 (combination, two exact blocks, 12-bit codeword index): about 34 bits, about 96 keys for each distinct fingerprint,
 and about one chance candidate in 10^8 pairs. Candidates meet in an equi-join whose condition verifies the distance
 and keeps one of the combinations that find a pair. Nothing is capped; equal fingerprints are collapsed first, so
-groups of exact copies cost one row.
+groups of exact copies cost one row. The rows of a fingerprint, or the fingerprints of a component, that hold more than
+one part in 1,024 of all are named by a broadcast of at most 1,023 rows and never meet in a task.
 
 Null and empty texts have fingerprint zero and link like any other; ids may repeat; a null id takes part but never
 names a component (component_id is null if all ids of a component are)."""
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, utf8
-from millrace.llm.components import stars
+from millrace.llm.components import look_up, stars
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: (first bit, bits) of the segments, and of the two blocks of each.
@@ -161,14 +162,14 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, text, ...) -> (doc_id, fp, component_id): one row a document, component_id the least doc_id reachable."""
     marks = fingerprints(docs).checkpoint()
-    of_text = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    of_text = marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     star = stars(links(marks.select("fp").distinct(), most_bits)).checkpoint()
     member = star.select(F.col("node").alias("fp"), "root").unionByName(star.select(F.col("root").alias("fp"), "root").distinct())
-    joined = member.join(of_text, "fp")
-    least = joined.groupBy("root").agg(F.min("least").alias("first"))
-    named = joined.join(least, "root").select("fp", "first")
-    classes = of_text.join(named, "fp", "left").select("fp", F.coalesce("first", "least").alias("component_id"))
-    return marks.join(classes, "fp").select("doc_id", "fp", "component_id")
+    joined = member.join(of_text.select("fp", "least"), "fp")
+    least = joined.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
+    named = look_up(joined, least, "root", 2 * star.count()).select("fp", "first")
+    classes = of_text.join(named, "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("component_id")).checkpoint()
+    return look_up(marks, classes, "fp", marks.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from millrace.llm.components import stars
+from millrace.llm.components import look_up, stars
 from millrace.llm.simhash_golay import fuzzy_keys, golay_tables, keep_first, links, near_duplicates, simhash
 from tests.llm.helpers import documents, empty
 
@@ -59,6 +59,20 @@ def test_stars_of_a_chain_and_a_cycle(spark):
     assert stars(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_look_up_of_hot_and_other_keys_equals_a_join(spark):
+    rows = [(k, k if k % 3 else 0) for k in range(6000)] + [(-1, None), (-2, 10**6)]
+    table = spark.createDataFrame(rows, "row long, key long")
+    answers = table.where("key < 1000000").groupBy("key").count().selectExpr("key", "count AS n", "key * 7 AS answer")
+    got = sorted(map(tuple, look_up(table, answers, "key", len(rows)).select("row", "key", "answer").collect()))
+    assert got == sorted((r, k, 7 * k) for r, k in rows if k is not None and k < 10**6)
+
+
+def test_stars_of_hubs(spark):
+    edges = [(0, k) for k in range(1, 2500)] + [(9999, k) for k in range(3000, 5500)] + [(k, k + 1) for k in range(20000, 21500, 2)]
+    got = dict(map(tuple, stars(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**{k: 0 for k in range(1, 2500)}, **{k: 3000 for k in (*range(3001, 5500), 9999)}, **{k + 1: k for k in range(20000, 21500, 2)}}
+
+
 def test_odd_rows(spark):
     rows = near_duplicates(documents(spark)).collect()
     assert len(rows) == 11
