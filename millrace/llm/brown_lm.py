@@ -1,9 +1,16 @@
 """Operator 4: a class-based bigram model with classes by the exchange algorithm.
 
-Words of the training fold are counted over all its documents. The alphabet of the class model is small: the HEAD most
-frequent words stand for themselves, every other word for its shape, and the end of a document is a symbol too.
-Symbol bigrams are counted over all training documents; the exchange algorithm moves symbols between CLASSES classes
-as long as the likelihood of the class bigrams grows. The score of a text is the sum over its tokens of
+Words of the training fold are counted over all its documents. Every word that occurs MIN_COUNT times is a symbol of
+its own, and so is the end of a document; only rarer and unseen words stand for their shape. Classes come in two steps:
+
+* The HEAD most frequent words and the shapes of all others make a core, whose bigrams fit the driver. The exchange
+  algorithm moves its symbols one by one between CLASSES classes as long as the likelihood of the class bigrams grows.
+* All other words of MIN_COUNT, whose number grows with the input, start in their shape's class. In each of ROUNDS
+  rounds Spark counts every word's neighbours by class, and every word moves at once to the class under which its
+  neighbours are likeliest. Class bigrams are counted again, and a round that lowers their likelihood is taken back.
+  Workers get a hash and a class of each word, 9 bytes a word.
+
+The score of a text is the sum over its tokens of
     log10 P(class | class before) + log10 P(symbol | class) + log10 P(word | shape)   (the last for shapes only)
 each smoothed by add-LITTLE or add-half; every shape keeps room for one unseen word, so unseen words have a price. The
 base score is the add-half unigram of the contract.
@@ -17,6 +24,7 @@ of zero, the formulas stay defined. The id only tells the fold; a null id counts
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,6 +40,7 @@ from millrace.llm.common import held_out, map_arrow, utf8
 HEAD, CLASSES, KNOWN_WORDS, LITTLE, PASSES = 512, 40, 150_000, 0.1, 8
 END = b" "  # no word holds a space
 SHAPES = 36
+MIN_COUNT, ROUNDS = 5, 2
 
 
 def shape(word: bytes) -> int:
@@ -91,10 +100,36 @@ class Alphabet:
     def size(self) -> int:
         return SHAPES + len(self.head)
 
+
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+
+
+class Reader:
+    """Codes of words: a symbol of the alphabet or, for the word at place k of the sorted hashes, its size + k."""
+
+    def __init__(self, symbols: Alphabet, hashes: np.ndarray, most: int = 200_000) -> None:
+        self.symbols, self.hashes, self.most = symbols, hashes, most
+        self.codes: dict[bytes, int] = {}
+
+    def _add(self, words: list[bytes]) -> None:
+        if len(self.codes) > self.most:
+            self.codes.clear()
+        head, size = self.symbols.head, self.symbols.size
+        own = np.fromiter(map(word_hash, words), np.int64, len(words))
+        at = np.searchsorted(self.hashes, own)
+        found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == own if len(self.hashes) else np.zeros(len(words), bool)
+        for word, place, known in zip(words, at.tolist(), found.tolist()):
+            self.codes[word] = head[word] if word in head else size + place if known else shape(word)
+
     def read(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of a text's words, the end before and behind."""
-        get, end = self.head.get, self.head[END]
-        return np.array([end, *[s if (s := get(w)) is not None else shape(w) for w in words], end], np.int64)
+        """Codes of a text's words, the end before and behind."""
+        end = self.symbols.head[END]
+        if len(self.codes) > self.most:
+            self._add([*{*words}])
+        elif new := [w for w in {*words} if w not in self.codes]:
+            self._add(new)
+        return np.array([end, *map(self.codes.__getitem__, words), end], np.int64)
 
 
 def alphabet(known: dict[bytes, int], head: int = HEAD) -> Alphabet:
@@ -102,15 +137,23 @@ def alphabet(known: dict[bytes, int], head: int = HEAD) -> Alphabet:
     return Alphabet({w: SHAPES + k for k, w in enumerate([END, *top])})
 
 
-def bigrams(training: DataFrame, symbols: Alphabet) -> np.ndarray:
-    """Counts of neighbouring symbols over all training documents; at most size x size sums leave Spark."""
-    shared = training.sparkSession.sparkContext.broadcast(symbols)
-    size = symbols.size
+NO_HASHES = np.zeros(0, np.int64)
+
+
+def bigrams(training: DataFrame, symbols: Alphabet, hashes=None, of: np.ndarray | None = None) -> np.ndarray:
+    """Counts of neighbouring symbols, or of their classes if of (by code) is given, over all training documents.
+
+    At most size x size sums leave Spark. hashes is a broadcast of the clustered words' sorted hashes."""
+    context = training.sparkSession.sparkContext
+    shared, classes = context.broadcast(symbols), None if of is None else context.broadcast(of)
+    size = symbols.size if of is None else int(of.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        total, own = np.zeros(size * size, np.int64), shared.value
+        total, reader = np.zeros(size * size, np.int64), Reader(shared.value, NO_HASHES if hashes is None else hashes.value)
         for batch in batches:
-            read = [own.read((t or b"").lower().split()) for t in utf8(batch, 0)]
+            read = [reader.read((t or b"").lower().split()) for t in utf8(batch, 0)]
+            if classes is not None:
+                read = [classes.value[s].astype(np.int64) for s in read]
             for low in range(0, len(read), 64):
                 pairs = np.concatenate([s[:-1] * size + s[1:] for s in read[low : low + 64]])
                 cells, n = np.unique(pairs, return_counts=True)
@@ -174,27 +217,130 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
     return of
 
 
+def likelihood(linked: np.ndarray) -> float:
+    """What the exchange raises: sum n(c,d) log n(c,d) - sum n(c) log n(c) (left) - the same (right)."""
+    n = linked.astype(float)
+    return float(_plogp(n).sum() - _plogp(n.sum(1)).sum() - _plogp(n.sum(0)).sum())
+
+
+def clustered_words(counted: DataFrame, symbols: Alphabet, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes of all words of MIN_COUNT outside the head, the class of each one's shape)."""
+    shared = counted.sparkSession.sparkContext.broadcast((symbols, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        symbols, of = shared.value
+        for batch in batches:
+            words = [w for w in batch.column(0).to_pylist() if w not in symbols.head]
+            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array([int(of[shape(w)]) for w in words], pa.int32())], names=["hash", "class"])
+
+    rows = map_arrow(counted.where(F.col("n") >= MIN_COUNT).select("word"), run, "hash long, class int").toPandas()
+    hashes, first = np.unique(rows["hash"].to_numpy(np.int64), return_index=True)
+    return hashes, rows["class"].to_numpy(np.uint8)[first]
+
+
+def neighbours(training: DataFrame, symbols: Alphabet, hashes, of: np.ndarray) -> DataFrame:
+    """(place, slots, n): counts of each clustered word's neighbours. Slots are the classes before, the classes behind,
+    and one for the word itself; a place has several rows, and a slot may stand in several of them."""
+    classes, size = int(of.max()) + 1, symbols.size
+    context, width = training.sparkSession.sparkContext, 2 * classes + 1
+    shared, known = context.broadcast(symbols), context.broadcast(of)
+
+    def rows(parts: list[np.ndarray]) -> Iterable[pa.RecordBatch]:
+        cells, n = np.unique(np.concatenate(parts), return_counts=True)
+        place, start = np.unique(cells // width, return_index=True)
+        ends = np.append(start, len(cells))
+        for low in range(0, len(place), 20_000):
+            high = min(low + 20_000, len(place))
+            offsets, inner = pa.array((ends[low : high + 1] - ends[low]).astype(np.int32)), slice(ends[low], ends[high])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((cells[inner] % width).astype(np.int16), n[inner].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(place[low:high]), *lists], names=["place", "slots", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        reader, of, parts, held = Reader(shared.value, hashes.value), known.value, [], 0
+        for batch in batches:
+            for text in utf8(batch, 0):
+                line = reader.read((text or b"").lower().split())
+                class_, before, behind = of[line].astype(np.int64), line[:-1], line[1:]
+                same = before == behind
+                into = np.where(same, 2 * classes, class_[:-1]) + (behind - size) * width
+                out = class_[1:] + classes + (before - size) * width
+                parts += [into[behind >= size], out[(before >= size) & ~same]]
+                held += 2 * len(line)
+                if held > 6_000_000:  # 48 MB
+                    yield from rows(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from rows(parts)
+
+    return map_arrow(training.select("text"), run, "place long, slots array<short>, n array<int>")
+
+
+def moved(counts: DataFrame, linked: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class of each place under which the neighbours of its word are likeliest; own, the present one, wins ties."""
+    classes = len(linked)
+    width, shared = 2 * classes + 1, counts.sparkSession.sparkContext.broadcast(own)
+    log = np.log(linked + LITTLE)
+    before, behind = log - np.log(linked.sum(0) + LITTLE * classes), log.T - np.log(linked.sum(1) + LITTLE * classes)
+    # a neighbour before costs P(class before, class) / (P(class) as right one), a neighbour behind likewise
+    prices = np.concatenate([before, behind, [log.diagonal() - np.log(linked.sum(0) + LITTLE * classes) - np.log(linked.sum(1) + LITTLE * classes)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            place, slots, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            row = np.repeat(np.arange(len(place)), np.diff(slots.offsets.to_numpy()))
+            cells = row * width + slots.flatten().to_numpy()
+            table = np.bincount(cells, weights=n.flatten().to_numpy(), minlength=len(place) * width).reshape(len(place), width)
+            gain = table @ prices
+            now = shared.value[place].astype(np.int64)
+            best, at = gain.argmax(1), np.arange(len(place))
+            best = np.where(gain[at, best] <= gain[at, now] + 1e-9, now, best)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(best.astype(np.int32))], names=["place", "class"])
+
+    whole = counts.groupBy("place").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("n")).alias("n"))
+    rows = map_arrow(whole, run, "place long, class int").toPandas()
+    out = own.copy()
+    out[rows["place"].to_numpy(np.int64)] = rows["class"].to_numpy(np.uint8)
+    return out
+
+
+def cluster(training: DataFrame, symbols: Alphabet, pairs: np.ndarray, of: np.ndarray, hashes, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(classes by code, class bigrams) after the rounds; classes are those of the clustered words at first."""
+    count = int(of.max()) + 1
+    member = np.eye(count, dtype=np.int64)[of]
+    linked, by_code = member.T @ pairs @ member, np.concatenate([of.astype(np.uint8), classes])
+    for _ in range(rounds if len(classes) else 0):
+        new = np.concatenate([by_code[: symbols.size], moved(neighbours(training, symbols, hashes, by_code), linked, by_code[symbols.size :])])
+        if (new == by_code).all():
+            break
+        again = bigrams(training, symbols, hashes, new)
+        again = np.pad(again, (0, count - len(again)))
+        if likelihood(again) <= likelihood(linked):
+            break
+        by_code, linked = new, again
+    return by_code, linked
+
+
 @dataclass(frozen=True)
 class Model:
     symbols: Alphabet
-    move: np.ndarray  # log10 P(class | class before), by symbols: row the symbol before, column the class
-    emit: np.ndarray  # log10 P(symbol | class of symbol)
-    of: np.ndarray
+    move: np.ndarray  # log10 P(class | class before): row the class before, column the class
+    emit: np.ndarray  # log10 P(symbol | class of symbol), for symbols of the alphabet
+    inside: np.ndarray  # log10 of the denominator of P(word | class), for clustered words
+    of: np.ndarray  # class by code
+    hashes: np.ndarray  # sorted, of the clustered words
     room: np.ndarray  # log10 of the denominator of P(word | shape)
     known: dict[bytes, int]
     base_room: float
 
 
-def build(symbols: Alphabet, pairs: np.ndarray, of: np.ndarray, shapes: dict[int, tuple[int, int]], known: dict[bytes, int], tokens: int, words: int) -> Model:
-    """shapes: shape -> (tokens, distinct words) outside the head; tokens and words: of all training."""
-    classes = int(of.max()) + 1
-    member = np.eye(classes)[of]
-    linked = member.T @ pairs @ member
-    move = np.log10((linked + LITTLE) / (linked.sum(1, keepdims=True) + LITTLE * classes))
-    n = pairs.sum(0).astype(float)
-    emit = np.log10((n + 0.5) / ((member.T @ n)[of] + 0.5 * member.sum(0)[of]))
+def build(symbols: Alphabet, linked: np.ndarray, of: np.ndarray, hashes: np.ndarray, shapes: dict[int, tuple[int, int]], known: dict[bytes, int], tokens: int, words: int) -> Model:
+    """shapes: shape -> (tokens, distinct words) of words that are no symbols; tokens and words: of all training."""
+    move = np.log10((linked + LITTLE) / (linked.sum(1, keepdims=True) + LITTLE * len(linked)))
+    n = np.array([shapes.get(s, (0, 0))[0] for s in range(SHAPES)] + [known.get(w, 0) for w in symbols.head], float)
+    inside = np.log10(np.maximum(linked.sum(0) + 0.5 * np.bincount(of, minlength=len(linked)), 0.5))
+    emit = np.log10(n + 0.5) - inside[of[: symbols.size]]
     room = np.array([math.log10(shapes.get(s, (0, 0))[0] + 0.5 * (shapes.get(s, (0, 0))[1] + 1)) for s in range(SHAPES)])
-    return Model(symbols, move[of], emit, of, room, known, math.log10(tokens + 0.5 * (words + 1)))
+    return Model(symbols, move, emit, inside, of, hashes, room, known, math.log10(tokens + 0.5 * (words + 1)))
 
 
 def _shape_batches(head: Alphabet):
@@ -202,7 +348,7 @@ def _shape_batches(head: Alphabet):
         tokens, words = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in head.head:
+                if word not in head.head and n < MIN_COUNT:
                     at = shape(word)
                     tokens[at] += n
                     words[at] += 1
@@ -227,14 +373,17 @@ def learn(docs: DataFrame) -> Learned:
     symbols = alphabet(known)
     pairs = bigrams(training, symbols)
     totals = map_arrow(counted, _shape_batches(symbols), "shape int, tokens long, words long").groupBy("shape").agg(F.sum("tokens"), F.sum("words")).collect()
-    model = build(symbols, pairs, exchange(pairs), {r[0]: (r[1], r[2]) for r in totals}, known, tokens, words)
+    core = exchange(pairs)
+    hashes, classes = clustered_words(counted, symbols, core)
+    of, linked = cluster(training, symbols, pairs, core, training.sparkSession.sparkContext.broadcast(hashes), classes)
+    model = build(symbols, linked, of, hashes, {r[0]: (r[1], r[2]) for r in totals}, known, tokens, words)
     return Learned(model, counted.where(F.col("n") < least), tokens)
 
 
 def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         model: Model = shared.value
-        known, head, symbol_end = model.known.get, model.symbols.head, model.symbols.head[END]
+        known, head, size, reader = model.known.get, model.symbols.head, model.symbols.size, Reader(model.symbols, model.hashes)
         log_of = {w: math.log10(n + 0.5) for w, n in model.known.items()}
         end_log = log_of.get(END, math.log10(0.5))
         for batch in batches:
@@ -252,9 +401,9 @@ def _score_batches(shared):
                         base += n * value
                         if word not in head:
                             extra += n * value
-                line = model.symbols.read(words)
-                shapes = line[line < SHAPES]
-                scored = float(model.move[line[:-1], model.of[line[1:]]].sum() + model.emit[line[1:]].sum() - model.room[shapes].sum())
+                line = reader.read(words)
+                shapes, of, tokens = line[line < SHAPES], model.of[line], line[1:]
+                scored = float(model.move[of[:-1], of[1:]].sum() + model.emit[tokens[tokens < size]].sum() - model.inside[of[1:][tokens >= size]].sum() - model.room[shapes].sum())
                 seen += known(END) is not None
                 out.append((len(words) + 1, seen, base - (len(words) + 1) * model.base_room, scored + extra, [w for w, _ in missing], [n for _, n in missing]))
             columns = list(zip(*out)) if out else [[]] * 6

@@ -136,3 +136,14 @@ def test_language_model_tail_join_and_odd_rows(spark, monkeypatch):
     assert rows(split) == rows(every) and len(rows(every)) == 11
     none = empty(spark).select("doc_id", "text", F.lit(False).alias("held_out"))
     assert brown_lm.score(none, brown_lm.learn(none)).count() == 0
+
+
+def test_language_model_clusters_every_repeated_word(spark, monkeypatch):
+    """Rare words of one shape get their class from their neighbours, not from the shape."""
+    rows = [(k, f"hhhh {'aaaa' if k % 2 else f'aa{chr(98 + k % 20)}x'} iiii {'bbbb' if k % 2 else f'bb{chr(99 + k % 20)}x'}") for k in range(400)]
+    docs = spark.createDataFrame([(k, t, False) for k, t in rows] + [(1000, "hhhh aadx iiii bbex", True), (1001, "hhhh bbex iiii aadx", True)], "doc_id long, text string, held_out boolean")
+    made = brown_lm.alphabet
+    monkeypatch.setattr(brown_lm, "alphabet", lambda known: made(known, 5))
+    learned = brown_lm.learn(docs)
+    score = {r["doc_id"]: r["score"] for r in brown_lm.score(docs, learned).where("held_out").collect()}
+    assert score[1000] > score[1001] + 1
