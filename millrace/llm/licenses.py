@@ -1,10 +1,11 @@
 """Operator 1: licence scans with DataFrame operations only.
 
-Files are (doc_id, path, text). Units of comparison are the lines of a file that hold a licence cue and, of a file
-named like a licence file, its whole text too. Units repeat, so each distinct unit is compared once: its terms are
+Files are (doc_id, path, text). Units of comparison are the lines of a file that hold a licence cue, the WINDOWS of
+adjacent lines around each of them (headers wrap) and, of a file named like a licence file, its whole text too. Units repeat, so each distinct unit is compared once: its terms are
 weighted by tf-idf (idf over the templates; a term that no template has gets the largest idf) and the cosine to every
 template is a sparse join on the term. A file's own licence is its best unit's best template with a cosine of at least
-MIN_COSINE; ties go to the greater cosine, then to the first template name.
+MIN_COSINE; ties go to the greater cosine, then to the first template name. An SPDX identifier that names a licence of the templates is taken as
+it stands, with cosine 1; of an expression the first identifier counts. The idf is that of TEMPLATES, without HEADERS.
 
 A file without one inherits from the nearest ancestor directory that has a licence file with a match: each distinct
 directory is joined with its ancestors by path, and the deepest one wins. If a directory has several such files, the
@@ -41,6 +42,13 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without permission."),
 ]
+#: Further forms, which stand in files as wrapped headers.
+HEADERS = [
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License."),
+]
+#: Units around a cue line: lines before it and lines behind it.
+WINDOWS = ((0, 0), (0, 1), (1, 0), (1, 1), (0, 3), (2, 1))
+SPDX = "(?i)SPDX-License-Identifier:[ \\t(]*([A-Za-z0-9.-]+?)(?:-only|-or-later)?[+]?(?![A-Za-z0-9.+-])"
 #: Lower-case cues that a line must hold one of.
 CUES = ("licen", "copyright", "all rights reserved", "spdx", "permission is hereby", "permission to use", "redistribution and use", "waived all")
 TERM = "([a-z0-9]+(?:[.][0-9]+)*)"
@@ -56,10 +64,12 @@ _FORMS = [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)]
 
 def templates(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """((form, licence, term, weight), (term, idf)): unit-length tf-idf vectors of the templates, and the idf."""
-    forms = spark.sql(f"SELECT * FROM VALUES {_values(_FORMS)} AS t(form, licence, text)")
+    every = _FORMS + [(len(_FORMS) + k, name, text) for k, (name, text) in enumerate(HEADERS)]
+    forms = spark.sql(f"SELECT * FROM VALUES {_values(every)} AS t(form, licence, text)")
     terms = forms.select("form", "licence", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(1))).alias("term")).groupBy("form", "licence", "term").agg(F.count("*").alias("tf"))
-    idf = terms.groupBy("term").agg((F.log((1.0 + len(TEMPLATES)) / (1.0 + F.count("*"))) + 1.0).alias("idf"))
-    weighted = terms.join(idf, "term").withColumn("weight", F.col("tf") * F.col("idf"))
+    idf = terms.where(F.col("form") < len(TEMPLATES)).groupBy("term").agg((F.log((1.0 + len(TEMPLATES)) / (1.0 + F.count("*"))) + 1.0).alias("idf"))
+    most = F.lit(1.0) + F.log(F.lit(1.0 + len(TEMPLATES)))
+    weighted = terms.join(idf, "term", "left").withColumn("weight", F.col("tf") * F.coalesce("idf", most))
     norms = weighted.groupBy("form").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return weighted.join(norms, "form").select("form", "licence", "term", (F.col("weight") / F.col("norm")).alias("weight")), idf
 
@@ -71,6 +81,21 @@ def _cued(line: Column) -> Column:
     return found
 
 
+def _windows(lines: Column) -> Column:
+    """The cue lines of an array of lines, and the lines around each of them."""
+    at = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda k: _cued(F.element_at(lines, k)))
+    around = lambda k, a, b: F.array_join(F.slice(lines, F.greatest(k - a, F.lit(1)), k + b + 1 - F.greatest(k - a, F.lit(1))), "\n")
+    return F.flatten(F.transform(at, lambda k: F.array(*[around(k, a, b) for a, b in WINDOWS])))
+
+
+def declared(text: Column) -> Column:
+    """The licence that the text's first SPDX identifier names, null if no template has it."""
+    found, out = F.lower(F.regexp_extract(text, SPDX, 1)), F.lit(None).cast("string")
+    for name in sorted({name for name, _ in TEMPLATES} - {"Proprietary"}):
+        out = F.when(found == name.lower(), F.lit(name)).otherwise(out)
+    return out
+
+
 def score_units(units: DataFrame) -> DataFrame:
     """units(unit) -> (hash, licence, cosine): the best template of each distinct unit that shares a term with one."""
     spark = units.sparkSession
@@ -95,18 +120,18 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(doc_id, path, text) -> (doc_id, path, licence, cosine, origin, licence_dir), one row a file."""
     rows = files.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("path"), F.lit("")).alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     named = F.lower(F.regexp_extract("path", "([^/]*)$", 1)).rlike(LICENCE_FILE)
-    cued = F.filter(F.split("text", "\n"), _cued)
+    cued = _windows(F.split("text", "\n"))
     whole = F.when(named, F.array("text")).otherwise(F.array().cast("array<string>"))
-    looked = rows.select("doc_id", "path", named.alias("is_licence"), F.when(_cued(F.col("text")) | named, F.concat(cued, whole)).otherwise(F.array().cast("array<string>")).alias("units"))
-    looked = looked.select("doc_id", "path", "is_licence", F.transform("units", lambda u: F.struct(F.sha2(u, 256).alias("hash"), u.alias("unit"))).alias("units"))
+    looked = rows.select("doc_id", "path", named.alias("is_licence"), declared(F.col("text")).alias("declared"), F.when(_cued(F.col("text")) | named, F.concat(cued, whole)).otherwise(F.array().cast("array<string>")).alias("units"))
+    looked = looked.select("doc_id", "path", "is_licence", "declared", F.transform("units", lambda u: F.struct(F.sha2(u, 256).alias("hash"), u.alias("unit"))).alias("units"))
     units = looked.select(F.explode("units").alias("u")).select("u.hash", "u.unit")
     scored = score_units(units).where(F.col("cosine") >= min_cosine)
 
     # per distinct set of unit hashes, the best unit; files of equal units share the answer
-    slim = looked.select("doc_id", "path", "is_licence", F.array_sort(F.array_distinct(F.transform("units", lambda u: u["hash"]))).alias("hashes")).withColumn("key", F.when(F.size("hashes") > 0, F.sha2(F.concat_ws(",", "hashes"), 256)))
+    slim = looked.select("doc_id", "path", "is_licence", "declared", F.array_sort(F.array_distinct(F.transform("units", lambda u: u["hash"]))).alias("hashes")).withColumn("key", F.when(F.size("hashes") > 0, F.sha2(F.concat_ws(",", "hashes"), 256)))
     sets = slim.where(F.col("key").isNotNull()).select("key", "hashes").dropDuplicates(["key"]).select("key", F.explode("hashes").alias("hash"))
     best = sets.join(scored, "hash").groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b")).select(F.col("key").alias("_key"), F.col("b.licence").alias("own"), (-F.col("b.c")).alias("own_cosine"))
-    owned = slim.join(best, F.col("key") == F.col("_key"), "left").select("doc_id", "path", "is_licence", directory(F.col("path")).alias("dir"), "own", "own_cosine")
+    owned = slim.join(best, F.col("key") == F.col("_key"), "left").select("doc_id", "path", "is_licence", directory(F.col("path")).alias("dir"), F.coalesce("declared", "own").alias("own"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.col("own_cosine")).alias("own_cosine"))
 
     given = owned.where(F.col("is_licence") & F.col("own").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), F.col("own").alias("licence"), "path")).alias("b"))
     given = given.select(F.col("dir").alias("holder"), F.col("b.licence").alias("from_licence"), (-F.col("b.c")).alias("from_cosine"))

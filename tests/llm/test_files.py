@@ -30,6 +30,14 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(files(spark, [(1, "LICENSE", "All rights reserved.", 0.0, "", ""), (2, "a/b", "z", 0.0, "", "")])).where("doc_id = 2").first()["licence"] == "Proprietary"
 
 
+def test_wrapped_headers_and_spdx(spark):
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint x;"
+    lgpl = "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 3 of the License, or (at your option) any later version.\nx = 1"
+    rows = [("a", mpl), ("b", lgpl), ("c", "// SPDX-License-Identifier: MIT\nint x;"), ("d", "# SPDX-License-Identifier: Apache-2.0"), ("e", "# SPDX-License-Identifier: LGPL-3.0-or-later"), ("f", "# SPDX-License-Identifier: Zlib"), ("g", "# SPDX-License-Identifier: GPL-2.0+ */")]
+    got = licenses.scan(files(spark, [(k, p, t, 0.0, "", "") for k, (p, t) in enumerate(rows)])).collect()
+    assert {r["path"]: r["licence"] for r in got} == {"a": "MPL-2.0", "b": "LGPL-3.0", "c": "MIT", "d": "Apache-2.0", "e": "LGPL-3.0", "f": None, "g": "GPL-2.0"}
+
+
 def test_licence_plan_is_native(spark):
     plan = licenses.op1_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not [word for word in ("Python", "Pandas", "Arrow", "ExistingRDD") if word in plan.replace("ArrowConverters", "")]
