@@ -4,8 +4,9 @@ For every language of the corpus two reference distributions are counted over al
 the language's common words (share of at least COMMON of its words, the COMMON_WORDS most frequent of them) with one
 bin for all other words. A document is compared with its language's references by the Jensen-Shannon distance (base 2,
 0 to 1). The character test needs MIN_CHARS code points and the word test MIN_WORDS words; shorter documents skip the
-test, as their histograms say little. Languages with under a thousandth of the corpus' words, and null ones, are
-compared with the whole corpus, so at most 1000 references exist.
+test, as their histograms say little. Every language of LEAST_WORDS words has references, whatever its share of the
+corpus; documents of a smaller one skip both tests. Null languages are compared with the whole corpus. The references,
+at most COMMON_WORDS words and the class counts of a language, are broadcast.
 
 Beside these stand the plain counts: words, code points in words, symbols, repeated lines, and words in repeated
 8-word windows (windows are compared exactly: a rolling hash only finds texts that have none).
@@ -21,12 +22,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, utf8
 
-COMMON, COMMON_WORDS, LEAST_SHARE = 0.004, 32, 0.001
+COMMON, COMMON_WORDS, LEAST_WORDS = 0.004, 32, 2_000
 MIN_CHARS, MIN_WORDS, MOST_CHARS_DISTANCE, MOST_WORDS_DISTANCE = 200, 80, 0.25, 0.45
 WINDOW = 8
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "control", "two_bytes", "more_bytes")
@@ -117,12 +118,15 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
     rows = docs.select(F.col("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
     counted = map_arrow(rows, _word_batches, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
     all_words = counted.where(F.col("word") == F.lit(b"\x00w")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = counted.where((F.col("word") == F.lit(b"\x00w")) & (F.col("n") >= LEAST_SHARE * all_words) & (F.col("lang") != "")).select("lang", F.col("n").alias("words"))
+    large = counted.where((F.col("word") == F.lit(b"\x00w")) & (F.col("n") >= LEAST_WORDS) & (F.col("lang") != "")).select("lang", F.col("n").alias("words"))
     every = counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "word", "n", F.lit(all_words).cast("long").alias("words"))
     of_lang = counted.join(large, "lang").select("lang", "word", "n", "words")
-    kept = of_lang.unionByName(every).where((F.substring("word", 1, 1) == F.lit(b"\x00")) | (F.col("n") >= COMMON * F.col("words")))
+    is_class = F.substring("word", 1, 1) == F.lit(b"\x00")
+    kept = of_lang.unionByName(every).where(is_class | (F.col("n") >= COMMON * F.col("words")))
+    rank = F.row_number().over(Window.partitionBy("lang", is_class).orderBy(F.desc("n"), "word"))
+    kept = kept.withColumn("rank", rank).where(is_class | (F.col("rank") <= COMMON_WORDS)).drop("rank")
     out: dict[str, dict[bytes, int]] = {}
-    for lang, word, n, _ in kept.collect():  # at most 1001 languages with 250 words each
+    for lang, word, n, _ in kept.collect():  # at most COMMON_WORDS words and the classes of each language
         out.setdefault(lang, {})[bytes(word)] = n
     made = {}
     for lang, words in out.items():
@@ -143,11 +147,11 @@ def judge(docs: DataFrame) -> DataFrame:
             rows, chars, words = [], [], []
             for text, lang in zip(utf8(batch, 1), batch.column(2).to_pylist()):
                 low, classes, plain = counts(text)
-                own = known.get(lang or "") or known.get("")
+                own = known.get(lang or "")
                 rows.append(plain)
-                chars.append(distance(classes, own[0]) if classes.sum() >= MIN_CHARS else None)
+                chars.append(distance(classes, own[0]) if own and classes.sum() >= MIN_CHARS else None)
                 words.append(None)
-                if plain[0] >= MIN_WORDS:
+                if own and plain[0] >= MIN_WORDS:
                     binned = np.zeros(len(own[1]) + 1)
                     for word, n in Counter(low).items():
                         binned[own[1].get(word, -1)] += n

@@ -147,3 +147,13 @@ def test_language_model_clusters_every_repeated_word(spark, monkeypatch):
     learned = brown_lm.learn(docs)
     score = {r["doc_id"]: r["score"] for r in brown_lm.score(docs, learned).where("held_out").collect()}
     assert score[1000] > score[1001] + 1
+
+
+def test_divergence_small_languages_are_not_judged_by_large_ones(spark):
+    english = " ".join(f"the word{k} of a day and night{k}" for k in range(30))
+    greek = " ".join(f"και το σπίτι{chr(945 + k)} της θάλασσας είναι μεγάλο{chr(945 + k)}" for k in range(24))
+    rows = [(k, english, "en") for k in range(25_000)] + [(100_000 + k, greek, "el") for k in range(20)] + [(200_000, greek, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in divergence.judge(docs).where("doc_id >= 100000 or doc_id = 1").collect()}
+    assert got[1]["kept"] and all(got[100_000 + k]["kept"] and got[100_000 + k]["js_chars"] == 0 for k in range(20))
+    assert got[200_000]["kept"] and got[200_000]["js_chars"] is None and got[200_000]["js_words"] is None
