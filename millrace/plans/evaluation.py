@@ -152,7 +152,7 @@ def majority_vote(spark, sf_dir):
 
 @query("resume_anti_join", "SELECT event_id AS idx FROM events WHERE event_id % 3 <> 0 AND event_id < 1000")
 def resume_anti_join(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("idx")).where("idx < 1000")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"))
     return events.join(events.where("idx % 3 = 0"), "idx", "left_anti")
 
 
