@@ -171,5 +171,5 @@ def last_wins(spark, sf_dir):
 @query("submission", "SELECT CAST(doc_id AS VARCHAR) AS key, regexp_replace(regexp_replace(left(text, 200), '[" + r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}" + "]+', ' ', 'g'), '^ | $', '', 'g') || chr(9) || '----- bird -----' || chr(9) || source AS line FROM documents")
 def submission(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows, _ = files.submission(docs.select(F.col("doc_id").alias("index"), F.left("text", F.lit(200)).alias("predicted_sql")), docs.select(F.col("doc_id").alias("index"), F.col("source").alias("db_id")))
+    rows, _ = files.submission(docs.select(F.col("doc_id").alias("index"), F.col("text").alias("predicted_sql")), docs.select(F.col("doc_id").alias("index"), F.col("source").alias("db_id")))
     return rows

@@ -186,3 +186,11 @@ def test_resume_reads_every_event(spark, sf):
     ids = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/events.parquet").select("event_id").collect()]
     got = [r[0] for r in evaluation.resume_anti_join(spark, "/root/testdata/sf0.1").collect()]
     assert sorted(got) == sorted(i for i in ids if i % 3) and max(got) >= 1000
+
+
+def test_submission_writes_whole_texts(spark, sf):
+    from millrace.plans import evaluation
+
+    docs = {str(r[0]): (r[1], r[2]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()}
+    got = {r["key"]: r["line"] for r in evaluation.submission(spark, sf).collect()}
+    assert got == {k: f"{' '.join(t.split())}\t----- bird -----\t{s}" for k, (t, s) in docs.items()} and max(map(len, got.values())) > 1000
