@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import annotate, map_arrow, prepare, utf8
+from millrace.llm.common import annotate, fresh, map_arrow, prepare, utf8
 
 WINDOW = 13
 #: Bytes of item text in one automaton: about 1.3 million nodes, well under 100 MB in a worker.
@@ -142,11 +142,11 @@ def scan(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without contaminated rows, all columns kept. With one block the rows pass one scan and no shuffle."""
+    """docs without contaminated rows, all columns kept; no row's outcome depends on another's. The rows pass a scan a
+    block and no shuffle; between blocks they carry the hit words found so far."""
     blocks = list(item_blocks(items, block_bytes)) if _one_block(items, block_bytes) else []
     if len(blocks) != 1:
-        bad = scan(docs, items, block_bytes).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+        return _drop_by_blocks(docs, items, block_bytes)
     shared = _shared(docs.sparkSession, blocks[0])
 
     def judge(texts: list[str | None]) -> pa.Array:
@@ -160,6 +160,32 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOC
     return judged.where(~F.col(name)).drop(name)
 
 
+def _drop_by_blocks(docs: DataFrame, items: DataFrame, block_bytes: int) -> DataFrame:
+    prepare(docs.sparkSession)
+    mask = fresh(docs, "_mask")
+    now = docs.withColumn(mask, F.lit(None).cast("binary"))
+    text, schema = docs.columns.index("text"), now.schema
+
+    def marked(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            scanner = _scanner(shared)
+            for batch in batches:
+                out = []
+                for words, was in zip(utf8(batch, text), batch.column(batch.num_columns - 1).to_pylist()):
+                    hit = scanner.scan(words)[1]
+                    out.append(bytes(a | b for a, b in zip(was, hit)) if was and hit else bytes(hit) if hit else was)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=batch.schema.names)
+
+        return run
+
+    for at, block in enumerate(item_blocks(items, block_bytes)):
+        now = now.checkpoint() if at else now  # one automaton in memory at a time
+        now = now.mapInArrow(marked(_shared(docs.sparkSession, block)), schema)
+    judge = lambda masks: pa.array([bool(m) and 20 * m.count(1) >= len(m) for m in masks], pa.bool_())
+    judged, name = annotate(now, mask, judge, "boolean", "_contaminated")
+    return judged.where(~F.col(name)).drop(name, mask)
+
+
 def _one_block(items: DataFrame, block_bytes: int) -> bool:
     return items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0] <= block_bytes
 

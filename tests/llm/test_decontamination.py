@@ -51,3 +51,11 @@ def test_odd_rows_and_blocks(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [-9, 0, 2, 3, 4, 6, 8]
     assert sorted(r["doc_id"] or 0 for r in drop_contaminated(docs, items, block_bytes=40).collect()) == [-9, 0, 2, 3, 4, 6, 8]
     assert scan(empty(spark), items).count() == 0 and drop_contaminated(docs, items.where("false")).count() == 11
+
+
+def test_rows_are_dropped_one_by_one_in_blocks(spark):
+    items = spark.createDataFrame([(1, "brown fox jumps over the lazy dog"), (2, "quick")], "item_id long, text string")
+    docs = documents(spark, [(None, "the brown fox jumps over the lazy dog"), (None, "a clean text"), (5, "quick"), (5, "another clean text"), (None, None)])
+    for size in (512 * 1024, 40):
+        kept = drop_contaminated(docs, items, block_bytes=size)
+        assert kept.columns == docs.columns and sorted(r["text"] or "" for r in kept.collect()) == ["", "a clean text", "another clean text"]
