@@ -77,17 +77,19 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def frequent(counted: DataFrame, most: int = KNOWN_WORDS) -> tuple[dict[bytes, int], int]:
-    """(the frequent words, at most `most`, with their counts; the count under which a word is not among them)."""
+    """(the end and the frequent words, at most `most`, with their counts; the count under which a word is not among them)."""
     steps = counted.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
     left, least = most, None
     for row in steps:
         if row["words"] > left:
             break
         left, least = left - row["words"], row["least"]
+    end = counted.where(F.col("word") == F.lit(END)).first()
+    known = {} if end is None else {END: end["n"]}
     if least is None:
-        return {}, 1 << 62
+        return known, 1 << 62
     rows = counted.where(F.col("n") >= least).toPandas()
-    return dict(zip(map(bytes, rows["word"]), rows["n"].tolist())), least
+    return known | dict(zip(map(bytes, rows["word"]), rows["n"].tolist())), least
 
 
 @dataclass(frozen=True)

@@ -157,3 +157,8 @@ def test_divergence_small_languages_are_not_judged_by_large_ones(spark):
     got = {r["doc_id"]: r for r in divergence.judge(docs).where("doc_id >= 100000 or doc_id = 1").collect()}
     assert got[1]["kept"] and all(got[100_000 + k]["kept"] and got[100_000 + k]["js_chars"] == 0 for k in range(20))
     assert got[200_000]["kept"] and got[200_000]["js_chars"] is None and got[200_000]["js_words"] is None
+
+
+def test_end_is_known_whatever_the_cap(spark):
+    counted = spark.createDataFrame([(b"a", 1), (b"b", 1), (b" ", 1), (b"c", 1)], "word binary, n long")
+    assert brown_lm.frequent(counted, 2) == ({b" ": 1}, 1 << 62)
