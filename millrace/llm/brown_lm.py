@@ -1,74 +1,106 @@
 """Operator 4: a class-based bigram model with classes by the exchange algorithm.
 
-Words of the training fold are counted over all its documents. Every word that occurs MIN_COUNT times is a symbol of
-its own, and so is the end of a document; only rarer and unseen words stand for their shape. Classes come in two steps:
-
-* The HEAD most frequent words and the shapes of all others make a core, whose bigrams fit the driver. The exchange
-  algorithm moves its symbols one by one between CLASSES classes as long as the likelihood of the class bigrams grows.
-* All other words of MIN_COUNT, whose number grows with the input, start in their shape's class. In each of ROUNDS
-  rounds Spark counts every word's neighbours by class, and every word moves at once to the class under which its
-  neighbours are likeliest. Class bigrams are counted again, and a round that lowers their likelihood is taken back.
-  Workers get a hash and a class of each word, 9 bytes a word.
-
+A word has a place, its hash in a table of 2**PLACE_BITS places of one byte each: the table, whose size doesn't depend
+on the corpus, is all that workers hear about classes, and words that share a place share a class. Texts are read
+twice, once to count words and once to write the places and shapes of their words as integers, beside their document,
+into the shared checkpoint folder; every later step reads those integers only. Classes come in two steps:
+
+* The places of the HEAD most frequent words, the end of a document, and the shapes of all other words make a core,
+  whose bigrams fit the driver. The exchange algorithm moves its symbols one by one between CLASSES classes as long as
+  the likelihood of the class bigrams grows.
+* The places of all other words that occur MIN_COUNT times, whose number grows with the input, start in the class of
+  their shape. In each of ROUNDS rounds Spark counts every place's neighbours by class, and every place moves at once to
+  the class under which its neighbours are likeliest. Class bigrams are counted again, and a round that lowers their
+  likelihood is taken back.
+
+Places without such a word take the class of the shape of whatever word asks; so rare and unseen words have a class.
 The score of a text is the sum over its tokens of
-    log10 P(class | class before) + log10 P(symbol | class) + log10 P(word | shape)   (the last for shapes only)
-each smoothed by add-LITTLE or add-half; every shape keeps room for one unseen word, so unseen words have a price. The
-base score is the add-half unigram of the contract.
+    log10 P(class | class before) + log10 P(word | class)
+the first smoothed by add-LITTLE, the second by add-half with room for one unseen word a class. The base score is the
+add-half unigram of the contract.
 
-Counts of words are needed twice. Words of the head come with the alphabet, and a bounded number of the next frequent
-words (at most KNOWN_WORDS, cut at a step of the counts' logarithm) is broadcast with their counts. All rarer words
-meet their counts in a join on the word; as a word there is rare in training, no key of the counted side is hot.
+A bounded number of the most frequent words (at most KNOWN_WORDS, cut at a step of the counts' logarithm) is broadcast
+with their counts. All rarer words meet their counts in a join on the word; as a word there is rare in training, no key
+of the counted side is hot.
 
 Null and empty texts are one end token. Repeated rows are scored row by row. A training fold without rows gives counts
 of zero, the formulas stay defined. The id only tells the fold; a null id counts as the empty text."""
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, map_arrow, utf8
+from millrace.llm.common import held_out, map_arrow
 
-HEAD, CLASSES, KNOWN_WORDS, LITTLE, PASSES = 512, 40, 150_000, 0.1, 8
+HEAD, CLASSES, KNOWN_WORDS, LITTLE, PASSES = 512, 40, 100_000, 0.1, 8
+MIN_COUNT, ROUNDS, PLACE_BITS = 5, 2, 23
+PLACES = 1 << PLACE_BITS
 END = b" "  # no word holds a space
-SHAPES = 36
-MIN_COUNT, ROUNDS = 5, 2
+#: Symbols of the core: shapes, the end, then the head's places.
+SHAPES, END_SYMBOL = 36, 36
+BY_SHAPE = 255  # in the table: no word of MIN_COUNT lies there
+_WORDS_AT_ONCE, _CELLS_AT_ONCE = 2_000_000, 6_000_000
+_CONTENT = np.array([1 if b >= 128 else 2 if 48 <= b <= 57 else 0 for b in range(256)], np.uint8)
+_LAST = np.array([1 if b in b".,;:?!" else 0 if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 2 for b in range(256)], np.uint8)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the lower-cased words of all texts in a row, the number of words of each text)."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.string()), ""))))
+    sizes, flat = np.diff(words.offsets.to_numpy()), words.flatten()
+    empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)  # of a text without words
+    if empty.any():
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        flat = flat.filter(pa.array(~empty))
+    return flat, sizes
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """0 to 35: length (4 steps) x content (letters, beyond ASCII, with digits) x last byte (word, sentence mark, other)."""
+    words = pa.concat_arrays([words.cast(pa.binary())])
+    if not len(words):
+        return np.zeros(0, np.int64)
+    offsets, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+    size = np.diff(offsets)
+    length = (size > 3).astype(np.int64) + (size > 6) + (size > 10)
+    content = np.maximum.reduceat(_CONTENT[data[: offsets[-1]]], offsets[:-1])
+    return length * 9 + content.astype(np.int64) * 3 + _LAST[data[offsets[1:] - 1]]
 
 
-def shape(word: bytes) -> int:
-    """0 to 35: length (4 steps) x content (letters, beyond ASCII, with digits) x last byte (word, sentence mark, other)."""
-    n = len(word)
-    long = 0 if n <= 3 else 1 if n <= 6 else 2 if n <= 10 else 3
-    content = 0 if word.isalpha() else 2 if any(48 <= b <= 57 for b in word) else 1 if not word.isascii() else 0
-    last = word[-1]
-    mark = 1 if last in b".,;:?!" else 0 if last >= 128 or 97 <= last <= 122 or 48 <= last <= 57 else 2
-    return long * 9 + content * 3 + mark
+def places(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((h & (PLACES - 1) for h in map(xxhash.xxh64_intdigest, words)), np.int64, len(words))
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    total: Counter = Counter()
+    held, number, ends = [], 0, 0
 
     def flush() -> Iterable[pa.RecordBatch]:
-        words, numbers = list(total.keys()), list(total.values())
-        total.clear()
-        for low in range(0, len(words), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words[low : low + 50_000], pa.binary()), pa.array(numbers[low : low + 50_000], pa.int64())], names=["word", "n"])
+        if held:
+            counts = pa.concat_arrays(held).value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], names=["word", "n"])
+            held.clear()
 
     for batch in batches:
-        for text in utf8(batch, 0):
-            total.update((text or b"").lower().split())
-            total[END] += 1
-            if len(total) > 250_000:
-                yield from flush()
+        words, sizes = split_words(batch.column(0))
+        ends += len(sizes)
+        held.append(words)
+        number += len(words)
+        if number > _WORDS_AT_ONCE:
+            yield from flush()
+            number = 0
     yield from flush()
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], names=["word", "n"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -92,83 +124,122 @@ def frequent(counted: DataFrame, most: int = KNOWN_WORDS) -> tuple[dict[bytes, i
     return known | dict(zip(map(bytes, rows["word"]), rows["n"].tolist())), least
 
 
-@dataclass(frozen=True)
-class Alphabet:
-    """Symbol 0 to SHAPES - 1: shapes; then the head's words, the end among them."""
+def _encoder(known: Broadcast):
+    """Rows (doc_id, held_out, text, rid) with what the known words add, the words that aren't known, and codes:
+    place | shape << PLACE_BITS of every word."""
 
-    head: dict[bytes, int]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        counts = known.value
+        log_of = {w: math.log10(n + 0.5) for w, n in counts.items()}
+        end_log, has_end = log_of.get(END, math.log10(0.5)), END in counts
+        for batch in batches:
+            flat, sizes = split_words(batch.column(2))
+            coded = flat.dictionary_encode()
+            index, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+            own = words.cast(pa.binary()).to_pylist()
+            codes = (places(own) | shapes(words) << PLACE_BITS).astype(np.int32)
+            logs = np.array([log_of.get(w, np.nan) for w in own], np.float64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            value = logs[index]
+            missing = np.isnan(value)
+            seen = sizes - np.bincount(row[missing], minlength=len(sizes)) + has_end
+            total = end_log + np.bincount(row[~missing], weights=value[~missing], minlength=len(sizes))
+            cells, times = np.unique(row[missing] * max(1, len(own)) + index[missing], return_counts=True)
+            starts = np.searchsorted(cells, np.arange(len(sizes) + 1) * max(1, len(own))).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(starts), words.cast(pa.binary()).take(pa.array(cells % max(1, len(own)))))
+            often = pa.ListArray.from_arrays(pa.array(starts), pa.array(times.astype(np.int32)))
+            whole = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(codes[index]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes + 1, pa.int64()), pa.array(seen, pa.int64()), pa.array(total), rare, often, whole],
+                names=["doc_id", "held_out", "rid", "n_tokens", "seen", "logs", "words", "times", "codes"],
+            )
 
-    @property
-    def size(self) -> int:
-        return SHAPES + len(self.head)
+    return run
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+def encode(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
+    """(doc_id, text, held_out) -> one row a document; call checkpoint() on it, as rid numbers the rows of this run."""
+    rows = docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("rid"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, rid long, n_tokens long, seen long, logs double, words array<binary>, times array<int>, codes array<int>"
+    return map_arrow(rows, _encoder(docs.sparkSession.sparkContext.broadcast(known)), schema)
+
+
+def line(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of several documents in a row with -1 for the end before, between and behind them, where the ends are)."""
+    sizes, flat = np.diff(codes.offsets.to_numpy()), codes.flatten().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(len(flat) + len(sizes) + 1, -1, np.int64)
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner] = flat
+    return out, ends
 
 
-class Reader:
-    """Codes of words: a symbol of the alphabet or, for the word at place k of the sorted hashes, its size + k."""
+@dataclass(frozen=True)
+class Alphabet:
+    """Symbols 0 to SHAPES - 1 are shapes, then come the end and the head's places; places are sorted."""
+
+    places: np.ndarray
 
-    def __init__(self, symbols: Alphabet, hashes: np.ndarray, most: int = 200_000) -> None:
-        self.symbols, self.hashes, self.most = symbols, hashes, most
-        self.codes: dict[bytes, int] = {}
+    @property
+    def size(self) -> int:
+        return END_SYMBOL + 1 + len(self.places)
 
-    def _add(self, words: list[bytes]) -> None:
-        if len(self.codes) > self.most:
-            self.codes.clear()
-        head, size = self.symbols.head, self.symbols.size
-        own = np.fromiter(map(word_hash, words), np.int64, len(words))
-        at = np.searchsorted(self.hashes, own)
-        found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == own if len(self.hashes) else np.zeros(len(words), bool)
-        for word, place, known in zip(words, at.tolist(), found.tolist()):
-            self.codes[word] = head[word] if word in head else size + place if known else shape(word)
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        at = codes & (PLACES - 1)
+        out = codes >> PLACE_BITS
+        if len(self.places):
+            near = np.minimum(np.searchsorted(self.places, at), len(self.places) - 1)
+            out = np.where(self.places[near] == at, END_SYMBOL + 1 + near, out)
+        return np.where(codes < 0, END_SYMBOL, out)
 
-    def read(self, words: list[bytes]) -> np.ndarray:
-        """Codes of a text's words, the end before and behind."""
-        end = self.symbols.head[END]
-        if len(self.codes) > self.most:
-            self._add([*{*words}])
-        elif new := [w for w in {*words} if w not in self.codes]:
-            self._add(new)
-        return np.array([end, *map(self.codes.__getitem__, words), end], np.int64)
 
+def alphabet(known: dict[bytes, int], head: int | None = None) -> Alphabet:
+    top = sorted((w for w in known if w != END), key=lambda w: (-known[w], w))[: (HEAD if head is None else head) - 1]
+    return Alphabet(np.unique(places(top)))
 
-def alphabet(known: dict[bytes, int], head: int = HEAD) -> Alphabet:
-    top = sorted((w for w in known if w != END), key=lambda w: (-known[w], w))[: head - 1]
-    return Alphabet({w: SHAPES + k for k, w in enumerate([END, *top])})
 
+@dataclass(frozen=True)
+class Classes:
+    """The class of each place (BY_SHAPE: that of the word's shape), of each shape, and of the end."""
 
-NO_HASHES = np.zeros(0, np.int64)
+    table: np.ndarray
+    of_shape: np.ndarray
+    of_end: int
 
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        own = self.table[codes & (PLACES - 1)]
+        own = np.where(own == BY_SHAPE, self.of_shape[np.maximum(codes, 0) >> PLACE_BITS], own)
+        return np.where(codes < 0, self.of_end, own).astype(np.int64)
 
-def bigrams(training: DataFrame, symbols: Alphabet, hashes=None, of: np.ndarray | None = None) -> np.ndarray:
-    """Counts of neighbouring symbols, or of their classes if of (by code) is given, over all training documents.
 
-    At most size x size sums leave Spark. hashes is a broadcast of the clustered words' sorted hashes."""
-    context = training.sparkSession.sparkContext
-    shared, classes = context.broadcast(symbols), None if of is None else context.broadcast(of)
-    size = symbols.size if of is None else int(of.max()) + 1
+def _bigram_sums(codes: DataFrame, size: int, read) -> np.ndarray:
+    """size x size sums of neighbouring read(codes), over all documents; as many numbers leave Spark as there are cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        total, reader = np.zeros(size * size, np.int64), Reader(shared.value, NO_HASHES if hashes is None else hashes.value)
+        total, of = np.zeros(size * size, np.int64), read()
         for batch in batches:
-            read = [reader.read((t or b"").lower().split()) for t in utf8(batch, 0)]
-            if classes is not None:
-                read = [classes.value[s].astype(np.int64) for s in read]
-            for low in range(0, len(read), 64):
-                pairs = np.concatenate([s[:-1] * size + s[1:] for s in read[low : low + 64]])
-                cells, n = np.unique(pairs, return_counts=True)
-                total[cells] += n
+            own = of(line(batch.column(0))[0])
+            total += np.bincount(own[:-1] * size + own[1:], minlength=size * size) if batch.num_rows else 0
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    rows = map_arrow(training.select("text"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = map_arrow(codes.select("codes"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size, np.int64)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out.reshape(size, size)
 
 
+def bigrams(codes: DataFrame, symbols: Alphabet) -> np.ndarray:
+    """Counts of neighbouring symbols of the core."""
+    return _bigram_sums(codes, symbols.size, lambda: symbols.symbols)
+
+
+def class_bigrams(codes: DataFrame, classes: Broadcast, size: int) -> np.ndarray:
+    return _bigram_sums(codes, size, lambda: classes.value.of)
+
+
 def _plogp(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -225,214 +296,202 @@ def likelihood(linked: np.ndarray) -> float:
     return float(_plogp(n).sum() - _plogp(n.sum(1)).sum() - _plogp(n.sum(0)).sum())
 
 
-def clustered_words(counted: DataFrame, symbols: Alphabet, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes of all words of MIN_COUNT outside the head, the class of each one's shape)."""
-    shared = counted.sparkSession.sparkContext.broadcast((symbols, of))
+def _packed(df: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
+    """(places, classes) that run gives, each partition's packed into one row."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        parts = [run(batch) for batch in batches if batch.num_rows]
+        if parts:
+            at, own = (np.concatenate(x) for x in zip(*parts))
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([own.astype(np.uint8).tobytes()], pa.binary())], names=["places", "classes"])
+
+    rows = map_arrow(df, pack, "places binary, classes binary").collect()
+    return np.frombuffer(b"".join([r[0] for r in rows]), "<i4").astype(np.int64), np.frombuffer(b"".join([r[1] for r in rows]), np.uint8)
+
+
+def start(counted: DataFrame, symbols: Alphabet, core: np.ndarray) -> Classes:
+    """Head and end in their classes of the core, all other places of words of MIN_COUNT in that of the shape of their
+    most frequent word (of equal ones, the greatest shape)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        symbols, of = shared.value
         for batch in batches:
-            words = [w for w in batch.column(0).to_pylist() if w not in symbols.head]
-            yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array([int(of[shape(w)]) for w in words], pa.int32())], names=["hash", "class"])
+            words = batch.column(0)
+            yield pa.RecordBatch.from_arrays([pa.array(places(words.to_pylist()).astype(np.int32)), batch.column(1), pa.array(shapes(words).astype(np.int32))], names=["place", "n", "shape"])
 
-    rows = map_arrow(counted.where(F.col("n") >= MIN_COUNT).select("word"), run, "hash long, class int").toPandas()
-    hashes, first = np.unique(rows["hash"].to_numpy(np.int64), return_index=True)
-    return hashes, rows["class"].to_numpy(np.uint8)[first]
+    of_shape = core[:SHAPES].astype(np.uint8)
+    rows = map_arrow(counted.where((F.col("n") >= MIN_COUNT) & (F.col("word") != F.lit(END))).select("word", "n"), run, "place int, n long, shape int")
+    first = rows.groupBy("place").agg(F.max(F.struct("n", "shape")).alias("m")).select("place", F.col("m.shape").alias("shape"))
+    at, own = _packed(first, lambda batch: (batch.column(0).to_numpy(), of_shape[batch.column(1).to_numpy()]))
+    table = np.full(PLACES, BY_SHAPE, np.uint8)
+    table[at] = own
+    table[symbols.places] = core[END_SYMBOL + 1 :]
+    return Classes(table, of_shape, int(core[END_SYMBOL]))
 
 
-def neighbours(training: DataFrame, symbols: Alphabet, hashes, of: np.ndarray) -> DataFrame:
-    """(place, slots, n): counts of each clustered word's neighbours. Slots are the classes before, the classes behind,
-    and one for the word itself; a place has several rows, and a slot may stand in several of them."""
-    classes, size = int(of.max()) + 1, symbols.size
-    context, width = training.sparkSession.sparkContext, 2 * classes + 1
-    shared, known = context.broadcast(symbols), context.broadcast(of)
+def neighbours(codes: DataFrame, symbols: Alphabet, classes: Broadcast, size: int) -> DataFrame:
+    """(place, slots, n): counts of the neighbours of each place that may move. Slots are the classes before, the classes
+    behind, and one for the place itself; a place has several rows, and a slot may stand in several of them."""
+    width = 2 * size + 1
 
     def rows(parts: list[np.ndarray]) -> Iterable[pa.RecordBatch]:
         cells, n = np.unique(np.concatenate(parts), return_counts=True)
-        place, start = np.unique(cells // width, return_index=True)
-        ends = np.append(start, len(cells))
+        place, first = np.unique(cells // width, return_index=True)
+        ends = np.append(first, len(cells))
         for low in range(0, len(place), 20_000):
             high = min(low + 20_000, len(place))
             offsets, inner = pa.array((ends[low : high + 1] - ends[low]).astype(np.int32)), slice(ends[low], ends[high])
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((cells[inner] % width).astype(np.int16), n[inner].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(place[low:high]), *lists], names=["place", "slots", "n"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((cells[inner] % width).astype(np.int8), n[inner].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(place[low:high].astype(np.int32)), *lists], names=["place", "slots", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        reader, of, parts, held = Reader(shared.value, hashes.value), known.value, [], 0
+        known, parts, held = classes.value, [], 0
+        free = known.table != BY_SHAPE
+        free[symbols.places] = False
         for batch in batches:
-            for text in utf8(batch, 0):
-                line = reader.read((text or b"").lower().split())
-                class_, before, behind = of[line].astype(np.int64), line[:-1], line[1:]
-                same = before == behind
-                into = np.where(same, 2 * classes, class_[:-1]) + (behind - size) * width
-                out = class_[1:] + classes + (before - size) * width
-                parts += [into[behind >= size], out[(before >= size) & ~same]]
-                held += 2 * len(line)
-                if held > 6_000_000:  # 48 MB
-                    yield from rows(parts)
-                    parts, held = [], 0
-        if parts:
+            read, _ = line(batch.column(0))
+            of, at = known.of(read), np.where(read < 0, -1, read & (PLACES - 1))
+            moves = (at >= 0) & free[at]
+            same = at[:-1] == at[1:]
+            into = np.where(same, 2 * size, of[:-1]) + at[1:] * width
+            out = of[1:] + size + at[:-1] * width
+            parts += [into[moves[1:]], out[moves[:-1] & ~same]]
+            held += len(parts[-1]) + len(parts[-2])
+            if held > _CELLS_AT_ONCE:  # 48 MB
+                yield from rows(parts)
+                parts, held = [], 0
+        if held:
             yield from rows(parts)
 
-    return map_arrow(training.select("text"), run, "place long, slots array<short>, n array<int>")
-
-
-def moved(counts: DataFrame, linked: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The class of each place under which the neighbours of its word are likeliest; own, the present one, wins ties."""
-    classes = len(linked)
-    width, shared = 2 * classes + 1, counts.sparkSession.sparkContext.broadcast(own)
-    log = np.log(linked + LITTLE)
-    before, behind = log - np.log(linked.sum(0) + LITTLE * classes), log.T - np.log(linked.sum(1) + LITTLE * classes)
-    # a neighbour before costs P(class before, class) / (P(class) as right one), a neighbour behind likewise
-    prices = np.concatenate([before, behind, [log.diagonal() - np.log(linked.sum(0) + LITTLE * classes) - np.log(linked.sum(1) + LITTLE * classes)]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            place, slots, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
-            row = np.repeat(np.arange(len(place)), np.diff(slots.offsets.to_numpy()))
-            cells = row * width + slots.flatten().to_numpy()
-            table = np.bincount(cells, weights=n.flatten().to_numpy(), minlength=len(place) * width).reshape(len(place), width)
-            gain = table @ prices
-            now = shared.value[place].astype(np.int64)
-            best, at = gain.argmax(1), np.arange(len(place))
-            best = np.where(gain[at, best] <= gain[at, now] + 1e-9, now, best)
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(best.astype(np.int32))], names=["place", "class"])
-
-    whole = counts.groupBy("place").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("n")).alias("n"))
-    rows = map_arrow(whole, run, "place long, class int").toPandas()
-    out = own.copy()
-    out[rows["place"].to_numpy(np.int64)] = rows["class"].to_numpy(np.uint8)
-    return out
-
-
-def cluster(training: DataFrame, symbols: Alphabet, pairs: np.ndarray, of: np.ndarray, hashes, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(classes by code, class bigrams) after the rounds; classes are those of the clustered words at first."""
-    count = int(of.max()) + 1
-    member = np.eye(count, dtype=np.int64)[of]
-    linked, by_code = member.T @ pairs @ member, np.concatenate([of.astype(np.uint8), classes])
-    for _ in range(rounds if len(classes) else 0):
-        new = np.concatenate([by_code[: symbols.size], moved(neighbours(training, symbols, hashes, by_code), linked, by_code[symbols.size :])])
-        if (new == by_code).all():
+    return map_arrow(codes.select("codes"), run, "place int, slots array<byte>, n array<int>")
+
+
+def moved(counts: DataFrame, linked: np.ndarray, classes: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """(places, the class of each under which its neighbours are likeliest); the present class wins ties."""
+    size = len(linked)
+    width, log = 2 * size + 1, np.log(linked + LITTLE)
+    as_right, as_left = np.log(linked.sum(0) + LITTLE * size), np.log(linked.sum(1) + LITTLE * size)
+    # a neighbour before costs P(class before, class) / P(class as right one), a neighbour behind likewise
+    prices = np.concatenate([log - as_right, log.T - as_left, [log.diagonal() - as_right - as_left]])
+
+    def run(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        place, slots, n = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+        row = np.repeat(np.arange(len(place)), np.diff(slots.offsets.to_numpy()))
+        cells = row * width + slots.flatten().to_numpy()
+        gain = np.bincount(cells, weights=n.flatten().to_numpy(), minlength=len(place) * width).reshape(len(place), width) @ prices
+        now = classes.value.table[place].astype(np.int64)
+        best, at = gain.argmax(1), np.arange(len(place))
+        return place, np.where(gain[at, best] <= gain[at, now] + 1e-9, now, best)
+
+    return _packed(counts.groupBy("place").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.flatten(F.collect_list("n")).alias("n")), run)
+
+
+def cluster(codes: DataFrame, symbols: Alphabet, pairs: np.ndarray, core: np.ndarray, first: Classes, rounds: int | None = None) -> tuple[Classes, np.ndarray]:
+    """(classes, class bigrams) after the rounds."""
+    size = int(core.max()) + 1
+    context, member = codes.sparkSession.sparkContext, np.eye(size, dtype=np.int64)[core]
+    linked, now = member.T @ pairs @ member, first
+    shared = context.broadcast(now)
+    for _ in range(ROUNDS if rounds is None else rounds):
+        at, own = moved(neighbours(codes, symbols, shared, size), linked, shared)
+        if (now.table[at] == own).all():
             break
-        again = bigrams(training, symbols, hashes, new)
-        again = np.pad(again, (0, count - len(again)))
-        if likelihood(again) <= likelihood(linked):
+        table = now.table.copy()
+        table[at] = own
+        new = Classes(table, now.of_shape, now.of_end)
+        again = context.broadcast(new)
+        sums = class_bigrams(codes, again, size)
+        shared.unpersist()
+        if likelihood(sums) <= likelihood(linked):
             break
-        by_code, linked = new, again
-    return by_code, linked
+        now, linked, shared = new, sums, again
+    return now, linked
 
 
 @dataclass(frozen=True)
 class Model:
-    symbols: Alphabet
+    classes: Classes
     move: np.ndarray  # log10 P(class | class before): row the class before, column the class
-    emit: np.ndarray  # log10 P(symbol | class of symbol), for symbols of the alphabet
-    inside: np.ndarray  # log10 of the denominator of P(word | class), for clustered words
-    of: np.ndarray  # class by code
-    hashes: np.ndarray  # sorted, of the clustered words
-    room: np.ndarray  # log10 of the denominator of P(word | shape)
-    known: dict[bytes, int]
-    base_room: float
-
-
-def build(symbols: Alphabet, linked: np.ndarray, of: np.ndarray, hashes: np.ndarray, shapes: dict[int, tuple[int, int]], known: dict[bytes, int], tokens: int, words: int) -> Model:
-    """shapes: shape -> (tokens, distinct words) of words that are no symbols; tokens and words: of all training."""
-    move = np.log10((linked + LITTLE) / (linked.sum(1, keepdims=True) + LITTLE * len(linked)))
-    n = np.array([shapes.get(s, (0, 0))[0] for s in range(SHAPES)] + [known.get(w, 0) for w in symbols.head], float)
-    inside = np.log10(np.maximum(linked.sum(0) + 0.5 * np.bincount(of, minlength=len(linked)), 0.5))
-    emit = np.log10(n + 0.5) - inside[of[: symbols.size]]
-    room = np.array([math.log10(shapes.get(s, (0, 0))[0] + 0.5 * (shapes.get(s, (0, 0))[1] + 1)) for s in range(SHAPES)])
-    return Model(symbols, move, emit, inside, of, hashes, room, known, math.log10(tokens + 0.5 * (words + 1)))
-
-
-def _shape_batches(head: Alphabet):
+    inside: np.ndarray  # log10 of the denominator of P(word | class)
+    base_room: float  # log10 of the unigram's denominator
+
+
+def emissions(counted: DataFrame, classes: Broadcast, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, distinct words) of each class in training, the end among them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        tokens, words = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
+        tokens, words = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in head.head and n < MIN_COUNT:
-                    at = shape(word)
-                    tokens[at] += n
-                    words[at] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(SHAPES), pa.int32()), pa.array(tokens), pa.array(words)], names=["shape", "tokens", "words"])
+            own = batch.column(0)
+            codes = places(own.to_pylist()) | shapes(own) << PLACE_BITS
+            codes[pc.equal(own, pa.scalar(END, pa.binary())).to_numpy(zero_copy_only=False)] = -1
+            of = classes.value.of(codes)
+            tokens += np.bincount(of, weights=batch.column(1).to_numpy(), minlength=size).astype(np.int64)
+            words += np.bincount(of, minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(tokens), pa.array(words)], names=["class", "tokens", "words"])
 
-    return run
+    rows = map_arrow(counted.select("word", "n"), run, "class int, tokens long, words long").groupBy("class").agg(F.sum("tokens"), F.sum("words")).collect()
+    out = np.zeros((2, size))
+    for own, tokens, words in rows:
+        out[:, own] = tokens, words
+    return out[0], out[1]
 
 
 @dataclass(frozen=True)
 class Learned:
     model: Model
+    documents: DataFrame  # the encoded documents, in the checkpoint folder
     rare: DataFrame  # (word, n) of the words that are not broadcast
     tokens: int
 
 
 def learn(docs: DataFrame) -> Learned:
-    """(text, held_out) -> the model and the counts it doesn't carry."""
-    training = docs.where(~F.col("held_out")).select("text")
-    counted = word_counts(training).checkpoint()
+    """(doc_id, text, held_out) -> the model of the rows that aren't held out, and all rows encoded."""
+    context = docs.sparkSession.sparkContext
+    counted = word_counts(docs.where(~F.col("held_out"))).checkpoint()
     tokens, words = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     known, least = frequent(counted)
-    symbols = alphabet(known)
-    pairs = bigrams(training, symbols)
-    totals = map_arrow(counted, _shape_batches(symbols), "shape int, tokens long, words long").groupBy("shape").agg(F.sum("tokens"), F.sum("words")).collect()
+    encoded = encode(docs, known).checkpoint()
+    codes, symbols = encoded.where(~F.col("held_out")).select("codes"), alphabet(known)
+    pairs = bigrams(codes, symbols)
     core = exchange(pairs)
-    hashes, classes = clustered_words(counted, symbols, core)
-    of, linked = cluster(training, symbols, pairs, core, training.sparkSession.sparkContext.broadcast(hashes), classes)
-    model = build(symbols, linked, of, hashes, {r[0]: (r[1], r[2]) for r in totals}, known, tokens, words)
-    return Learned(model, counted.where(F.col("n") < least), tokens)
+    classes, linked = cluster(codes, symbols, pairs, core, start(counted, symbols, core))
+    size = len(linked)
+    inside_tokens, inside_words = emissions(counted, context.broadcast(classes), size)
+    move = np.log10((linked + LITTLE) / (linked.sum(1, keepdims=True) + LITTLE * size))
+    model = Model(classes, move, np.log10(inside_tokens + 0.5 * (inside_words + 1)), math.log10(tokens + 0.5 * (words + 1)))
+    return Learned(model, encoded, counted.where(F.col("n") < least), tokens)
 
 
-def _score_batches(shared):
+def _path_batches(shared: Broadcast):
+    """The score without log10(count + 1/2) of the words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         model: Model = shared.value
-        known, head, size, reader = model.known.get, model.symbols.head, model.symbols.size, Reader(model.symbols, model.hashes)
-        log_of = {w: math.log10(n + 0.5) for w, n in model.known.items()}
-        end_log = log_of.get(END, math.log10(0.5))
         for batch in batches:
-            out: list[tuple] = []
-            for text in utf8(batch, 2):
-                words = (text or b"").lower().split()
-                seen, scored, base, extra = 0, 0.0, end_log, 0.0
-                missing: list[tuple[bytes, int]] = []
-                for word, n in Counter(words).items():
-                    value = log_of.get(word)
-                    if value is None:
-                        missing.append((word, n))
-                    else:
-                        seen += n
-                        base += n * value
-                        if word not in head:
-                            extra += n * value
-                line = reader.read(words)
-                shapes, of, tokens = line[line < SHAPES], model.of[line], line[1:]
-                scored = float(model.move[of[:-1], of[1:]].sum() + model.emit[tokens[tokens < size]].sum() - model.inside[of[1:][tokens >= size]].sum() - model.room[shapes].sum())
-                seen += known(END) is not None
-                out.append((len(words) + 1, seen, base - (len(words) + 1) * model.base_room, scored + extra, [w for w, _ in missing], [n for _, n in missing]))
-            columns = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names=["doc_id", "held_out", "row", "n_tokens", "seen", "base", "score", "words", "times"])
+            read, ends = line(batch.column(6))
+            of = model.classes.of(read)
+            sums = np.concatenate([[0.0], np.cumsum(model.move[of[:-1], of[1:]] - model.inside[of[1:]])]) if len(of) else np.zeros(1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(6)], pa.array(sums[ends[1:]] - sums[ends[:-1]])], names=["doc_id", "held_out", "rid", "n_tokens", "seen", "logs", "path"])
 
     return run
 
 
-def score(docs: DataFrame, learned: Learned) -> DataFrame:
-    """(doc_id, text, held_out) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "held_out", "text", F.xxhash64("doc_id", "text").alias("row"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    part = map_arrow(rows, _score_batches(spark.sparkContext.broadcast(learned.model)), f"doc_id {kind}, held_out boolean, row long, n_tokens long, seen long, base double, score double, words array<binary>, times array<int>").checkpoint()
-    # words that are not broadcast, of each row, which its id and hash name; equal rows have equal words, so their sums
-    # are divided by their number
-    tail = part.where(F.size("words") > 0).select("doc_id", "row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("doc_id", "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+def score(learned: Learned) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of all documents that were encoded."""
+    encoded, model = learned.documents, learned.model
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    rows = encoded.select("doc_id", "held_out", "rid", "n_tokens", "seen", "logs", "codes")
+    paths = map_arrow(rows, _path_batches(encoded.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, rid long, n_tokens long, seen long, logs double, path double")
+    tail = encoded.where(F.size("words") > 0).select("rid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("rid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     rare = learned.rare.select(F.col("word").alias("rare"), F.col("n"))
-    priced = tail.join(rare, F.col("word") == F.col("rare"), "left").groupBy("doc_id", "row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"))
-    priced = priced.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "more", "found")
-    copies = part.groupBy("doc_id", "row").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("doc_id").alias("_i"), F.col("row").alias("_r"), "copies")
-    priced = priced.join(copies, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "left").select("_id", "_row", (F.col("more") / F.coalesce("copies", F.lit(1))).alias("more"), F.floor(F.col("found") / F.coalesce("copies", F.lit(1))).cast("long").alias("found"))
-    more = F.coalesce("more", F.lit(0.0))
-    return part.join(priced, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(learned.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
+    priced = tail.join(rare, F.col("word") == F.col("rare"), "left").groupBy(F.col("rid").alias("_rid")).agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found")
     )
+    logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
+    return paths.join(priced, F.col("rid") == F.col("_rid"), "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(learned.tokens).cast("long").alias("train_tokens"),
+        (logs - F.col("n_tokens") * F.lit(model.base_room)).alias("base_score"), (logs + F.col("path")).alias("score"),
+    )
 
 
 def perplexity(scored: DataFrame) -> DataFrame:
@@ -443,4 +502,4 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def op4_brown_class_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out(F.col("doc_id"), 5, 1).alias("held_out"))
-    return score(docs, learn(docs))
+    return score(learn(docs))

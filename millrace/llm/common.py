@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 
 from millrace.session import ensure_checkpoint_dir, ship
 
-#: Rows in one Arrow batch. A batch of very long documents must still fit a small Python worker.
-ROWS_PER_BATCH = 256
+#: Rows and bytes in one Arrow batch, whichever is met first: a batch of very long documents must still fit a small Python worker.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 2048, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make the session ready for Python stages: shipped code, bounded batches, a checkpoint folder."""
+    """Make the session ready for Python stages: shipped code, bounded batches, a checkpoint folder.
+
+    Batches are bounded by settings of the session, which stay lowered; larger values of the caller's are lowered, too."""
     ship(spark)
     ensure_checkpoint_dir(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS_PER_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is None or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -38,9 +42,10 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training: Column, rows: int) -> DataFrame:
-    """(text, label): at most `rows` labels of the training fold in hash order of their id, joined to their documents.
+    """(_id, text, label): at most `rows` labels of the training fold in hash order of their id, each joined to one document.
 
-    Only the ids and labels of the sample, whose number is bounded by `rows`, are broadcast."""
+    Of documents that share an id the greatest text stands for all, so the sample has at most `rows` rows. Only the ids
+    and labels of the sample, whose number is bounded by `rows`, are broadcast."""
     wanted = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("_id").isNotNull() & F.col("label").isNotNull() & in_training)
@@ -48,7 +53,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, in_training:
         .orderBy(F.xxhash64("_id"), "_id").limit(rows)
     )
     texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).select("_id", "text", "label")
+    found = texts.join(F.broadcast(wanted), F.col("_doc") == F.col("_id"))
+    return found.groupBy("_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
 def fresh(df: DataFrame, name: str) -> str:
