@@ -1,15 +1,19 @@
 """Running SQL text under guard, and comparing result sets.
 
-Spark SQL is the dialect. A query is parsed first and rejected unless every node of its plan belongs to a query; it runs
-under a job group that a timer cancels at the deadline, after which the session goes on."""
+Spark SQL is the dialect. A query is parsed first and rejected unless every node of its plan belongs to a query, every
+relation is a table of the session (or of the given list) under its plain name, and every function is a builtin of a
+group that only computes; so paths, commands, scripts, JVM calls and user functions don't pass. It runs under a job
+group that a timer cancels at the deadline, one deadline a query, after which the session goes on."""
 
 from __future__ import annotations
 
 import threading
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,34 +22,79 @@ ROW_LIMIT, SECONDS, ERROR_CHARS = 1_000_000, 5.0, 300
 #: Plan nodes that a read-only query may hold, by class name of Spark's parser output.
 READ_NODES = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Limit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedWith UnresolvedHaving UnresolvedInlineTable "
-    "OneRowRelation WithWindowDefinition Generate Pivot Unpivot LateralJoin Tail Range UnresolvedTableValuedFunction UnresolvedSubqueryColumnAliases UnresolvedHint Window Sample CTERelationDef WithCTE "
-    "LocalRelation Expand Deduplicate UnresolvedTVFAliases UnresolvedOrdinal View RelationTimeTravel AsOfJoin".split()
+    "OneRowRelation WithWindowDefinition Generate Pivot Unpivot LateralJoin Tail UnresolvedTableValuedFunction UnresolvedSubqueryColumnAliases UnresolvedHint Window Sample CTERelationDef WithCTE "
+    "LocalRelation Expand Deduplicate UnresolvedTVFAliases UnresolvedOrdinal".split()
 )
+#: Groups of builtin functions that compute and nothing else, by Spark's own documentation of each function.
+READ_GROUPS = frozenset(
+    f"{group}_funcs" for group in "agg array bitwise collection conditional conversion csv date datetime generator hash json lambda map math predicate sort string struct url variant window xml operator".split()
+)
+#: Functions of the mixed group that only compute.
+READ_OTHERS = frozenset(("typeof", "equal_null", "bitmap_bit_position", "bitmap_bucket_number", "bitmap_count", "assert_true", "raise_error"))
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
+#: Expressions that name what they run or read only when the query is analysed.
+OPEN_EXPRESSIONS = frozenset(("ExpressionWithUnresolvedIdentifier", "FunctionTableSubqueryArgumentExpression"))
 
 
 class Rejected(ValueError):
     """The text isn't a read-only query."""
 
 
-def _nodes(plan) -> list[str]:
-    out, todo = [], [plan]
-    while todo:
-        node = todo.pop()
-        out.append(node.getClass().getSimpleName())
-        for part in (node.children(), node.innerChildren()):
-            for k in range(part.size()):
-                child = part.apply(k)
-                if hasattr(child, "innerChildren") and "plans.logical" in child.getClass().getName() or "catalyst.analysis" in child.getClass().getName():
-                    todo.append(child)
-    return out
+def _items(seq) -> Iterator:
+    return (seq.apply(k) for k in range(seq.size()))
 
 
-def check_read_only(spark: SparkSession, sql: str) -> None:
-    """Raise Rejected unless the text parses to a plan of query nodes only."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    odd = [name for name in _nodes(plan) if name not in READ_NODES]
-    if odd:
-        raise Rejected(f"not a read-only query: {odd[0]}")
+_CATALYST = "org.apache.spark.sql.catalyst."
+
+
+def _tree(spark: SparkSession, plan) -> Iterator[tuple[str, bool, object]]:
+    """(class name, whether it is a plan node, node) of all plan nodes and expressions, those of subqueries and of common
+    tables among them."""
+    gateway, todo = spark.sparkContext._gateway, [plan]
+    while todo:
+        node = todo.pop()
+        is_plan = is_instance_of(gateway, node, _CATALYST + "plans.logical.LogicalPlan")
+        yield node.getClass().getSimpleName(), is_plan, node
+        todo += _items(node.children())
+        todo += [x for x in _items(node.innerChildren()) if is_instance_of(gateway, x, _CATALYST + "trees.TreeNode")]
+        if is_plan:
+            todo += _items(node.expressions())
+
+
+def _common_tables(tree: list[tuple[str, bool, object]]) -> set[str]:
+    return {x._1().lower() for kind, _, node in tree if kind == "UnresolvedWith" for x in _items(node.cteRelations())}
+
+
+def _computes(spark: SparkSession, name: str) -> bool:
+    """Whether a function is a builtin of the read groups."""
+    if name in READ_OTHERS:
+        return True
+    state, jvm = spark._jsparkSession.sessionState(), spark.sparkContext._jvm
+    if spark._jsparkSession.sessionState().catalog().isTemporaryFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)):
+        return False
+    found = state.functionRegistry().lookupFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
+    return found.isDefined() and found.get().getGroup() in READ_GROUPS
+
+
+def check_read_only(spark: SparkSession, sql: str, tables: frozenset[str] | None = None) -> None:
+    """Raise Rejected unless the text parses to a plan that only reads: tables by plain names (of `tables`, lower-case, if
+    given) and builtin functions that compute."""
+    tree = list(_tree(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)))
+    common = _common_tables(tree)
+    for kind, is_plan, node in tree:
+        if is_plan and kind not in READ_NODES:
+            raise Rejected(f"not a read-only query: {kind}")
+        if kind in OPEN_EXPRESSIONS:
+            raise Rejected(f"not a read-only query: {kind}")
+        if kind == "UnresolvedRelation":
+            parts = [x.lower() for x in _items(node.multipartIdentifier())]
+            if len(parts) != 1 or tables is not None and parts[0] not in tables | common:
+                raise Rejected(f"not a table of the catalogue: {'.'.join(parts)}")
+        if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            parts = [x.lower() for x in _items(node.nameParts() if kind == "UnresolvedFunction" else node.name())]
+            known = _computes(spark, parts[0]) if kind == "UnresolvedFunction" else parts[0] in TABLE_FUNCTIONS
+            if len(parts) != 1 or not known:
+                raise Rejected(f"not a function that only computes: {'.'.join(parts)}")
 
 
 def error_text(error: BaseException) -> str:
@@ -82,11 +131,24 @@ def within(spark: SparkSession, seconds: float, action: Callable[[], object]) ->
             context.setLocalProperty(key, None)
 
 
-def run(spark: SparkSession, sql: str) -> DataFrame:
-    check_read_only(spark, sql)
+def run(spark: SparkSession, sql: str, tables: frozenset[str] | None = None) -> DataFrame:
+    check_read_only(spark, sql, tables)
     return spark.sql(sql)
 
 
+class Deadline:
+    """One budget of seconds for all steps of a query."""
+
+    def __init__(self, spark: SparkSession, seconds: float) -> None:
+        self.spark, self.seconds, self.end = spark, seconds, time.monotonic() + seconds
+
+    def run(self, action: Callable[[], object]) -> object:
+        left = self.end - time.monotonic()
+        if left <= 0:
+            raise TimedOut(f"timeout: query exceeded {self.seconds:g} s")
+        return within(self.spark, left, action)
+
+
 def _positional(df: DataFrame, prefix: str) -> DataFrame:
     return df.toDF(*[f"{prefix}{k}" for k in range(len(df.columns))])
 
@@ -113,7 +175,9 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
                 left, right = left.withColumn(name, F.lit(None).cast("string")), right.withColumn(name, F.lit(None).cast("string"))
             else:
                 return False
-    return left.subtract(right).isEmpty() and right.subtract(left).isEmpty()
+    # one grouping of both sides: a row in which only one of them takes part is a difference
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(2)))
+    return both.groupBy(*left.columns).agg(F.bit_or("_side").alias("_sides")).where("_sides <> 3").isEmpty()
 
 
 def capped_rows(df: DataFrame, limit: int = ROW_LIMIT) -> tuple[DataFrame, bool]:
@@ -147,42 +211,66 @@ class Scorer:
     spark: SparkSession
     seconds: float = SECONDS
     row_limit: int = ROW_LIMIT
+    tables: frozenset[str] | None = None  # lower-case names that queries may read; None: all of the session
 
-    def score(self, predicted: str, gold: str) -> tuple[bool, str]:
+    def _held(self, sql: str, deadline: Deadline) -> tuple[DataFrame, int]:
+        """(distinct rows, their number up to one over the limit). The query runs once: its rows stay in the executors'
+        storage, are rebuilt if an executor is lost, and the caller gives them back."""
+        frame = _positional(run(self.spark, sql, self.tables), "c").distinct().persist()
         try:
-            wanted = run(self.spark, gold)
-            if within(self.spark, self.seconds, lambda: capped_rows(wanted, self.row_limit)[1]):
-                return False, "gold_error"
+            return frame, deadline.run(lambda: frame.limit(self.row_limit + 1).count())
         except Exception:
-            return False, "gold_error"
+            frame.unpersist()
+            raise
+
+    def score(self, predicted: str, gold: str) -> tuple[bool, str]:
+        held: list[DataFrame] = []
         try:
-            got = run(self.spark, predicted)
-            if within(self.spark, self.seconds, lambda: capped_rows(got, self.row_limit)[1]):
-                return False, "row_limit"
-            match, empty = within(self.spark, self.seconds, lambda: (same_rows(got, wanted), got.isEmpty() and wanted.isEmpty()))
-        except TimedOut:
-            return False, "timeout"
-        except Exception:
-            return False, "execution_error"
-        return match, "empty" if empty else "ok"
+            try:
+                wanted, rows = self._held(gold, Deadline(self.spark, self.seconds))
+                held.append(wanted)
+            except Exception:
+                return False, "gold_error"
+            if rows > self.row_limit:
+                return False, "gold_error"
+            try:
+                deadline = Deadline(self.spark, self.seconds)
+                got, found = self._held(predicted, deadline)
+                held.append(got)
+                if found > self.row_limit:
+                    return False, "row_limit"
+                match = deadline.run(lambda: same_rows(got, wanted))
+            except TimedOut:
+                return False, "timeout"
+            except Exception:
+                return False, "execution_error"
+            return match, "empty" if not rows and not found else "ok"
+        finally:
+            for frame in held:
+                frame.unpersist()
 
     def probe(self, sql: str) -> tuple[bool, str]:
         """Whether the query runs, with an error text; over the row limit still counts as running."""
         try:
-            frame = run(self.spark, sql)
-            within(self.spark, self.seconds, lambda: capped_rows(frame, self.row_limit))
+            deadline = Deadline(self.spark, self.seconds)
+            self._held(sql, deadline)[0].unpersist()
         except Exception as error:
             return False, error_text(error)
         return True, ""
 
     def fingerprint(self, sql: str) -> tuple[bool, str]:
+        frame = None
         try:
-            frame = run(self.spark, sql)
-            if within(self.spark, self.seconds, lambda: capped_rows(frame, self.row_limit)[1]):
+            deadline = Deadline(self.spark, self.seconds)
+            frame, found = self._held(sql, deadline)
+            if found > self.row_limit:
                 return False, ""
-            rows, digest = within(self.spark, self.seconds, lambda: fingerprint_frame(frame).first())
+            rows, digest = deadline.run(lambda: fingerprint_frame(frame).first())
         except Exception:
             return False, ""
+        finally:
+            if frame is not None:
+                frame.unpersist()
         return True, f"{rows}:{digest}"
 
     def score_all(self, examples: list[tuple[int, str, str]]) -> DataFrame:

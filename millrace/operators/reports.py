@@ -60,7 +60,7 @@ def f1(gold: Column, predicted: Column) -> Column:
 
 def block_names(raw: Column) -> Column:
     """struct(found, tables, columns): names of the leading `-- tables:` and `-- columns:` lines, lower-case."""
-    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: F.trim(x))
     kind = r"(?i)^--\s*(tables|columns):\s*(.*)$"
     end = F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.lit(kind))), F.lit(False))
     block = F.when(end == 0, lines).otherwise(F.slice(lines, 1, F.greatest(end - 1, F.lit(0)).cast("int")))

@@ -132,6 +132,35 @@ def rewards(spark, sf_dir):
     return judged.select("index", reports.reward(F.col("predicted"), F.col("match"), F.size(linking.mentioned_tables(F.col("predicted"), names)) > 0, F.col("runs")).alias("reward"))
 
 
+#: (index, text, what the guard says): rejected, or the category against the same text as gold under a limit of 20 rows.
+GUARDED = [
+    (0, "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "rejected"),
+    (1, "SELECT * FROM text.`/etc/hostname`", "rejected"),
+    (2, "WITH a AS (SELECT java_method('java.lang.System', 'getenv', 'HOME') AS x) SELECT x FROM a", "rejected"),
+    (3, "INSERT INTO region VALUES (9, 'x')", "rejected"),
+    (4, "SELECT r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)", "ok"),
+    (5, "SELECT c_custkey FROM customer", "row_limit"),
+    (6, "SELECT nothing FROM region", "execution_error"),
+    (7, "SELECT event_id FROM events", "rejected"),
+    (8, "SELECT r_name FROM region WHERE r_regionkey < 0", "empty"),
+]
+
+
+@query("guard_verdicts", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{verdict}')" for i, _, verdict in GUARDED) + ") AS t(\"index\", verdict)")
+def guard_verdicts(spark, sf_dir):
+    """What the read-only guard and the row limit make of queries: only the star schema's tables may be read."""
+    _views(spark, sf_dir)
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    scorer, rows = execute.Scorer(spark, seconds=60, row_limit=20, tables=frozenset(TABLES)), []
+    for i, sql, _ in GUARDED:
+        try:
+            execute.check_read_only(spark, sql, scorer.tables)
+            rows.append((i, scorer.score(sql, "SELECT r_name FROM region WHERE r_regionkey < 0")[1]))
+        except execute.Rejected:
+            rows.append((i, "rejected"))
+    return spark.createDataFrame(rows, "index int, verdict string")
+
+
 def _candidates(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     rows = F.when(F.col("event_type") == "click", F.lit("0:none")).otherwise(F.concat(F.lit("3:"), "event_type"))
@@ -150,7 +179,7 @@ def majority_vote(spark, sf_dir):
     return reports.majority(_candidates(spark, sf_dir))
 
 
-@query("resume_anti_join", "SELECT event_id AS idx FROM events WHERE event_id % 3 <> 0 AND event_id < 1000")
+@query("resume_anti_join", "SELECT event_id AS idx FROM events WHERE event_id % 3 <> 0")
 def resume_anti_join(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"))
     return events.join(events.where("idx % 3 = 0"), "idx", "left_anti")
@@ -168,7 +197,7 @@ def last_wins(spark, sf_dir):
     return files.last_wins(rows, "key", "turn").select("key", "role", "chars")
 
 
-@query("submission", "SELECT CAST(doc_id AS VARCHAR) AS key, regexp_replace(regexp_replace(left(text, 200), '[" + r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}" + "]+', ' ', 'g'), '^ | $', '', 'g') || chr(9) || '----- bird -----' || chr(9) || source AS line FROM documents")
+@query("submission", "SELECT CAST(doc_id AS VARCHAR) AS key, regexp_replace(regexp_replace(text, '[" + r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}" + "]+', ' ', 'g'), '^ | $', '', 'g') || chr(9) || '----- bird -----' || chr(9) || source AS line FROM documents")
 def submission(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows, _ = files.submission(docs.select(F.col("doc_id").alias("index"), F.col("text").alias("predicted_sql")), docs.select(F.col("doc_id").alias("index"), F.col("source").alias("db_id")))

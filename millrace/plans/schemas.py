@@ -63,8 +63,7 @@ def table_mentions(spark, sf_dir):
 
 @query("linking_blocks", r"SELECT * FROM (VALUES (0, '-- tables: customer, nation' || chr(10) || '-- columns: customer.c_name, customer.c_nationkey, nation.n_nationkey, nation.n_name' || chr(10)), (1, '-- tables: orders' || chr(10) || '-- columns: orders.o_totalprice' || chr(10)), (2, '-- tables: part' || chr(10) || '-- columns: part.p_name, part.p_size' || chr(10)), (3, '-- tables:' || chr(10) || '-- columns:' || chr(10))) AS t(query, block)")
 def linking_blocks(spark, sf_dir):
-    own = {"star": {t: [f.name for f in table(spark, sf_dir, t).schema.fields] for t in TABLES}}
-    return _queries(spark).select("query", linking.linking_blocks(own)("sql", "db_id").alias("block"))
+    return linking.linking_blocks(_queries(spark), _columns(spark, sf_dir), "query")
 
 
 @query("touches_database", f"SELECT query, count(tbl) > 0 AS touches FROM (SELECT query, sql FROM {_Q}) LEFT JOIN {_T} ON regexp_matches(sql, '(?i)\\b(FROM|JOIN)\\s+' || tbl || '\\b') GROUP BY query")

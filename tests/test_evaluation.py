@@ -21,6 +21,27 @@ def test_read_only(spark, scorer):
             execute.check_read_only(spark, sql)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.System', 'getenv', 'HOME')", "SELECT id FROM t WHERE id IN (SELECT length(try_reflect('a', 'b')) FROM t)",
+        "SELECT sum(id) OVER (ORDER BY reflect('a', 'b')) FROM t", "SELECT * FROM VALUES (reflect('a', 'b')) v(x)", "SELECT transform(array(1), x -> reflect('a', 'b'))", "SELECT * FROM t LATERAL VIEW explode(array(reflect('a', 'b'))) v AS z",
+        "SELECT * FROM text.`/etc/hostname`", "WITH a AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM a", "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')", "SELECT IDENTIFIER('reflect')('a', 'b')", "SELECT input_file_name()", "SELECT * FROM sql_keywords()",
+        "SELECT mine(1)", "SELECT TRANSFORM(id) USING 'cat' AS x FROM t", "ADD JAR 'x'", "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'", "SHOW TABLES", "SELECT * FROM t |> WHERE reflect('a', 'b') = 1",
+    ],
+)
+def test_guard_refuses(spark, scorer, sql):
+    spark.udf.register("mine", lambda x: x)
+    with pytest.raises(execute.Rejected):
+        execute.check_read_only(spark, sql)
+
+
+def test_guard_keeps_to_the_given_tables(spark, scorer):
+    execute.check_read_only(spark, "WITH a AS (SELECT id FROM T) SELECT * FROM a JOIN t USING (id)", frozenset(["t"]))
+    with pytest.raises(execute.Rejected):
+        execute.check_read_only(spark, "SELECT * FROM nums", frozenset(["t"]))
+
+
 def test_result_equality(scorer):
     score = scorer.score
     assert score("SELECT name FROM t ORDER BY name", "SELECT DISTINCT name AS x FROM t") == (True, "ok")
@@ -76,18 +97,31 @@ def test_block_names(spark):
     row = spark.createDataFrame([(raw,), ("SELECT 1",), (None,)], "r string").select(reports.block_names(F.col("r")).alias("b")).collect()
     assert (row[0]["b"]["found"], row[0]["b"]["tables"], row[0]["b"]["columns"]) == (True, ["a", "b"], ["a.x", "b.y"])
     assert not row[1]["b"]["found"] and not row[2]["b"]["found"]
-    assert linking.block_tables(raw) == ["A", "b"] and linking.block_tables("SELECT 1") == []
+    found = spark.createDataFrame([(0, raw), (1, "SELECT 1"), (2, "-- note\n--TABLES: x\n-- tables: y")], "k int, r string").select("k", linking.block_tables(F.col("r")).alias("t")).collect()
+    assert {r["k"]: r["t"] for r in found} == {0: ["A", "b"], 1: [], 2: ["x"]}
 
 
 SCHEMA = {"Orders": ["id", "customer_id", "total"], "customers": ["id", "name"]}
 
 
+def catalog(spark, schema=SCHEMA):
+    return spark.createDataFrame([("d", t, c, k) for t, columns in schema.items() for k, c in enumerate(columns)], "db_id string, table string, column string, ordinal int")
+
+
 def test_linking(spark):
     sql = "SELECT c.name, total FROM orders AS o JOIN customers c ON o.customer_id = c.id WHERE \"total\" > 1"
-    assert linking.linking_block(sql, SCHEMA) == "-- tables: customers, Orders\n-- columns: customers.id, customers.name, Orders.customer_id, Orders.total\n"
-    assert linking.alias_map(sql, list(SCHEMA)) == {"orders": "Orders", "o": "Orders", "customers": "customers", "c": "customers"}
-    assert linking.requalify("SELECT o.name FROM orders o JOIN customers c ON o.customer_id = c.id", "no such column: o.name", SCHEMA) == "SELECT c.name FROM orders o JOIN customers c ON o.customer_id = c.id"
-    assert linking.requalify("SELECT o.id FROM orders o JOIN customers c", "no such column: x.id", SCHEMA) is None
+    more = [(1, "d", "SELECT 1"), (2, "x", sql), (3, "d", None), (4, "d", "SELECT o . \"total\", id FROM \"Orders\" o WHERE z.name = 1"), (5, "d", "select name from nowhere n left join customers where id in (select x.total from orders x)")]
+    queries = spark.createDataFrame([(0, "d", sql), *more], "k int, db_id string, sql string")
+    assert {r["k"]: r["block"] for r in linking.linking_blocks(queries, catalog(spark), "k").collect()} == {
+        0: "-- tables: customers, Orders\n-- columns: customers.id, customers.name, Orders.customer_id, Orders.total\n",
+        1: "-- tables:\n-- columns:\n",
+        4: "-- tables: Orders\n-- columns: Orders.id, Orders.total\n",
+        5: "-- tables: customers, Orders\n-- columns: customers.id, customers.name, Orders.id, Orders.total\n",
+    }
+    assert {(r["name"], r["table"]) for r in linking.aliases(queries.where("k = 0"), catalog(spark), "k").collect()} == {("orders", "Orders"), ("o", "Orders"), ("customers", "customers"), ("c", "customers")}
+    failed = [(0, "SELECT o.name FROM orders o JOIN customers c ON o.customer_id = c.id", "no such column: o.name"), (1, "SELECT o.id FROM orders o JOIN customers c", "no such column: x.id"), (2, "SELECT o.name FROM orders o JOIN customers C", "[UNRESOLVED_COLUMN.WITH_SUGGESTION] A column with name `o`.`name` cannot be resolved"), (3, "SELECT o.nil FROM orders o", "no such column: o.nil"), (4, "SELECT x.total FROM orders", "no such column: x.total")]
+    repaired = linking.requalified(spark.createDataFrame([(k, "d", s, e) for k, s, e in failed], "k int, db_id string, sql string, error string"), catalog(spark), "k")
+    assert {r["k"]: r["sql"] for r in repaired.collect()} == {0: "SELECT c.name FROM orders o JOIN customers c ON o.customer_id = c.id", 2: "SELECT C.name FROM orders o JOIN customers C", 4: "SELECT orders.total FROM orders"}
     got = spark.createDataFrame([(sql,)], "s string").select(linking.mentioned_tables(F.col("s"), F.array(F.lit("Orders"), F.lit("customers"), F.lit("x"))).alias("m")).first()["m"]
     assert got == ["Orders", "customers"]
 
