@@ -1,16 +1,23 @@
 """Operator 5: toxicity by a weighted grammar of finite-state transducers.
 
-Five lexical transducers write a class over the words of a clause: insult (I), threat (T), target (Y), negation (N) and
-reported speech (R). They are composed with a clause transducer, the table CLAUSE: its state remembers whether a
-target, a negation or reported speech governs what follows, and each insult or threat leaves as one of six patterns
-with the weight of its arc (tropical weights: added along a path, the best arc of a word counts). A document's vector
-is the log of the weights collected by each pattern, and a logistic model turns it into a score. Isolated words score
-nothing by themselves: what counts is the clause they are matched in.
-
-Fixed word lists give the closed classes and a few seeds. The insult transducer's further arcs are learned: words and
-word beginnings whose documents are toxic far more often than chance (likelihood ratio of at least MIN_G2), from a
-bounded sample of labelled rows of the training fold (SAMPLE_ROWS, in hash order). Weights of patterns are fitted on
-the same rows, drawn to the PRIOR, so that patterns that the sample lacks keep a sensible weight.
+A clause is read by a cascade of weighted transducers (tropical weights: added along a path, the greatest sum wins),
+which are composed once into one:
+
+    lexicon      words -> insult I, threat T, target Y, negation N, report R, any other word W; I and T weigh as learned
+    negation     I and T become denied within REACH words behind an N
+    report       I and T become reported behind an R
+    target       guesses whether the clause has a target: I and T become aimed where a Y stands before or behind them,
+                 open otherwise; a path that guessed a target and met none isn't accepted
+    company      an open I or T needs another word in its clause; in a clause of insults alone it leaves as W
+
+What leaves on the best path are the six PATTERNS and W. A document's vector is the log of the lexical weights that each
+pattern collected over all its clauses, and a logistic model turns it into a score. So an isolated word, however often it
+is repeated, scores as a text without a match: what counts is the clause it is matched in.
+
+Fixed word lists give the closed classes and seeds of the open ones. Further arcs of the insult lexicon, and weights of
+the seeds, are learned: words and word beginnings whose documents are toxic far more often than chance (likelihood ratio
+of at least MIN_G2), from a bounded sample of labelled rows of the training fold (SAMPLE_ROWS, in hash order). Weights of
+patterns are fitted on the same rows, drawn to the PRIOR, so that patterns that the sample lacks keep a sensible weight.
 
 Whole texts are read, by one automaton over all insults and threats; clauses are parsed only where one occurs, as the
 others can't match. Null and empty texts score as texts without a match. Repeated documents get equal scores. Without
@@ -38,21 +45,143 @@ THREATS = "kill murder hurt strangle stab shoot destroy butcher töten umbringen
 TARGETS = frozenset("you your you're youre u ur he she they them him her this these everyone du dich dir ihr euch sie tu te toi vous tú usted ustedes vosotros".split())
 NEGATIONS = frozenset("not no never nobody isn't aren't wasn't don't won't can't cannot neither nor without nicht kein keine nie niemals ne pas jamais aucun sans nunca jamás ningún sin".split())
 REPORTS = frozenset("said says say told wrote writes called calls quote quoted quotes according claims claimed reported reports alleged allegedly sagte sagt schrieb laut dit disait écrit selon dijo dice escribió según".split())
-PATTERNS = ("insult", "insult_target", "insult_denied", "insult_reported", "threat_target", "threat_other")
+PATTERNS = ("insult", "insult_aimed", "denied", "reported", "threat_aimed", "threat")
 PRIOR = np.array([1.0, 1.6, -0.2, 0.1, 1.6, 0.1])
 PRIOR_START = -2.0
-#: State bits: 1 target seen, 2 negation governs, 4 reported speech governs. Negation governs the next REACH words.
+#: Negation governs the next REACH words.
 REACH = 4
-CLAUSE = {(state, cls): state | {"Y": 1, "N": 2, "R": 4}.get(cls, 0) for state in range(8) for cls in "YNR"}
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _STOP = re.compile(r"[.,;:!?\n|]+")
 
 
-def emitted(cls: str, state: int) -> int:
-    """The pattern that an insult or threat leaves as in a state."""
-    if cls == "T":
-        return 4 if state == 1 else 5
-    return 2 if state & 2 else 3 if state & 4 else 1 if state & 1 else 0
+Arc = tuple[object, str, str, float, object]  # from, input, output, weight, to
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted transducer without empty labels: every arc reads one symbol and writes one."""
+
+    start: object
+    finals: frozenset
+    arcs: dict[object, dict[str, tuple[tuple[str, float, object], ...]]]
+
+    @staticmethod
+    def of(start: object, finals: Iterable, arcs: Iterable[Arc]) -> Transducer:
+        out: dict = {}
+        for source, read, write, weight, target in arcs:
+            out.setdefault(source, {}).setdefault(read, []).append((write, weight, target))
+        return Transducer(start, frozenset(finals), {s: {r: tuple(x) for r, x in by.items()} for s, by in out.items()})
+
+    def listed(self) -> Iterator[Arc]:
+        return ((s, r, w, weight, t) for s, by in self.arcs.items() for r, found in by.items() for w, weight, t in found)
+
+    def best(self, symbols: Iterable[str]) -> tuple[float, list[str]] | None:
+        """(weight, output) of the heaviest accepted path, of equal ones the one with the least output; None without any."""
+        front: dict[object, tuple[float, tuple | None]] = {self.start: (0.0, None)}
+        for symbol in symbols:
+            ahead: dict[object, tuple[float, tuple | None]] = {}
+            for state, (total, path) in front.items():
+                for write, weight, target in self.arcs.get(state, {}).get(symbol, ()):
+                    new, old = (total + weight, (write, path)), ahead.get(target)
+                    if old is None or new[0] > old[0] or new[0] == old[0] and _unrolled(new[1]) < _unrolled(old[1]):
+                        ahead[target] = new
+            front = ahead
+        ends = [(-total, _unrolled(path)) for state, (total, path) in front.items() if state in self.finals]
+        if not ends:
+            return None
+        total, path = min(ends)
+        return -total, path
+
+
+def _unrolled(path: tuple | None) -> list[str]:
+    out = []
+    while path is not None:
+        out.append(path[0])
+        path = path[1]
+    return out[::-1]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """What b makes of a's output: pairs of states, weights added, trimmed to states that lie on an accepted path."""
+    start, todo, arcs = (a.start, b.start), [(a.start, b.start)], []
+    seen = {start}
+    while todo:
+        state = todo.pop()
+        for read, found in a.arcs.get(state[0], {}).items():
+            for middle, first, one in found:
+                for write, second, two in b.arcs.get(state[1], {}).get(middle, ()):
+                    arcs.append((state, read, write, first + second, (one, two)))
+                    if (one, two) not in seen:
+                        seen.add((one, two))
+                        todo.append((one, two))
+    live = {s for s in seen if s[0] in a.finals and s[1] in b.finals}
+    finals, sources = frozenset(live), {}
+    for arc in arcs:
+        sources.setdefault(arc[4], set()).add(arc[0])
+    todo = list(live)
+    while todo:
+        for source in sources.get(todo.pop(), ()):
+            if source not in live:
+                live.add(source)
+                todo.append(source)
+    return Transducer.of(start, finals, [x for x in arcs if x[0] in live and x[4] in live])
+
+
+def negation() -> Transducer:
+    """State: how many words the last negation still governs."""
+    arcs = []
+    for left in range(REACH + 1):
+        after = max(0, left - 1)
+        arcs += [(left, c, c, 0.0, after) for c in "YRW"] + [(left, "N", "W", 0.0, REACH)]
+        arcs += [(left, c, f"{c}:denied" if left else c, 0.0, after) for c in "IT"]
+    return Transducer.of(0, range(REACH + 1), arcs)
+
+
+def report() -> Transducer:
+    arcs = []
+    for on in (0, 1):
+        arcs += [(on, c, c, 0.0, on) for c in ("Y", "W", "I:denied", "T:denied")] + [(on, "R", "W", 0.0, 1)]
+        arcs += [(on, c, f"{c}:reported" if on else c, 0.0, on) for c in "IT"]
+    return Transducer.of(0, (0, 1), arcs)
+
+
+_SETTLED = tuple(f"{c}:{how}" for c in "IT" for how in ("denied", "reported"))
+
+
+def target() -> Transducer:
+    """Guess at the first word: `wanted` must meet a Y and then is `met`; `none` takes every I and T as open."""
+    arcs = [("begin", read, write, weight, to) for state in ("wanted", "none") for read, write, weight, to in _target_arcs(state)]
+    for state in ("wanted", "met", "none"):
+        arcs += [(state, *arc) for arc in _target_arcs(state)]
+    return Transducer.of("begin", ("begin", "met", "none"), arcs)
+
+
+def _target_arcs(state: str) -> list[tuple]:
+    aimed = state != "none"
+    found = [("Y", "W", 0.0, "met" if aimed else state), ("W", "W", 0.0, state), *[(c, c, 0.0, state) for c in _SETTLED]]
+    return found + [(c, f"{c}:aimed" if aimed else f"{c}:open", 2.0 if aimed else 1.0, state) for c in "IT"]
+
+
+def company() -> Transducer:
+    """Guess at the first word: `alone` must meet a word beside insults and threats and then is `joined`; `dropped` lets
+    open ones leave as W."""
+    pattern = {"I:aimed": "insult_aimed", "T:aimed": "threat_aimed", "I:open": "insult", "T:open": "threat"} | {f"{c}:{how}": how for c in "IT" for how in ("denied", "reported")}
+
+    def of(state: str) -> list[tuple]:
+        kept = [("W", "W", 0.0, "joined" if state == "alone" else state)]
+        return kept + [(c, "W" if state == "dropped" and c.endswith("open") else out, 0.0 if state == "dropped" else 1.0, state) for c, out in pattern.items()]
+
+    arcs = [("begin", *arc) for state in ("alone", "dropped") for arc in of(state)] + [(state, *arc) for state in ("alone", "joined", "dropped") for arc in of(state)]
+    return Transducer.of("begin", ("begin", "joined", "dropped"), arcs)
+
+
+def grammar() -> Transducer:
+    """Word classes of a clause -> patterns."""
+    return compose(compose(compose(negation(), report()), target()), company())
+
+
+def closed_class(word: str) -> str:
+    return "Y" if word in TARGETS else "N" if word in NEGATIONS else "R" if word in REPORTS else "W"
 
 
 @dataclass(frozen=True)
@@ -78,7 +207,19 @@ def seeds() -> Lexicon:
 
 class Parser:
     def __init__(self, lexicon: Lexicon) -> None:
-        self.automaton = lexicon.automaton()
+        self.automaton, self.grammar = lexicon.automaton(), grammar()
+        self.parses: dict[tuple[str, ...], list[str]] = {}
+
+    def parse(self, classes: tuple[str, ...]) -> list[str]:
+        """The best output of the grammar for a clause; short clauses repeat, so their parses are kept."""
+        found = self.parses.get(classes)
+        if found is None:
+            found = self.grammar.best(classes)[1]
+            if len(classes) <= 24:
+                if len(self.parses) >= 50_000:
+                    self.parses.clear()
+                self.parses[classes] = found
+        return found
 
     def hits(self, text: str) -> dict[int, tuple[str, float]]:
         """Word start -> (class, weight) of its best arc, in lower-cased text."""
@@ -93,6 +234,13 @@ class Parser:
                 out[start] = (cls, weight)
         return out
 
+    @staticmethod
+    def _class(word: re.Match, hits: dict[int, tuple[str, float]]) -> tuple[str, float]:
+        """The lexicon's arc of a word; one with apostrophes counts by any part that is a hit."""
+        at = word.start()
+        found = hits.get(at) or next((hits[at + k + 1] for k, c in enumerate(word[0]) if c in "'’" and at + k + 1 in hits), None)
+        return found or (closed_class(word[0]), 0.0)
+
     def clauses(self, text: str | None) -> list[tuple[int, int, int, float]]:
         """(start, end, pattern, weight) of each clause match; offsets of the clause in code points."""
         low = (text or "").lower()
@@ -108,21 +256,10 @@ class Parser:
                 continue
             k = int(np.searchsorted(starts, at, side="right")) - 1
             begin, done = int(starts[k]), max(ends[k], at + 1)
-            state, denied, found = 0, 0, []
-            for m in _WORD.finditer(low, begin, done):
-                word = m[0]
-                denied -= 1
-                if state & 2 and denied < 0:
-                    state &= ~2
-                if m.start() in hits:
-                    cls, weight = hits[m.start()]
-                    found.append((cls, state, weight))
-                cls = "Y" if word in TARGETS else "N" if word in NEGATIONS else "R" if word in REPORTS else ""
-                if cls:
-                    state = CLAUSE[state, cls]
-                    denied = REACH if cls == "N" else denied
-            for cls, was, weight in found:  # a target that follows in the clause counts as well
-                out.append((begin, done, emitted(cls, was | state & 1), weight))
+            classes = [self._class(m, hits) for m in _WORD.finditer(low, begin, done)]
+            for pattern, (_, weight) in zip(self.parse(tuple(cls for cls, _ in classes)), classes):
+                if pattern != "W":
+                    out.append((begin, done, PATTERNS.index(pattern), weight))
         return out
 
     def vector(self, text: str | None) -> list[float]:

@@ -46,16 +46,48 @@ def test_quality_odd_rows(spark):
 def test_grammar_patterns():
     parser = toxicity.Parser(toxicity.seeds())
     name = lambda text: [toxicity.PATTERNS[p] for _, _, p, _ in parser.clauses(text)]
-    assert name("You are an idiot.") == ["insult_target"]
-    assert name("IDIOT") == ["insult"]
-    assert name("He is not an idiot") == ["insult_denied"]
-    assert name("The paper said the word idiot") == ["insult_reported"]
-    assert name("We will kill you, idiot") == ["threat_target", "insult"]
+    assert name("You are an idiot.") == name("idiot that you are") == name("d'idiot you") == ["insult_aimed"]
+    assert name("what an IDIOT, they said") == ["insult"]
+    assert name("He is not an idiot") == name("no threat to kill") == ["denied"]
+    assert name("The paper said the word idiot") == ["reported"]
+    assert name("We will kill you, idiot") == ["threat_aimed"]
+    assert name("to kill time") == ["threat"]
     assert name("the killjoy idiotic closer") == []
-    assert name("not now. idiot") == ["insult"]
+    assert name("IDIOT") == name("idiot\n" * 9) == name("not now. idiot") == name("idiot moron") == []  # isolated words
     assert name(None) == name("") == []
 
 
+def test_isolated_words_score_as_none():
+    model = toxicity.Model(toxicity.seeds(), *toxicity.fit_weights(np.zeros((0, 6)), np.zeros(0)))
+    parser = toxicity.Parser(model.lexicon)
+    score = lambda t: float(model.score(np.array([parser.vector(t)]))[0])
+    assert score("idiot") == score("idiot\n" * 9) == score("a fine day") < score("the idiot came") < score("you are the idiot")
+
+
+def paths(transducer, symbols):
+    """All accepted (weight, output) of a sequence, by plain enumeration."""
+    found = [(transducer.start, 0.0, ())]
+    for symbol in symbols:
+        found = [(t, total + weight, (*out, write)) for state, total, out in found for s, read, write, weight, t in transducer.listed() if s == state and read == symbol]
+    return {(round(total, 6), out) for state, total, out in found if state in transducer.finals}
+
+
+def test_composition_equals_enumeration():
+    parts, whole = [toxicity.negation(), toxicity.report(), toxicity.target(), toxicity.company()], toxicity.grammar()
+    words = {"idiot": ("I", 1.5), "kill": ("T", 0.5), "you": ("Y", 0.0), "not": ("N", 0.0), "said": ("R", 0.0), "day": ("W", 0.0)}
+    lexicon = toxicity.Transducer.of(0, [0], [(0, w, c, weight, 0) for w, (c, weight) in words.items()])
+    clause, draw = toxicity.compose(lexicon, whole), np.random.default_rng(5)
+    for _ in range(150):
+        read = [list(words)[k] for k in draw.integers(0, len(words), draw.integers(0, 7))]
+        want = {(0.0, tuple(read))}
+        for part in [lexicon, *parts]:
+            want = {(round(total + more, 6), out) for total, line in want for more, out in paths(part, line)}
+        assert paths(clause, read) == want and want
+        weight, out = clause.best(read)
+        assert (weight, tuple(out)) == min(want, key=lambda x: (-x[0], x[1]))
+        assert out == whole.best([words[w][0] for w in read])[1]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op5_toxicity_grammar(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
