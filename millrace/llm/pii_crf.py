@@ -1,12 +1,14 @@
 """Operator 6: personal data by fixed patterns plus a linear-chain conditional random field over word shapes.
 
-The base patterns (email, ip, card, phone) are found exactly as leftmost non-overlapping matches per kind, each in
-time linear in the text. The field reads the segments around digits and at-signs: white-space words that hold one, and
-neighbours joined by single spaces. A token outside them can't belong to any kind, so it is O by construction and
-decouples the chain; decoding segment by segment is the exact Viterbi path of the whole text. Tokens are letter runs,
+The field decodes only the segments around digits and at-signs: white-space words that hold one, and neighbours joined by
+single spaces. That is a limit of the operator: a token outside them can't belong to any kind, so it is O by construction
+and decouples the chain; decoding segment by segment is the exact Viterbi path of the whole text. Tokens are letter runs,
 digit runs and single other characters; labels are O and B-/I- of each kind. The field is trained by gradient on the
 conditional likelihood of the labelled table below and decoded by Viterbi in padded numpy batches.
 
+The base patterns (email, ip, card, phone) are found exactly as leftmost non-overlapping matches per kind. All steps take
+time linear in the text, and tokens are scored and decoded a bounded number at a time.
+
 A decoded span is added if it overlaps no base span and holds up: an email needs one at-sign with text around it, an ip
 four parts of at most 255, a card 12 to 19 digits that pass Luhn, a phone 7 to 15 digits.
 
@@ -15,7 +17,9 @@ Null and empty texts hold nothing. Offsets are code points, ends exclusive. Repe
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import annotate, map_arrow
 
+TOKENS_AT_ONCE, DECODED_AT_ONCE = 4096, 100_000
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{at}-{kind}" for kind in KINDS for at in "BI"))
 Span = tuple[int, int, int]  # start, kind, end
@@ -107,9 +112,12 @@ def _shape(token: str) -> str:
     return "_" if token.isspace() else token
 
 
-def token_features(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], list[list[str]]]:
-    """Tokens of a segment with the names of their features: shapes around, and what the token's word and run hold."""
-    tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
+def tokens_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [m.span() for m in _TOKEN.finditer(text, start, end)]
+
+
+def token_features(text: str, start: int, end: int, tokens: list[tuple[int, int]]) -> Iterator[list[str]]:
+    """The names of each token's features, one token after another: shapes around, and what the token's word and run hold."""
     shapes = ["<", "<", *(_shape(text[a:b]) for a, b in tokens), ">", ">"]
     before = _WORD_BEFORE.search(text, max(0, start - 40), start)
     cue = f"cue={before[1].lower()}" if before else "cue="
@@ -125,7 +133,7 @@ def token_features(text: str, start: int, end: int) -> tuple[list[tuple[int, int
     words = {}
     for m in re.finditer(r"\S+", text[start:end]):
         words[m.start() + start, m.end() + start] = [f"at={'@' in m[0]}", f"dotted={bool(_IP.fullmatch(m[0].strip('.,;:!?)(')))}"]
-    run, word, names = iter(runs.items()), iter(words.items()), []
+    run, word = iter(runs.items()), iter(words.items())
     (run_at, run_facts), (word_at, word_facts) = next(run, ((end, end), [])), next(word, ((end, end), []))
     for k, (a, b) in enumerate(tokens):
         while run_at[1] <= a and run_at[1] < end:
@@ -138,8 +146,7 @@ def token_features(text: str, start: int, end: int) -> tuple[list[tuple[int, int
             facts += [x + "|" + own[0] for x in run_facts] + run_facts + [f"first={a == run_at[0]}"]
         if word_at[0] <= a < word_at[1]:
             facts += [x + "|" + own for x in word_facts] + word_facts
-        names.append(facts)
-    return tokens, names
+        yield facts
 
 
 #: The labelled table: one text a row, personal data in square brackets after its kind.
@@ -176,15 +183,16 @@ class Field:
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray, first: np.ndarray) -> None:
         self.names, self.emit, self.move, self.first = names, emit, move, first
 
-    def scores(self, facts: list[list[str]]) -> np.ndarray:
-        """Emission scores of each token."""
-        known, rows, at = self.names.get, [], []
-        for k, names in enumerate(facts):
-            own = [i for i in map(known, names) if i is not None]
-            rows += own
-            at += [k] * len(own)
-        out = np.zeros((len(facts), len(LABELS)))
-        np.add.at(out, at, self.emit[rows])
+    def scores(self, facts: Iterable[list[str]], tokens: int) -> np.ndarray:
+        """Emission scores of each token; the names of TOKENS_AT_ONCE tokens are held at a time."""
+        known, out, facts = self.names.get, np.zeros((tokens, len(LABELS))), iter(facts)
+        for low in range(0, tokens, TOKENS_AT_ONCE):
+            rows, at = [], []
+            for k, names in enumerate(islice(facts, TOKENS_AT_ONCE), low):
+                own = [i for i in map(known, names) if i is not None]
+                rows += own
+                at += [k] * len(own)
+            np.add.at(out, at, self.emit[rows])
         return out
 
     def viterbi(self, emissions: list[np.ndarray], cells: int = 1 << 16) -> list[np.ndarray]:
@@ -223,12 +231,35 @@ def _forbidden() -> tuple[np.ndarray, np.ndarray]:
     return move, np.where(inside, -1e4, 0.0)
 
 
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis, keepdims=True)
+    return most.squeeze(axis) + np.log(np.exp(x - most).sum(axis))
+
+
+def marginals(score: np.ndarray, there: np.ndarray, steps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(P(label) of each token, P(label, next label) of each pair, log of the normaliser of each chain) by forward-backward
+    over padded chains (chain, token, label); `there` says which tokens are real."""
+    n, longest, _ = score.shape
+    size = there.sum(1)
+    ahead, behind = np.zeros_like(score), np.zeros_like(score)
+    ahead[:, 0] = score[:, 0] + first
+    for t in range(1, longest):
+        ahead[:, t] = np.where(there[:, t, None], _log_sum(ahead[:, t - 1, :, None] + steps, 1) + score[:, t], ahead[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        behind[:, t] = np.where(there[:, t + 1, None], _log_sum(steps + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0.0)
+    norm = _log_sum(ahead[np.arange(n), size - 1], 1)
+    each = np.exp(ahead + behind - norm[:, None, None]) * there[..., None]
+    two = np.exp(ahead[:, :-1, :, None] + steps + (score[:, 1:] + behind[:, 1:])[:, :, None, :] - norm[:, None, None, None]) * there[:, 1:, None, None]
+    return each, two, norm
+
+
 def train(rows: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0.08, ridge: float = 2e-3) -> Field:
     """Maximum conditional likelihood by Adam on all rows at once, forward-backward in one padded batch."""
     facts, wanted = [], []
     for text, spans in rows:
         for start, end in segments(text):
-            tokens, names = token_features(text, start, end)
+            tokens = tokens_of(text, start, end)
+            names = list(token_features(text, start, end, tokens))
             own = np.zeros(len(tokens), np.int64)
             for a, kind, b in spans:
                 for k, (x, y) in enumerate(tokens):
@@ -250,20 +281,10 @@ def train(rows: list[tuple[str, list[Span]]], rounds: int = 120, rate: float = 0
     pairs = there[:, 1:, None, None] * np.eye(width)[gold[:, :-1]][..., :, None] * np.eye(width)[gold[:, 1:]][..., None, :]
     emit, move, first = np.zeros((len(index), width)), np.zeros((width, width)), np.zeros(width)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (emit, move, first)]
-    total = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
     for step in range(1, rounds + 1):
         score = np.zeros((n * longest, width))
         np.add.at(score, row, emit[col])
-        score, steps = score.reshape(n, longest, width), move + no_move
-        ahead, behind = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0] + first + no_first
-        for t in range(1, longest):
-            ahead[:, t] = np.where(there[:, t, None], total(ahead[:, t - 1, :, None] + steps, 1) + score[:, t], ahead[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            behind[:, t] = np.where(there[:, t + 1, None], total(steps + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2), 0.0)
-        norm = total(ahead[np.arange(n), size - 1], 1)
-        each = np.exp(ahead + behind - norm[:, None, None]) * there[..., None]
-        two = np.exp(ahead[:, :-1, :, None] + steps + (score[:, 1:] + behind[:, 1:])[:, :, None, :] - norm[:, None, None, None]) * there[:, 1:, None, None]
+        each, two, _ = marginals(score.reshape(n, longest, width), there, move + no_move, first + no_first)
         lack = (onehot - each).reshape(n * longest, width)
         slopes = np.zeros_like(emit)
         np.add.at(slopes, col, lack[row])
@@ -284,32 +305,75 @@ def _holds_up(text: str, kind: int) -> bool:
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == 2 else 7 <= len(digits) <= 15
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """(starts, ends) of the disjoint stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _within(spans: list[Span], marks: Iterator[re.Match]) -> bool:
+    """Whether each mark lies within some span; both come in order, so one sweep does."""
+    at, reach = 0, 0
+    for m in marks:
+        while at < len(spans) and spans[at][0] <= m.start():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if m.end() > reach:
+            return False
+    return True
+
+
+def _decoded(text: str, tokens: list[tuple[int, int]], path: np.ndarray, starts: list[int], ends: list[int]) -> Iterator[Span]:
+    """The labelled spans that hold up and overlap no covered stretch."""
+    at = 0
+    for begin in np.flatnonzero(path).tolist():
+        if begin < at:
+            continue
+        label, stop = int(path[begin]), begin + 1
+        while stop < len(tokens) and path[stop] == label + label % 2:
+            stop += 1
+        at, a, b, kind = stop, tokens[begin][0], tokens[stop - 1][1], (label - 1) // 2
+        k = bisect_right(starts, b - 1)  # the last stretch that begins before b
+        if (not k or ends[k - 1] <= a) and _holds_up(text[a:b], kind):
+            yield a, kind, b
+
+
 def find(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """For each text the base spans, and base and added spans together, by start, then kind."""
-    bases, where, emissions = [], [], []
+    bases = [base_spans(text) if text else [] for text in texts]
+    covered, added = [_merged(spans) for spans in bases], [[] for _ in texts]
+    where: list[tuple[int, list[tuple[int, int]]]] = []
+    emissions: list[np.ndarray] = []
+    held = 0
+
+    def decode() -> None:
+        for (k, tokens), path in zip(where, field.viterbi(emissions)):
+            added[k] += _decoded(texts[k], tokens, path, *covered[k])
+        where.clear()
+        emissions.clear()
+
     for k, text in enumerate(texts):
-        bases.append(base_spans(text) if text else [])
-        taken = [(a, b) for a, _, b in bases[-1]]
+        spans, starts, first = bases[k], [a for a, _, _ in bases[k]], 0
         for start, end in segments(text) if text else []:
+            while first < len(spans) and spans[first][2] <= start:
+                first += 1
             # a segment whose marks all lie in base spans can add nothing
-            if not all(any(a <= start + m.start() and start + m.end() <= b for a, b in taken) for m in _MARK.finditer(text[start:end])):
-                tokens, facts = token_features(text, start, end)
+            if not _within(spans[first : bisect_right(starts, end)], _MARK.finditer(text, start, end)):
+                tokens = tokens_of(text, start, end)
                 where.append((k, tokens))
-                emissions.append(field.scores(facts))
-    added: list[list[Span]] = [[] for _ in texts]
-    for (k, tokens), path in zip(where, field.viterbi(emissions)):
-        at = 0
-        while at < len(tokens):
-            label = int(path[at])
-            stop = at + 1
-            if label:
-                while stop < len(tokens) and path[stop] == label + label % 2:
-                    stop += 1
-                a, b = tokens[at][0], tokens[stop - 1][1]
-                kind = (label - 1) // 2
-                if _holds_up(texts[k][a:b], kind) and not any(a < y and x < b for x, _, y in bases[k]):
-                    added[k].append((a, kind, b))
-            at = stop
+                emissions.append(field.scores(token_features(text, start, end, tokens), len(tokens)))
+                held += len(tokens)
+                if held > DECODED_AT_ONCE:
+                    decode()
+                    held = 0
+    decode()
     return [(base, sorted(base + more)) for base, more in zip(bases, added)]
 
 
