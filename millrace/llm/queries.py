@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from millrace.llm.brown_lm import op4_brown_class_lm
 from millrace.llm.byte_bpe import op9_byte_bpe
+from millrace.llm.decontaminate import ORACLE_SQL as DECONTAMINATION_SQL
 from millrace.llm.decontaminate import op7_benchmark_decontamination
 from millrace.llm.divergence import op3_distribution_divergence
 from millrace.llm.licenses import ORACLE_SQL as LICENSE_SQL
@@ -31,4 +32,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": LICENSE_SQL,
+    "op7_benchmark_decontamination": DECONTAMINATION_SQL,
 }
