@@ -1,12 +1,13 @@
 """Operator 3: quality rules by distribution divergence from the document's language.
 
-For every language of the corpus two reference distributions are counted over all documents: character classes, and
-the language's common words (share of at least COMMON of its words, the COMMON_WORDS most frequent of them) with one
-bin for all other words. A document is compared with its language's references by the Jensen-Shannon distance (base 2,
-0 to 1). The character test needs MIN_CHARS code points and the word test MIN_WORDS words; shorter documents skip the
-test, as their histograms say little. Every language of LEAST_WORDS words has references, whatever its share of the
-corpus; documents of a smaller one skip both tests. Null languages are compared with the whole corpus. The references,
-at most COMMON_WORDS words and the class counts of a language, are broadcast.
+For every language two reference distributions are counted over all documents of the reference corpus, which is the
+judged table itself unless `judge` is given another: character classes, and the language's common words (share of at
+least COMMON of its words, the COMMON_WORDS most frequent of them) with one bin for all other words. A document is
+compared with its language's references by the Jensen-Shannon distance (base 2, 0 to 1). The character test needs
+MIN_CHARS code points and the word test MIN_WORDS words; shorter documents skip the test, as their histograms say little.
+Every language of LEAST_WORDS words has references, whatever its share of the corpus; documents of a smaller one skip
+both tests. Null languages are compared with the whole corpus. The references, at most COMMON_WORDS words and the class
+counts of a language, are broadcast.
 
 Beside these stand the plain counts: words, code points in words, symbols, repeated lines, and words in repeated
 8-word windows (windows are compared exactly: a rolling hash only finds texts that have none).
@@ -87,8 +88,12 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
 
 
+#: Kinds of counts: a word of the language, one of CLASSES (its number), all words.
+A_WORD, A_CLASS, ALL_WORDS = 0, 1, 2
+
+
 def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """(lang, word, n): words in part sums of bounded size, classes as words that start with a zero byte."""
+    """(lang, kind, word, n), in part sums of bounded size; word is a word's bytes or a class's number, else empty."""
     total: Counter = Counter()
 
     def flush() -> Iterable[pa.RecordBatch]:
@@ -96,18 +101,19 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]
         total.clear()
         for low in range(0, len(rows), 50_000):
             part = rows[low : low + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], names=["lang", "word", "n"])
+            columns = [pa.array([k[at] for k, _ in part], kind) for at, kind in enumerate((pa.string(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in part], pa.int64())], names=["lang", "kind", "word", "n"])
 
     for batch in batches:
         for text, lang in zip(utf8(batch, 0), batch.column(1).to_pylist()):
             text, lang = text or b"", lang or ""
             byte = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
             for k, n in enumerate(np.bincount(_CLASS[_FIRST], weights=byte[_FIRST], minlength=len(CLASSES)).tolist()):
-                total[lang, b"\x00%d" % k] += int(n)
+                total[lang, A_CLASS, b"%d" % k] += int(n)
             words = text.lower().split()
-            total[lang, b"\x00w"] += len(words)
+            total[lang, ALL_WORDS, b""] += len(words)
             for word, n in Counter(words).items():
-                total[lang, word] += n
+                total[lang, A_WORD, word] += n
             if len(total) > 200_000:
                 yield from flush()
     yield from flush()
@@ -116,30 +122,33 @@ def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """lang -> (class counts, bin of each common word, counts of the bins and of all other words); "" is all languages."""
     rows = docs.select(F.col("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    counted = map_arrow(rows, _word_batches, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
-    all_words = counted.where(F.col("word") == F.lit(b"\x00w")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = counted.where((F.col("word") == F.lit(b"\x00w")) & (F.col("n") >= LEAST_WORDS) & (F.col("lang") != "")).select("lang", F.col("n").alias("words"))
-    every = counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "word", "n", F.lit(all_words).cast("long").alias("words"))
-    of_lang = counted.join(large, "lang").select("lang", "word", "n", "words")
-    is_class = F.substring("word", 1, 1) == F.lit(b"\x00")
-    kept = of_lang.unionByName(every).where(is_class | (F.col("n") >= COMMON * F.col("words")))
-    rank = F.row_number().over(Window.partitionBy("lang", is_class).orderBy(F.desc("n"), "word"))
-    kept = kept.withColumn("rank", rank).where(is_class | (F.col("rank") <= COMMON_WORDS)).drop("rank")
-    out: dict[str, dict[bytes, int]] = {}
-    for lang, word, n, _ in kept.collect():  # at most COMMON_WORDS words and the classes of each language
-        out.setdefault(lang, {})[bytes(word)] = n
+    counted = map_arrow(rows, _word_batches, "lang string, kind int, word binary, n long").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")).checkpoint()
+    sizes = counted.where(F.col("kind") == ALL_WORDS)
+    all_words = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = sizes.where((F.col("n") >= LEAST_WORDS) & (F.col("lang") != "")).select("lang", F.col("n").alias("words"))
+    every = counted.groupBy("kind", "word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "kind", "word", "n", F.lit(all_words).cast("long").alias("words"))
+    of_lang = counted.join(large, "lang").select("lang", "kind", "word", "n", "words")
+    is_word = F.col("kind") == A_WORD
+    kept = of_lang.unionByName(every).where(~is_word | (F.col("n") >= COMMON * F.col("words")))
+    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "word"))
+    kept = kept.withColumn("rank", rank).where(~is_word | (F.col("rank") <= COMMON_WORDS))
+    out: dict[str, dict[tuple[int, bytes], int]] = {}
+    for lang, kind, word, n in kept.select("lang", "kind", "word", "n").collect():  # at most COMMON_WORDS words and the classes of each language
+        out.setdefault(lang, {})[kind, bytes(word)] = n
     made = {}
-    for lang, words in out.items():
-        common = sorted(((-n, w) for w, n in words.items() if w[:1] != b"\x00"))[:COMMON_WORDS]
+    for lang, found in out.items():
+        common = sorted((-n, word) for (kind, word), n in found.items() if kind == A_WORD)
         bins = {w: k for k, (_, w) in enumerate(common)}
-        classes = np.array([words.get(b"\x00%d" % k, 0) for k in range(len(CLASSES))], float)
-        made[lang] = classes, bins, np.array([-n for n, _ in common] + [words.get(b"\x00w", 0) + sum(n for n, _ in common)], float)
+        classes = np.array([found.get((A_CLASS, b"%d" % k), 0) for k in range(len(CLASSES))], float)
+        made[lang] = classes, bins, np.array([-n for n, _ in common] + [found.get((ALL_WORDS, b""), 0) + sum(n for n, _ in common)], float)
     return made
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, lang) -> counts, base_failed, kept, and the two distances (null where a guard skips the test)."""
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
+def judge(docs: DataFrame, against: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, lang) -> counts, base_failed, kept, and the two distances (null where a guard skips the test).
+
+    against(text, lang) is the corpus that the languages' references are counted over; without one, docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs if against is None else against))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known = shared.value

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import brown_lm, divergence, quality_rank, toxicity
-from millrace.llm.common import held_out
+from millrace.llm.common import held_out, labelled_sample
 from tests.llm.helpers import documents, empty, labels
 
 
@@ -27,6 +27,63 @@ def test_ranker_separates_and_cuts_at_a_quantile():
     assert (none.score(x) >= 0.7).all()
 
 
+def test_ranker_minimises_the_pairwise_loss_and_cuts_where_told():
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(60, 3))
+    label = (x[:, 0] + draw.normal(size=60) > 0).astype(int)
+    model = quality_rank.fit(x, label, pairs=10**6)
+    scaled = np.clip((x - model.centre) / model.spread, -8, 8)
+
+    def loss(w):
+        pairs = [scaled[a] - scaled[b] for a in range(60) for b in range(60) if label[a] and not label[b]]
+        # every pair counts alike: the draw takes each good row as often as the others
+        return sum(math.log1p(math.exp(-float(w @ d))) for d in pairs) / len(pairs) + 1e-3 * float(w @ w) / 2
+
+    drawn = quality_rank.fit(x, label, pairs=10**6).weight
+    nearby = [loss(drawn + step) for step in 0.5 * np.vstack([np.eye(3), -np.eye(3)])]
+    assert loss(drawn) < min(nearby)
+    rank = scaled @ model.weight
+    balanced = lambda cut: ((rank >= cut) & (label == 1)).sum() / label.sum() - ((rank >= cut) & (label == 0)).sum() / (label == 0).sum()
+    assert math.isclose(balanced(model.cut), max(balanced(c) for c in [-99, *rank]))
+    for share in (0.0, 0.25, 0.5, 1.0):
+        assert (quality_rank.fit(x, label, quantile=share).score(x) < 0.7).mean() == share
+
+
+def test_quality_scores_equal_plain_loops(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, given = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_rank.learn(docs, given)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    table = sorted((r["doc_id"], r["quality"]) for r in given.collect() if r["quality"] is not None and not fold(r["doc_id"]))
+    vector = lambda t: np.array(quality_rank.features((t or "").encode()))
+    again = quality_rank.fit(np.array([vector(rows[i]) for i, _ in table]), np.array([q for _, q in table]))
+    assert np.allclose(again.weight, model.weight) and math.isclose(again.cut, model.cut)
+    for r in quality_rank.op8_quality_bradley_terry(spark, sf).collect():
+        value = sum(max(-8, min(8, (v - c) / s)) * w for v, c, s, w in zip(vector(rows[r["doc_id"]]), model.centre, model.spread, model.weight))
+        want = 1 / (1 + math.exp(-max(-30, min(30, (value - model.cut) / model.gap + math.log(0.7 / 0.3)))))
+        assert math.isclose(r["score"], want, rel_tol=1e-9) and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == fold(r["doc_id"])
+
+
+def test_features_equal_their_definitions():
+    text = "The THE the cat, 42 #x é. Yes!\nnew line a b. "
+    got = dict(zip(quality_rank.FEATURES, quality_rank.features(text.encode())))
+    words, n = text.encode().split(), len(text.encode()) + 1
+    letters = sum(c.isascii() and c.isalpha() for c in text) + sum(b >= 128 for b in text.encode()) + 1
+    share = lambda x, of: math.sqrt(x / (of + 1))
+    want = {
+        "upper": share(5, letters), "digit": share(2, n), "symbol": share(sum(c in "#!" for c in text), len(words)), "marks": share(sum(c in ".,;:?'\"-()" for c in text), n), "beyond": share(2, letters),
+        "repeats": share(0, len(words)), "variety": math.log1p(len(set(words))) / math.log1p(len(words)), "short_words": share(sum(len(w) <= 3 for w in words), len(words)), "wordless": share(1, len(words)), "sentence_ends": share(2, len(words)),
+    }
+    assert all(math.isclose(got[k], v) for k, v in want.items())
+
+
+def test_samples_are_bounded_whatever_the_documents(spark):
+    docs = documents(spark, [(1, f"text {k}") for k in range(50)] + [(2, "other"), (3, "x")])
+    sample = labelled_sample(docs, labels(spark, [(1, 1, 0), (2, 0, 1), (3, 0, 0)]), "quality", F.lit(True), 2).collect()
+    assert len(sample) == 2 and len({r["_id"] for r in sample}) == 2
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = quality_rank.op8_quality_bradley_terry(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
@@ -121,6 +178,41 @@ def test_divergence_distance_and_odd_rows(spark):
     assert divergence.judge(empty(spark)).count() == 0
 
 
+def test_divergence_words_are_never_classes(spark):
+    """Words that begin with a zero byte are words like any other."""
+    english = " ".join(f"the word{k} of a day and night{k}" for k in range(30))
+    docs = spark.createDataFrame([(k, english, "en") for k in range(40)] + [(99, "\x00w \x000 1 " * 300, "en")], "doc_id long, text string, lang string")
+    got = divergence.references(docs)["en"]
+    want = Counter(w for r in docs.collect() for w in r["text"].split())
+    assert got[2].sum() == sum(want.values())
+    assert {w.decode(): got[2][k] for w, k in got[1].items()} == {w: n for w, n in want.items() if n >= 0.004 * sum(want.values()) and w in {w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0].encode()))[:32]}}
+    assert got[0][0] == sum(c.islower() for r in docs.collect() for c in r["text"])
+
+
+def test_divergence_base_equals_plain_loops(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"], r["lang"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    known = divergence.references(spark.read.parquet(f"{sf}/documents.parquet"))
+    for r in divergence.op3_distribution_divergence(spark, sf).collect():
+        text, lang = texts[r["doc_id"]]
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = [line for line in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+        seen = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
+        often = {k + j for k in range(len(words) - 7) if seen[tuple(words[k : k + 8])] > 1 for j in range(8)}
+        want = len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(often)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(words) < 20 or 100 * len(often) > 30 * len(words))
+        far = False
+        if lang in known and len(text or "") >= divergence.MIN_CHARS:
+            classes, bins, counts = known[lang]
+            own = np.zeros(len(counts))
+            for w in words:
+                own[bins.get(re.sub("[A-Z]", lambda m: m[0].lower(), w).encode(), -1)] += 1
+            far = len(words) >= divergence.MIN_WORDS and divergence.distance(own, counts) > divergence.MOST_WORDS_DISTANCE
+            far |= divergence.distance(divergence.counts(text.encode())[1], classes) > divergence.MOST_CHARS_DISTANCE
+        assert r["kept"] == (not r["base_failed"] and not far)
+
+
 def test_divergence_leaves_good_documents_alone(spark):
     sf = "/root/testdata/sf0.01"
     got = divergence.op3_distribution_divergence(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").toPandas()
