@@ -44,20 +44,18 @@ def _small_star(edges: DataFrame, links: int) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> (node, root): root is the least node of node's component; only nodes that aren't roots have a row.
 
-    Self links and repeated links don't matter; an empty table gives an empty one."""
+    Self links and repeated links don't matter; an empty table gives an empty one. Rounds go on until one changes nothing:
+    each one lowers the sum of the links' ends, so they come to an end, after some multiple of log(nodes) squared at most."""
     ensure_checkpoint_dir(edges.sparkSession)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     mark = _mark(now)
-    for _ in range(most_rounds):
-        if not mark[0]:
-            break
-        now = _small_star(_large_star(now, mark[0]), mark[0]).checkpoint()  # a large star has no more links than it had
+    while mark[0]:
+        large = _large_star(now, mark[0]).checkpoint()  # a large star has no more links than it had
+        now = _small_star(large, mark[0]).checkpoint()
         was, mark = mark, _mark(now)
         if was == mark:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

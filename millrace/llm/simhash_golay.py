@@ -11,8 +11,11 @@ them. Two words at distance two or less always share such a codeword. A key is t
 (combination, two exact blocks, 12-bit codeword index): about 34 bits, about 96 keys for each distinct fingerprint,
 and about one chance candidate in 10^8 pairs. Candidates meet in an equi-join whose condition verifies the distance
 and keeps one of the combinations that find a pair. Nothing is capped; equal fingerprints are collapsed first, so
-groups of exact copies cost one row. The rows of a fingerprint, or the fingerprints of a component, that hold more than
-one part in 1,024 of all are named by a broadcast of at most 1,023 rows and never meet in a task.
+groups of exact copies cost one row. Exact blocks that more than HOT_BLOCK fingerprints share (a family of many variants)
+are dealt out: one side of the join spreads over as many salts as keep HOT_BLOCK rows together, the other is repeated
+under each of them, so that no task gets all pairs of a family. The rows of a fingerprint, or the fingerprints of a
+component, that hold more than one part in 1,024 of all are named by a broadcast of at most 1,023 rows and never meet in
+a task.
 
 Null and empty texts have fingerprint zero and link like any other; ids may repeat; a null id takes part but never
 names a component (component_id is null if all ids of a component are)."""
@@ -38,6 +41,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 10), (43, 11), (54, 10))
 #: (segment under the code, two exact blocks outside it).
 COMBINATIONS = [(j, p, q) for j in range(3) for p, q in combinations([b for b in range(6) if b // 2 != j], 2)]
+#: Fingerprints that share two exact blocks and meet in one task at most, on the side that is dealt out.
+HOT_BLOCK = 4096
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0xAE3
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -67,12 +72,18 @@ def simhash(text: bytes | None) -> int:
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for batch in batches:
         values = np.array([simhash(t) for t in utf8(batch, 1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "mark"])
+
+
+def _text_mark(text: Column) -> Column:
+    """A hash of a text by which rows with one id are told apart; null isn't empty."""
+    return F.xxhash64(text.cast("string"), text.isNull())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp): one row a document, fp the 64 bits as a signed long."""
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, text, ...) -> (doc_id, fp, mark): one row a document, fp the 64 bits as a signed long, mark the text's."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_mark(F.col("text")).alias("mark"))
+    return map_arrow(rows, _fingerprint_batches, "doc_id long, fp long, mark long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -144,44 +155,66 @@ def _found_by(x: Column) -> Column:
     return reduce(lambda case, test: case.when(test[1], F.lit(test[0])), tests[1:], F.when(tests[0][1], F.lit(tests[0][0])))
 
 
+def hot_blocks(distinct: DataFrame, most: int | None = None) -> DataFrame:
+    """(blocks, salts): for each combination and pair of exact blocks that more than HOT_BLOCK fingerprints share, how many
+    salts deal them out; blocks is a key without its codeword."""
+    most = HOT_BLOCK if most is None else most
+    cut = lambda at: F.shiftrightunsigned("fp", at[0]).bitwiseAND(F.lit((1 << at[1]) - 1))
+    prefixes = [F.lit(k << 22).cast("long").bitwiseOR(F.shiftleft(cut(BLOCKS[p]), 11)).bitwiseOR(cut(BLOCKS[q])) for k, (_, p, q) in enumerate(COMBINATIONS)]
+    counted = distinct.select(F.explode(F.array(*prefixes)).alias("blocks")).groupBy("blocks").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") > most).select("blocks", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+
+
 def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """distinct(fp) -> (a, b): all pairs of fingerprints that differ in 1 to most_bits (4 at most) bits, each once."""
     if not 0 <= most_bits <= MOST_BITS:
         raise ValueError(f"most_bits must be 0 to {MOST_BITS}")
     keys = map_arrow(distinct.select("fp"), _key_batches, "key long, fp long, slot byte")
-    a = keys.select("key", F.col("fp").alias("a"), "slot")
-    b = keys.select(F.col("key").alias("key_b"), F.col("fp").alias("b"), F.col("slot").alias("slot_b"))
+    wide = hot_blocks(distinct)
+    salted = lambda: keys.join(wide, F.shiftright("key", 12) == F.col("blocks"), "left")
+    deal = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+    every = F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    a = salted().select("key", F.col("fp").alias("a"), "slot", deal.alias("salt"))
+    b = salted().select(F.col("key").alias("key_b"), F.col("fp").alias("b"), F.col("slot").alias("slot_b"), F.explode(every).alias("salt_b"))
     x = F.col("a").bitwiseXOR(F.col("b"))
     code = F.shiftright("key", 34).cast("int")
     inside = reduce(lambda case, j: case.when(code < 6 * (j + 1), F.lit(_mask(SEGMENTS[j]))), (1, 2), F.when(code < 6, F.lit(_mask(SEGMENTS[0]))))
     same = (F.col("slot") == 0) | (x.bitwiseAND(inside) != 0)
-    found = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= most_bits) & (code == _found_by(x)) & same)
+    found = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= most_bits) & (code == _found_by(x)) & same)
     return found.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, fp, component_id): one row a document, component_id the least doc_id reachable."""
+def _named(docs: DataFrame, most_bits: int) -> DataFrame:
+    """(doc_id, fp, mark, component_id, root), one row a document: mark is a hash of the text, root the component's least
+    fingerprint, by which components are told apart even where they have no ids."""
     marks = fingerprints(docs).checkpoint()
     of_text = marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     star = stars(links(marks.select("fp").distinct(), most_bits)).checkpoint()
     member = star.select(F.col("node").alias("fp"), "root").unionByName(star.select(F.col("root").alias("fp"), "root").distinct())
     joined = member.join(of_text.select("fp", "least"), "fp")
     least = joined.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("n"))
-    named = look_up(joined, least, "root", 2 * star.count()).select("fp", "first")
-    classes = of_text.join(named, "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("component_id")).checkpoint()
-    return look_up(marks, classes, "fp", marks.count()).select("doc_id", "fp", "component_id")
+    named = look_up(joined, least, "root", 2 * star.count()).select("fp", "root", "first")
+    classes = of_text.join(named, "fp", "left").select("fp", "n", F.coalesce("first", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")).checkpoint()
+    return look_up(marks, classes, "fp", marks.count()).select("doc_id", "fp", "mark", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, fp, component_id): one row a document, component_id the least doc_id reachable."""
+    return _named(docs, most_bits).select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least id stays; all columns kept.
-
-    Where ids repeat or are null, rows with equal id and text collapse to one, and a row without an id stays only
-    where no row of its component has one. With unique ids, the usual case, texts aren't shuffled for that."""
-    found = near_duplicates(docs, most_bits).checkpoint()
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    rows = found.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n")))).first()[0]
-    return out.dropDuplicates(["doc_id", "text"]) if (rows or 0) > 1 else out
+    """docs without near-duplicates: exactly one row of each component stays, all columns kept.
+
+    It is the row with the least id; a row without an id goes before none that has one. Of texts with the same id in one
+    component the one with the least fingerprint stays, then with the least hash; rows with equal id and text collapse to
+    one. Texts aren't shuffled unless ids repeat."""
+    found = _named(docs, most_bits).checkpoint()
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "mark")).alias("m"))
+    kept = first.select(F.col("m.doc_id").alias("_kept"), F.col("m.mark").alias("_mark"))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (_text_mark(F.col("text")) == F.col("_mark")), "left_semi")
+    repeated = found.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def op10_simhash_golay(spark, sf_dir: str) -> DataFrame:

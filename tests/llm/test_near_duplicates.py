@@ -1,6 +1,7 @@
 import numpy as np
 import xxhash
 
+from millrace.llm import simhash_golay
 from millrace.llm.components import look_up, stars
 from millrace.llm.simhash_golay import fuzzy_keys, golay_tables, keep_first, links, near_duplicates, simhash
 from tests.llm.helpers import documents, empty
@@ -52,6 +53,37 @@ def test_links_equal_brute_force(spark):
     assert found == want and len(want) > 50
 
 
+def test_links_of_a_hot_family_equal_brute_force(spark, monkeypatch):
+    """A family whose fingerprints share blocks, far more than one task takes, beside others."""
+    draw, seed = np.random.default_rng(8), 0x0123_4567_89AB_CDEF
+    values = {seed}
+    while len(values) < 400:
+        value = seed
+        for bit in draw.choice(20, draw.integers(1, 4), replace=False):
+            value ^= 1 << int(bit)
+        values.add(value)
+    values |= {int(v) for v in draw.integers(0, 2**62, 100)}
+    monkeypatch.setattr(simhash_golay, "HOT_BLOCK", 16)
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    hot = {r["blocks"]: r["salts"] for r in simhash_golay.hot_blocks(distinct).collect()}
+    assert max(hot.values()) >= 400 // 16
+    keys = {int(k) >> 12 for k in fuzzy_keys(np.array([seed], np.uint64))[1]}
+    assert keys & hot.keys()
+    found = sorted(tuple(r) for r in links(distinct).collect())
+    ordered = sorted(values)
+    assert found == sorted((a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (a ^ b).bit_count() <= 4)
+
+
+def test_one_row_of_each_component_stays(spark):
+    same, other, near = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "ONE two three four five six seven"
+    rows = [(3, same), (5, other), (5, same), (5, same), (None, other), (None, "a b c d e f"), (None, "A b c d e f"), (None, "u v w x y z"), (7, near), (8, None), (8, "")]
+    docs = documents(spark, rows)
+    kept = sorted(((r["doc_id"], r["text"]) for r in keep_first(docs).collect()), key=str)
+    assert len(kept) == 5 and {k for k in kept if k[0]} == {(3, same), (5, other), (8, kept[[i for i, _ in kept].index(8)][1])}
+    assert sorted(t.lower() for i, t in kept if i is None) == ["a b c d e f", "u v w x y z"]
+    assert {(r["doc_id"], r["component_id"]) for r in near_duplicates(docs).collect()} == {(3, 3), (5, 5), (5, 3), (7, 3), (None, 5), (None, None), (8, 8)}
+
+
 def test_stars_of_a_chain_and_a_cycle(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = dict(map(tuple, stars(spark.createDataFrame(edges, "a long, b long")).collect()))
