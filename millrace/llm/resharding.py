@@ -4,13 +4,16 @@ Rows lie in old shards of known sizes; new shards have capacities. Shard sizes a
 shards supply bytes, new shards take them, staying in the shard of the same number costs nothing and each byte moved
 costs one (or an entry of a cost table). Successive cheapest paths give the flow that moves the fewest bytes. It is
 carried out in blocks, slices of an old shard by hash, so that only block totals reach the driver: BLOCKS a shard,
-more when a block would pass BLOCK_BYTES. Each old shard deals its blocks, largest first, to the target that still
-expects most; then blocks are moved or swapped between the fullest and the emptiest shard while that narrows the gap.
-Files of shards that neither give nor take a block needn't be written again.
+more when a block would pass BLOCK_BYTES. Each old shard deals its blocks, largest first, to the target of which its flow
+still expects most; as blocks are whole, blocks are then moved or swapped between the fullest and the emptiest shard as
+long as that narrows their gap, those first that move the fewest further bytes. Files of shards that neither give nor
+take a block needn't be written again.
 
 Law: `bytes`. A row's size is the UTF-8 bytes of its text plus one (a null text: one). Slots count the rows of a new
-shard from 0 without gaps, in the order of (old shard, block, id, checksum, size). Equal rows are interchangeable.
-A null id or source is hashed like any value; an empty table gives an empty plan."""
+shard from 0 without gaps, in the order of (old shard, block, id, checksum, size). Equal rows (id, checksum and size) are
+interchangeable; where they are more than one part in HOT_PARTS of all rows they are spread over the blocks by a number
+of their own, so that no block holds them all. A null id or source is hashed like any value; an empty table gives an
+empty plan."""
 
 from __future__ import annotations
 
@@ -23,7 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-OLD_SHARDS, NEW_SHARDS, BLOCKS, BLOCK_BYTES, SWAPS = 12, 16, 1024, 256 << 20, 4000
+from millrace.session import ensure_checkpoint_dir
+
+OLD_SHARDS, NEW_SHARDS, BLOCKS, BLOCK_BYTES, HOT_PARTS, ROWS_PER_FILE = 12, 16, 1024, 256 << 20, 1024, 500_000
 
 
 def cheapest_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -89,7 +94,7 @@ def even(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def plan(blocks: dict[tuple[int, int], tuple[int, int]], capacity: list[int], cost: list[list[int]] | None = None, swaps: int = SWAPS) -> Plan:
+def plan(blocks: dict[tuple[int, int], tuple[int, int]], capacity: list[int], cost: list[list[int]] | None = None) -> Plan:
     """blocks: (old shard, block) -> (bytes, rows)."""
     old, new = 1 + max((i for i, _ in blocks), default=-1), len(capacity)
     supply = [0] * old
@@ -106,25 +111,25 @@ def plan(blocks: dict[tuple[int, int], tuple[int, int]], capacity: list[int], co
         target[key] = j
         held[j].add(key)
     excess = lambda j: filled[j] - capacity[j]
-    for _ in range(swaps if new > 1 else 0):
+    home = lambda key, away, to: blocks[key][0] * ((key[0] == away) - (key[0] == to))  # noqa: E731  bytes that a move adds
+    while new > 1:  # each step lowers the sum of the squared excesses, so there is a last one
         high, lowest = max(range(new), key=excess), min(range(new), key=excess)
         gap = excess(high) - excess(lowest)
         if gap < 2:
             break
-        best = min(((abs(gap - 2 * blocks[k][0]), k, None) for k in held[high] if 0 < blocks[k][0] < gap), default=None, key=lambda x: x[:2])
-        if best is None or best[0] > gap // 4:  # a swap of nearly equal blocks comes closer than a move
-            other = sorted(held[lowest], key=lambda k: (blocks[k][0], k))
-            sizes = [blocks[k][0] for k in other]
-            for k in held[high]:
-                at = bisect_left(sizes, blocks[k][0] - gap // 2)
-                for near in (at - 1, at):
-                    if 0 <= near < len(other) and 0 < (step := blocks[k][0] - sizes[near]) < gap:
-                        left = abs(gap - 2 * step)
-                        if best is None or (left, k) < best[:2]:
-                            best = (left, k, other[near])
+        found = [(abs(gap - 2 * blocks[k][0]), home(k, high, lowest), k, None) for k in held[high] if 0 < blocks[k][0] < gap]
+        other = sorted(held[lowest], key=lambda k: (blocks[k][0], k))
+        sizes = [blocks[k][0] for k in other]
+        for k in held[high]:  # a swap of nearly equal blocks comes closer than a move
+            at = bisect_left(sizes, blocks[k][0] - gap // 2)
+            for near in (at - 1, at):
+                if 0 <= near < len(other) and 0 < (step := blocks[k][0] - sizes[near]) < gap:
+                    found.append((abs(gap - 2 * step), home(k, high, lowest) + home(other[near], lowest, high), k, other[near]))
+        good = [x for x in found if x[0] <= gap // 4]
+        best = min(good, key=lambda x: (x[1], x[0], x[2])) if good else min(found, key=lambda x: x[:3], default=None)
         if best is None or best[0] >= gap:
             break
-        for key, a, b in ((best[1], high, lowest), (best[2], lowest, high)):
+        for key, a, b in ((best[2], high, lowest), (best[3], lowest, high)):
             if key is not None:
                 held[a].remove(key)
                 held[b].add(key)
@@ -143,39 +148,52 @@ def row_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def reshard(rows: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS, capacity: list[int] | None = None) -> tuple[DataFrame, Plan]:
-    """(doc_id, text, ...) -> ((doc_id, size, text_crc32, old_shard, shard, slot), plan)."""
-    spark = rows.sparkSession
-    slim = rows.select(F.col("doc_id").alias("doc_id"), row_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
-    most = slim.groupBy("old_shard").agg(F.sum("size").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+def _keyed(rows: DataFrame, old_shard: Column) -> DataFrame:
+    """rows with _size, _crc, _old and a number _row, kept in the checkpoint folder, as the numbers hold for one run only."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.withColumns({"_size": row_size(F.col("text")), "_crc": F.crc32(F.coalesce("text", F.lit(""))), "_old": old_shard.cast("int"), "_row": F.monotonically_increasing_id()}).checkpoint()
+
+
+def _placed(keyed: DataFrame, new_shards: int, capacity: list[int] | None) -> tuple[DataFrame, Plan]:
+    """keyed rows with _new and _slot, and the plan. A row's block is a function of the row, so nothing but the places of
+    blocks, BLOCKS or a few more for each old shard, is broadcast and joined."""
+    spark, equal = keyed.sparkSession, ["doc_id", "_size", "_crc"]
+    most, total = keyed.groupBy("_old").agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     number = max(BLOCKS, -(-most // BLOCK_BYTES))
-    slim = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(number)).cast("int"))
-    sums = slim.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    blocks = {(r["old_shard"], r["block"]): (r["bytes"], r["rows"]) for r in sums}
+    hot = keyed.groupBy(*equal).agg(F.count("*").alias("n")).where(F.col("n") * HOT_PARTS > total).select(F.col("doc_id").alias("_i"), F.col("_size").alias("_s"), F.col("_crc").alias("_c"), F.lit(True).alias("_hot"))
+    spread = keyed.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_size") == F.col("_s")) & (F.col("_crc") == F.col("_c")), "left")
+    mark = F.xxhash64("doc_id", "_crc", "_size")
+    block = F.pmod(F.when(F.col("_hot"), F.xxhash64(mark, F.col("_row"))).otherwise(mark), F.lit(number)).cast("int")
+    dealt = spread.withColumn("_block", block).drop("_i", "_s", "_c", "_hot")
+    sums = dealt.groupBy("_old", "_block").agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")).collect()
+    blocks = {(r["_old"], r["_block"]): (r["bytes"], r["rows"]) for r in sums}
     made = plan(blocks, capacity or even(sum(b for b, _ in blocks.values()), new_shards))
-    places = spark.createDataFrame([(i, b, j, first) for (i, b), (j, first) in sorted(made.place.items())], "old_ int, block_ int, shard int, first long")
-    placed = slim.join(F.broadcast(places), (F.col("old_shard") == F.col("old_")) & (F.col("block") == F.col("block_")))
-    order = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.row_number().over(order) - 1).alias("slot")), made
-
-
-def rewrite(rows: DataFrame, old_shard: Column, path: str, new_shards: int = NEW_SHARDS) -> Plan:
-    """Write the whole rows of the affected new shards under path/shard=N, in slot order within a file; shards that
-    neither give nor take rows are left as they are."""
-    names = [c for c in ("shard", "slot") if c in rows.columns]
-    if names:
-        raise ValueError(f"columns {names} would clash with the partition columns")
-    placed, made = reshard(rows, old_shard, new_shards)
-    keyed = rows.withColumn("_size", row_size(F.col("text"))).withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
-    # equal (id, size, checksum) rows get one place each: number them on both sides
-    same = Window.partitionBy("doc_id", "size", "text_crc32").orderBy("slot", "shard")
-    side = placed.where(F.col("shard").isin(made.affected)).select(F.col("doc_id").alias("_id"), "size", "text_crc32", "shard", "slot", F.row_number().over(same).alias("_n")) if made.affected else None
-    if side is None:
-        return made
-    again = Window.partitionBy("doc_id", "_size", "_crc").orderBy("text")
-    numbered = keyed.withColumn("_m", F.row_number().over(again))
-    joined = numbered.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("size")) & (F.col("_crc") == F.col("text_crc32")) & (F.col("_m") == F.col("_n")))
-    joined.select(*rows.columns, "shard", "slot").repartition("shard").sortWithinPartitions("shard", "slot").write.mode("append").partitionBy("shard").parquet(path)
+    places = spark.createDataFrame([(i, b, j, first) for (i, b), (j, first) in sorted(made.place.items())], "_o int, _b int, _new int, _first long")
+    order = Window.partitionBy("_old", "_block").orderBy("doc_id", "_crc", "_size", "_row")
+    placed = dealt.join(F.broadcast(places), (F.col("_old") == F.col("_o")) & (F.col("_block") == F.col("_b")))
+    return placed.withColumn("_slot", F.col("_first") + F.row_number().over(order) - 1), made
+
+
+def reshard(rows: DataFrame, old_shard: Column, new_shards: int = NEW_SHARDS, capacity: list[int] | None = None) -> tuple[DataFrame, Plan]:
+    """(doc_id, text, ...) -> ((doc_id, size, text_crc32, old_shard, shard, slot), plan)."""
+    slim = rows.select("doc_id", row_size(F.col("text")).alias("_size"), F.crc32(F.coalesce("text", F.lit(""))).alias("_crc"), old_shard.cast("int").alias("_old"), F.monotonically_increasing_id().alias("_row"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    placed, made = _placed(slim.checkpoint(), new_shards, capacity)
+    return placed.select("doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_old").alias("old_shard"), F.col("_new").alias("shard"), F.col("_slot").alias("slot")), made
+
+
+def rewrite(rows: DataFrame, old_shard: Column, path: str, new_shards: int = NEW_SHARDS, rows_per_file: int = ROWS_PER_FILE) -> Plan:
+    """Replace the files of the affected new shards, path/shard=N, by their whole rows, each file a run of slots; files of
+    shards that neither give nor take rows stay. The rows are first copied into the checkpoint folder, so they may come
+    from path itself, and a run after a failed one replaces what that one left."""
+    if any(c.lower() in ("shard", "slot", "_new", "_slot", "_old", "_block", "_size", "_crc", "_row") for c in rows.columns):
+        raise ValueError("columns would clash with those of the new layout")
+    placed, made = _placed(_keyed(rows, old_shard), new_shards, None)
+    out = placed.where(F.col("_new").isin(made.affected)) if made.affected else placed.where("false")
+    laid = out.select(*rows.columns, F.col("_new").alias("shard"), F.col("_slot").alias("slot"))
+    run = F.floor(F.col("slot") / rows_per_file)
+    if made.affected:
+        laid.repartition("shard", run).sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return made
 
 

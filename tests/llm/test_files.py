@@ -81,6 +81,9 @@ def test_shards_are_even_and_gapless(spark):
     even = resharding.even(int(old.sum()), 16)
     least = sum(max(0, int(old.get(i, 0)) - even[i]) for i in range(resharding.OLD_SHARDS))
     assert got[got.shard != got.old_shard]["size"].sum() <= 1.1 * least
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in texts)
+    assert sorted(zip(got["doc_id"], got["size"], got["text_crc32"])) == want and set(got["law"]) == {"bytes"}
 
 
 def test_odd_rows(spark):
@@ -94,6 +97,36 @@ def test_odd_rows(spark):
     assert resharding.reshard(empty(spark), F.lit(0))[0].count() == 0
 
 
+def test_resharding_of_a_table_of_equal_rows(spark, monkeypatch):
+    """Rows that can't be told apart spread over blocks and shards; every row has one place."""
+    monkeypatch.setattr(resharding, "BLOCKS", 64)
+    rows = [(None, None)] * 3000 + [(7, "same")] * 2000 + [(k, "x" * (k % 50)) for k in range(1000)]
+    placed, made = resharding.reshard(documents(spark, rows), F.lit(0), 4)
+    got = placed.toPandas()
+    assert len(made.place) > 32 and len(got) == 6000
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() <= 100
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    want = sorted((i if i is not None else -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted(zip(got["doc_id"].fillna(-1).astype(int), got["size"], got["text_crc32"])) == want
+
+
+def test_rewrite_again_replaces(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k % 90} " * (k % 7), k % 3) for k in range(900)], "doc_id long, text string, home int")
+    path = f"{tmp_path}/out"
+    docs.withColumn("shard", F.col("home")).write.partitionBy("shard").parquet(path)
+    whole = lambda: sorted(map(tuple, spark.read.parquet(path).select("doc_id", "text", "home").collect()))
+    before = whole()
+    resharding.rewrite(docs, F.col("home"), path, 5)
+    once = spark.read.parquet(path).select("doc_id", "shard", "slot").collect()
+    assert whole() == before
+    resharding.rewrite(docs, F.col("home"), path, 5, rows_per_file=50)  # as after a failure
+    assert whole() == before and sorted(spark.read.parquet(path).select("doc_id", "shard", "slot").collect()) == sorted(once)
+    resharding.rewrite(spark.read.parquet(path).drop("shard", "slot"), F.col("home"), path, 5)  # rows of the path itself
+    assert whole() == before
+
+
 def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * (i % 5), i % 4) for i in range(400)] + [(7, "xx", 3)] * 2, "doc_id long, text string, home int")
     made = resharding.rewrite(docs, F.col("home"), f"{tmp_path}/out", new_shards=6)
