@@ -6,7 +6,7 @@ node with very many links stay where they are in that join (see look_up)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import ensure_checkpoint_dir
@@ -27,6 +27,21 @@ def look_up(rows: DataFrame, answers: DataFrame, key: str, total: int) -> DataFr
     return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key))
 
 
+def look_up_all(rows: DataFrame, answers: DataFrame, key: str, total: int, spread: Column) -> DataFrame:
+    """All rows, each with the columns of answers(key, n, ...) but n, null where the key is null or has no answer.
+
+    The answers of hot keys, fewer than HOT_PARTS, are broadcast; the rows of those, and rows without a key, then take
+    part in the join by key under a value of `spread`, which matches nothing, so that they lie in all tasks."""
+    names = [c for c in answers.columns if c not in (key, "n")]
+    answer = F.struct(*names)
+    hot = answers.where(F.col("n") * HOT_PARTS > total).select(F.col(key).alias("_hot_key"), answer.alias("_hot"))
+    cold = answers.where(F.col("n") * HOT_PARTS <= total).select(F.concat(F.lit("="), F.col(key)).alias("_cold_key"), answer.alias("_cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    at = F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.concat(F.lit("="), F.col(key))).otherwise(F.concat(F.lit("~"), spread.cast("string")))
+    joined = marked.withColumn("_at", at).join(cold, F.col("_at") == F.col("_cold_key"), "left").withColumn("_answer", F.coalesce("_hot", "_cold"))
+    return joined.select(*rows.columns, *[F.col(f"_answer.{c}").alias(c) for c in names])
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -1,24 +1,31 @@
 """Operator 1: licence scans with DataFrame operations only.
 
 Files are (doc_id, path, text). Units of comparison are the lines of a file that hold a licence cue, the WINDOWS of
-adjacent lines around each of them (headers wrap) and, of a file named like a licence file, its whole text too. Units repeat, so each distinct unit is compared once: its terms are
-weighted by tf-idf (idf over the templates; a term that no template has gets the largest idf) and the cosine to every
-template is a sparse join on the term. A file's own licence is its best unit's best template with a cosine of at least
-MIN_COSINE; ties go to the greater cosine, then to the first template name. An SPDX identifier that names a licence of the templates is taken as
-it stands, with cosine 1; of an expression the first identifier counts. The idf is that of TEMPLATES, without HEADERS.
+adjacent lines around each of them (headers wrap) and, of a file named like a licence file, its whole text too. Units
+repeat, so each distinct unit is compared once: its terms are weighted by tf-idf (idf over the templates; a term that no
+template has gets the largest idf) and the cosine to every template is a sparse join on the term. A file's own licence is
+its best unit's best template with a cosine of at least MIN_COSINE; ties go to the greater cosine, then to the first
+template name. An SPDX identifier that names a licence of the templates is taken as it stands, with cosine 1; of an
+expression the first identifier counts. The idf is that of TEMPLATES, without HEADERS.
 
 A file without one inherits from the nearest ancestor directory that has a licence file with a match: each distinct
 directory is joined with its ancestors by path, and the deepest one wins. If a directory has several such files, the
 best cosine counts, then the first template name, then the first path.
 
 Result: one row a file, origin `own`, `inherited` or `none`. Null paths count as the empty path in the root directory,
-null texts as empty. Repeated rows are judged row by row. Only the templates, a fixed table, are broadcast."""
+null texts as empty. Repeated rows are judged row by row. Texts are read once: what the later joins need, the units of
+files with a cue and a hash of each, is written below the checkpoint folder. The templates, a fixed table, are broadcast,
+and the answers for headers or directories that more than one part in 1,024 of all files share; the files of those, and
+files without a unit, lie spread over all tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import written
+from millrace.llm.components import look_up, look_up_all
+
 MIN_COSINE = 0.5
 #: Short notices by which files name their licence, several forms a licence.
 TEMPLATES = [
@@ -48,7 +55,7 @@ HEADERS = [
 ]
 #: Units around a cue line: lines before it and lines behind it.
 WINDOWS = ((0, 0), (0, 1), (1, 0), (1, 1), (0, 3), (2, 1))
-SPDX = "(?i)SPDX-License-Identifier:[ \\t(]*([A-Za-z0-9.-]+?)(?:-only|-or-later)?[+]?(?![A-Za-z0-9.+-])"
+SPDX, SPDX_END = "(?i)SPDX-License-Identifier:[ \\t(]*([A-Za-z0-9.-]+)", "(?i)(-only|-or-later)?[.-]*$"
 #: Lower-case cues that a line must hold one of.
 CUES = ("licen", "copyright", "all rights reserved", "spdx", "permission is hereby", "permission to use", "redistribution and use", "waived all")
 TERM = "([a-z0-9]+(?:[.][0-9]+)*)"
@@ -90,7 +97,7 @@ def _windows(lines: Column) -> Column:
 
 def declared(text: Column) -> Column:
     """The licence that the text's first SPDX identifier names, null if no template has it."""
-    found, out = F.lower(F.regexp_extract(text, SPDX, 1)), F.lit(None).cast("string")
+    found, out = F.lower(F.regexp_replace(F.regexp_extract(text, SPDX, 1), SPDX_END, "")), F.lit(None).cast("string")
     for name in sorted({name for name, _ in TEMPLATES} - {"Proprietary"}):
         out = F.when(found == name.lower(), F.lit(name)).otherwise(out)
     return out
@@ -120,26 +127,32 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """(doc_id, path, text) -> (doc_id, path, licence, cosine, origin, licence_dir), one row a file."""
     rows = files.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("path"), F.lit("")).alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     named = F.lower(F.regexp_extract("path", "([^/]*)$", 1)).rlike(LICENCE_FILE)
-    cued = _windows(F.split("text", "\n"))
     whole = F.when(named, F.array("text")).otherwise(F.array().cast("array<string>"))
-    looked = rows.select("doc_id", "path", named.alias("is_licence"), declared(F.col("text")).alias("declared"), F.when(_cued(F.col("text")) | named, F.concat(cued, whole)).otherwise(F.array().cast("array<string>")).alias("units"))
-    looked = looked.select("doc_id", "path", "is_licence", "declared", F.transform("units", lambda u: F.struct(F.sha2(u, 256).alias("hash"), u.alias("unit"))).alias("units"))
-    units = looked.select(F.explode("units").alias("u")).select("u.hash", "u.unit")
-    scored = score_units(units).where(F.col("cosine") >= min_cosine)
+    found = F.when(_cued(F.col("text")) | named, F.concat(_windows(F.split("text", "\n")), whole)).otherwise(F.array().cast("array<string>"))
+    looked = rows.select("doc_id", "path", named.alias("is_licence"), declared(F.col("text")).alias("declared"), F.array_distinct(found).alias("units"))
+    hashed = F.transform("units", lambda u: F.struct(F.sha2(u, 256).alias("hash"), u.alias("unit")))
+    looked = written(looked.select("doc_id", "path", "is_licence", "declared", hashed.alias("units")))
+    total = looked.count()
+    scored = score_units(looked.select(F.explode("units").alias("u")).select("u.hash", "u.unit")).where(F.col("cosine") >= min_cosine)
 
     # per distinct set of unit hashes, the best unit; files of equal units share the answer
-    slim = looked.select("doc_id", "path", "is_licence", "declared", F.array_sort(F.array_distinct(F.transform("units", lambda u: u["hash"]))).alias("hashes")).withColumn("key", F.when(F.size("hashes") > 0, F.sha2(F.concat_ws(",", "hashes"), 256)))
-    sets = slim.where(F.col("key").isNotNull()).select("key", "hashes").dropDuplicates(["key"]).select("key", F.explode("hashes").alias("hash"))
-    best = sets.join(scored, "hash").groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b")).select(F.col("key").alias("_key"), F.col("b.licence").alias("own"), (-F.col("b.c")).alias("own_cosine"))
-    owned = slim.join(best, F.col("key") == F.col("_key"), "left").select("doc_id", "path", "is_licence", directory(F.col("path")).alias("dir"), F.coalesce("declared", "own").alias("own"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.col("own_cosine")).alias("own_cosine"))
+    slim = looked.select("doc_id", "path", directory(F.col("path")).alias("dir"), "is_licence", "declared", F.array_sort(F.transform("units", lambda u: u["hash"])).alias("hashes")).withColumn("key", F.when(F.size("hashes") > 0, F.sha2(F.concat_ws(",", "hashes"), 256)))
+    sets = slim.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("hashes").alias("hashes"), F.count("*").alias("n"))
+    best = sets.select("key", "n", F.explode("hashes").alias("hash")).join(scored, "hash").groupBy("key", "n").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    best = best.select("key", "n", F.col("b.licence").alias("best"), (-F.col("b.c")).alias("best_cosine"))
+    place = F.xxhash64("doc_id", "path")
+    owned = look_up_all(slim.drop("hashes"), best, "key", total, place)
+    owned = written(owned.select("doc_id", "path", "is_licence", "dir", F.coalesce("declared", "best").alias("own"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.col("best_cosine")).alias("own_cosine")))
 
     given = owned.where(F.col("is_licence") & F.col("own").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), F.col("own").alias("licence"), "path")).alias("b"))
-    given = given.select(F.col("dir").alias("holder"), F.col("b.licence").alias("from_licence"), (-F.col("b.c")).alias("from_cosine"))
+    given = given.select(F.col("dir").alias("ancestor"), F.col("b.licence").alias("from_licence"), (-F.col("b.c")).alias("from_cosine"))
     parts = F.split("dir", "/")
-    above = owned.select("dir").distinct().select("dir", F.explode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))).alias("ancestor")).distinct()
-    nearest = above.join(given, F.col("ancestor") == F.col("holder")).groupBy("dir").agg(F.max_by(F.struct("holder", "from_licence", "from_cosine"), F.length("holder")).alias("h"))
-    nearest = nearest.select(F.col("dir").alias("_dir"), "h.holder", "h.from_licence", "h.from_cosine")
-    out = owned.join(nearest, F.col("dir") == F.col("_dir"), "left")
+    dirs = owned.groupBy("dir").agg(F.count("*").alias("files"))
+    above = dirs.select("dir", "files", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))))).alias("ancestor"))
+    below = above.groupBy("ancestor").agg(F.count("*").alias("n"))
+    nearest = look_up(above, given.join(below, "ancestor"), "ancestor", dirs.count())
+    nearest = nearest.groupBy("dir", F.col("files").alias("n")).agg(F.max_by(F.struct(F.col("ancestor").alias("holder"), "from_licence", "from_cosine"), F.length("ancestor")).alias("h")).select("dir", "n", "h.holder", "h.from_licence", "h.from_cosine")
+    out = look_up_all(owned, nearest, "dir", total, place)
     mine, theirs = F.col("own").isNotNull(), F.col("from_licence").isNotNull()
     return out.select(
         "doc_id", "path", F.coalesce("own", "from_licence").alias("licence"), F.round(F.coalesce("own_cosine", "from_cosine"), 6).alias("cosine"),
@@ -147,11 +160,21 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     )
 
 
+#: The tree of as_files: ids in one directory at each depth below the source, and how often a file is a licence file.
+DEPTHS, EVERY = (10_000, 1_000, 200), 10
+
+
 def as_files(docs: DataFrame) -> DataFrame:
-    """The documents as a source tree: source / thousands / twenties / file; every tenth file is named LICENSE."""
-    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    return docs.select("doc_id", F.concat_ws("/", "source", part(1000), part(20), name).alias("path"), "text")
+    """The documents as a source tree, source / ten thousands / thousands / two hundreds / file. Every tenth file is a
+    licence file, LICENSE-id; they lie in turn in the source's directory, below it, and so on down to the deepest one, so
+    that licences of several depths compete and files inherit from far above."""
+    source, deep = F.coalesce(F.col("source").cast("string"), F.lit("none")), len(DEPTHS)
+    parts = F.array(source, *[F.floor(F.col("doc_id") / n).cast("string") for n in DEPTHS])
+    is_licence = F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False))
+    kept = F.when(is_licence, F.pmod(F.floor(F.col("doc_id") / EVERY), F.lit(deep + 1)).cast("int") + 1).otherwise(deep + 1)
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    name = F.when(is_licence, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
+    return docs.select("doc_id", F.concat_ws("/", F.slice(parts, F.lit(1), kept), name).alias("path"), "text")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,25 +182,33 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUE_SQL = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{cue}')" for cue in CUES) + ")"
+_EVERY_FORM = _FORMS + [(len(_FORMS) + k, name, text) for k, (name, text) in enumerate(HEADERS)]
+_MOST_SQL = f"1.0 + ln({1.0 + len(TEMPLATES)})"
+_DIR_SQL = "array_to_string(list_slice([coalesce(source, 'none'), " + ", ".join(f"CAST(doc_id // {n} AS VARCHAR)" for n in DEPTHS) + f"], 1, CASE WHEN doc_id % {EVERY} = 0 THEN (doc_id // {EVERY}) % {len(DEPTHS) + 1} + 1 ELSE {len(DEPTHS) + 1} END), '/')"
+_NAMED_SQL = ", ".join(f"('{name}')" for name in sorted({name for name, _ in TEMPLATES} - {"Proprietary"}))
+_SLICES_SQL = ", ".join(f"array_to_string(list_slice(lines, greatest(k - {a}, 1), k + {b}), chr(10))" for a, b in WINDOWS)
 ORACLE_SQL = f"""
-WITH forms AS (SELECT * FROM (VALUES {_values(_FORMS)}) AS t(form, licence, text)),
+WITH forms AS (SELECT * FROM (VALUES {_values(_EVERY_FORM)}) AS t(form, licence, text)),
 tterm AS (SELECT form, licence, unnest(regexp_extract_all(lower(text), '{TERM}', 1)) AS term FROM forms),
 ttf AS (SELECT form, licence, term, count(*) AS tf FROM tterm GROUP BY ALL),
-idf AS (SELECT term, ln({1.0 + len(TEMPLATES)} / (1.0 + count(*))) + 1.0 AS idf FROM ttf GROUP BY term),
-tw AS (SELECT form, licence, ttf.term, tf * idf AS w FROM ttf JOIN idf USING (term)),
+idf AS (SELECT term, ln({1.0 + len(TEMPLATES)} / (1.0 + count(*))) + 1.0 AS idf FROM ttf WHERE form < {len(TEMPLATES)} GROUP BY term),
+tw AS (SELECT form, licence, ttf.term, tf * coalesce(idf, {_MOST_SQL}) AS w FROM ttf LEFT JOIN idf USING (term)),
 tn AS (SELECT form, sqrt(sum(w * w)) AS norm FROM tw GROUP BY form),
 tv AS (SELECT form, licence, term, w / norm AS weight FROM tw JOIN tn USING (form)),
-files AS (SELECT doc_id, coalesce(text, '') AS text, source || '/' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 20 AS VARCHAR) || '/' || CASE WHEN doc_id % 10 = 0 THEN 'LICENSE' ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS path FROM documents),
-units AS (SELECT doc_id, unnest(list_filter(string_split(text, chr(10)), lambda x: {_CUE_SQL('x')})) AS unit FROM files UNION ALL SELECT doc_id, text FROM files WHERE doc_id % 10 = 0),
+files AS (SELECT doc_id, coalesce(text, '') AS text, {_DIR_SQL} AS dir, doc_id % {EVERY} = 0 AS is_licence FROM documents),
+split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM files),
+cued AS (SELECT doc_id, lines, k FROM split, unnest(generate_series(1, len(lines))) AS t(k) WHERE {_CUE_SQL('lines[k]')}),
+units AS (SELECT DISTINCT doc_id, unnest([{_SLICES_SQL}]) AS unit FROM cued UNION SELECT doc_id, text FROM files WHERE is_licence),
 du AS (SELECT DISTINCT unit FROM units),
 uterm AS (SELECT unit, unnest(regexp_extract_all(lower(unit), '{TERM}', 1)) AS term FROM du),
 utf AS (SELECT unit, term, count(*) AS tf FROM uterm GROUP BY ALL),
-uw AS (SELECT unit, utf.term, tf * coalesce(idf, 1.0 + ln({1.0 + len(TEMPLATES)})) AS w FROM utf LEFT JOIN idf USING (term)),
+uw AS (SELECT unit, utf.term, tf * coalesce(idf, {_MOST_SQL}) AS w FROM utf LEFT JOIN idf USING (term)),
 un AS (SELECT unit, sqrt(sum(w * w)) AS len FROM uw GROUP BY unit),
 dots AS (SELECT unit, form, licence, sum(w * weight) AS dot FROM uw JOIN tv USING (term) GROUP BY ALL),
 cosines AS (SELECT unit, licence, round(dot / len, 9) AS c FROM dots JOIN un USING (unit)),
-owns AS (SELECT doc_id, arg_min(licence, (-c, licence)) AS own, max(c) AS own_cosine FROM units JOIN cosines USING (unit) WHERE c >= {MIN_COSINE} GROUP BY doc_id),
-owned AS (SELECT f.doc_id, f.path, f.doc_id % 10 = 0 AS is_licence, regexp_replace(f.path, '/?[^/]*$', '') AS dir, own, own_cosine FROM files f LEFT JOIN owns USING (doc_id)),
+bests AS (SELECT doc_id, arg_min(licence, (-c, licence)) AS best, max(c) AS best_cosine FROM units JOIN cosines USING (unit) WHERE c >= {MIN_COSINE} GROUP BY doc_id),
+said AS (SELECT doc_id, name AS declared FROM files JOIN (VALUES {_NAMED_SQL}) AS v(name) ON lower(name) = lower(regexp_replace(regexp_extract(text, '{SPDX}', 1), '{SPDX_END}', ''))),
+owned AS (SELECT f.doc_id, f.dir, f.dir || '/' || CASE WHEN is_licence THEN 'LICENSE-' || CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) || '.txt' END AS path, is_licence, coalesce(declared, best) AS own, CASE WHEN declared IS NOT NULL THEN 1.0 ELSE best_cosine END AS own_cosine FROM files f LEFT JOIN bests USING (doc_id) LEFT JOIN said USING (doc_id)),
 given AS (SELECT dir AS holder, arg_min(own, (-own_cosine, own, path)) AS l, max(own_cosine) AS c FROM owned WHERE is_licence AND own IS NOT NULL GROUP BY dir),
 near AS (SELECT dir, max_by(holder, length(holder)) AS holder FROM (SELECT DISTINCT dir FROM owned) JOIN given ON holder = '' OR dir = holder OR starts_with(dir, holder || '/') GROUP BY dir)
 SELECT doc_id, path, coalesce(own, l) AS licence, round(coalesce(own_cosine, c), 6) AS cosine,

@@ -38,6 +38,22 @@ def test_wrapped_headers_and_spdx(spark):
     assert {r["path"]: r["licence"] for r in got} == {"a": "MPL-2.0", "b": "LGPL-3.0", "c": "MIT", "d": "Apache-2.0", "e": "LGPL-3.0", "f": None, "g": "GPL-2.0"}
 
 
+def test_registered_tree_inherits_from_several_depths(spark):
+    got = licenses.op1_license_scan(spark, "/root/testdata/sf0.01")
+    far = {r["depth"]: r["n"] for r in got.where("origin = 'inherited'").groupBy(F.size(F.split("licence_dir", "/")).alias("depth")).agg(F.count("*").alias("n")).collect()}
+    assert len(far) > 1 and sum(far.values()) > 20
+    assert got.where("origin = 'own'").count() > 5 and got.count() == 1000
+
+
+def test_hot_headers_and_directories(spark):
+    """One header in most files, one directory that holds most of the others: all answers as in a small tree."""
+    header = "# Licensed under the Apache License, Version 2.0.\nx = 1"
+    rows = [(k, f"a/f{k}.py", header, 0.0, "", "") for k in range(2000)] + [(5000 + k, f"b/g{k}.py", "y = 2", 0.0, "", "") for k in range(1500)] + [(9000 + k, f"d{k}/h.py", "z", 0.0, "", "") for k in range(300)]
+    rows += [(1, "b/LICENSE", "Released under the MIT License.", 0.0, "", ""), (2, "d7/LICENSE", "All rights reserved.", 0.0, "", ""), (3, None, None, 0.0, "", "")]
+    got = licenses.scan(files(spark, rows)).groupBy("licence", "origin", "licence_dir").count().collect()
+    assert {tuple(r) for r in got} == {("Apache-2.0", "own", None, 2000), ("MIT", "inherited", "b", 1500), ("MIT", "own", None, 1), ("Proprietary", "inherited", "d7", 1), ("Proprietary", "own", None, 1), (None, "none", None, 300)}
+
+
 def test_licence_plan_is_native(spark):
     plan = licenses.op1_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not [word for word in ("Python", "Pandas", "Arrow", "ExistingRDD") if word in plan.replace("ArrowConverters", "")]
