@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -13,6 +14,8 @@ from pyspark.sql.types import StringType
 #: The code points of Python's str.isspace(), as a Java and RE2 character class body.
 WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _BLANK = f"[{WHITE}]"
+#: The same code points as a text.
+WHITE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 @F.pandas_udf(StringType())
@@ -26,12 +29,19 @@ def nfc(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(text, F.lit(WHITE_CHARS))
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"{_BLANK}+", " "), "^ | $", "")
+    return F.trim(F.regexp_replace(text, f"{_BLANK}+", " "))
+
+
+def normalised(text: str | None) -> str:
+    """One text as by `normalise`, for workers that read whole batches; a null text is empty."""
+    out = (text or "").replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "")
+    out = out if out.isascii() else unicodedata.normalize("NFC", out)
+    return re.sub("\n{3,}", "\n\n", out).strip()
 
 
 def normalise(text: Column) -> Column:

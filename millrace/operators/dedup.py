@@ -18,6 +18,8 @@ from millrace.session import ensure_checkpoint_dir
 
 #: Fixed values of the permutation family: modulus, domain and first seed.
 PRIME, DOMAIN, FIRST_SEED = 4294967311, 1 << 32, 0x51705550
+#: Signatures that share a band and meet in one task at most, on the side that is dealt out.
+HOT_BAND = 2048
 
 
 @dataclass(frozen=True)
@@ -85,33 +87,38 @@ def signatures(grams: DataFrame, rules: NearRules = NearRules(), seq: str = "seq
 
 
 def confirmed_links(signed: DataFrame, rules: NearRules = NearRules(), seq: str = "seq") -> DataFrame:
-    """(seq, sig) with distinct signatures -> (a, b), a < b: pairs that share a band and agree in enough rows."""
+    """(seq, sig) with distinct signatures -> (a, b), a < b: pairs that share a band and agree in enough rows.
+
+    A band that more than HOT_BAND signatures share is dealt out: one side of its join spreads over as many salts as keep
+    HOT_BAND rows together, the other is repeated under each."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(rules.bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.slice("sig", k * rules.rows + 1, rules.rows)).alias("key")))
     banded = signed.select(seq, F.explode(bands).alias("b")).select(F.col(seq), "b.band", "b.key")
-    left, right = banded.select(F.col(seq).alias("a"), "band", "key"), banded.select(F.col(seq).alias("b"), F.col("band").alias("band_b"), F.col("key").alias("key_b"))
-    pairs = left.join(right, (F.col("band") == F.col("band_b")) & (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    hot = banded.groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_BAND).select("_band", "_key", F.ceil(F.col("n") / HOT_BAND).cast("int").alias("salts"))
+    dealt = banded.join(hot, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")), "left")
+    own = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(seq), F.col("salts")).cast("int"))
+    every = F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    left = dealt.select(F.col(seq).alias("a"), "band", "key", own.alias("salt"))
+    right = dealt.select(F.col(seq).alias("b"), F.col("band").alias("band_b"), F.col("key").alias("key_b"), F.explode(every).alias("salt_b"))
+    pairs = left.join(right, (F.col("band") == F.col("band_b")) & (F.col("key") == F.col("key_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
     one, two = signed.select(F.col(seq).alias("_a"), F.col("sig").alias("sig_a")), signed.select(F.col(seq).alias("_b"), F.col("sig").alias("sig_b"))
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
     return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b")).where(agree / rules.num_perm >= rules.threshold).select("a", "b")
 
 
-def greedy_drops(links: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def greedy_drops(links: DataFrame) -> DataFrame:
     """(a, b), a < b -> (seq): b is dropped if it is linked to an earlier a that is kept; a dropped a drops nobody.
 
     Each round keeps the nodes that no undecided link leads to, drops their neighbours and takes the links of both
-    away; a checkpoint cuts the lineage. Rounds follow the longest chain of alternating decisions."""
+    away; a checkpoint cuts the lineage. Rounds follow the longest chain of alternating decisions, and each one decides
+    something, so they come to an end."""
     ensure_checkpoint_dir(links.sparkSession)
     open_links = links.checkpoint()
     dropped: list[DataFrame] = []
-    for _ in range(most_rounds):
-        if open_links.isEmpty():
-            break
+    while not open_links.isEmpty():
         kept = open_links.select("a").distinct().join(open_links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = open_links.join(kept, "a", "left_semi").select(F.col("b").alias("seq")).distinct().checkpoint()
         dropped.append(gone)
         open_links = open_links.join(gone, F.col("a") == F.col("seq"), "left_anti").join(gone, F.col("b") == F.col("seq"), "left_anti").checkpoint()
-    else:
-        raise RuntimeError("greedy resolution did not settle")
     out = links.select(F.col("a").alias("seq")).where("false")
     for part in dropped:
         out = out.unionByName(part)

@@ -21,7 +21,12 @@ def grams(text: Column, n: int) -> Column:
 
 
 def gram_hashes(text: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(grams(text, n), xxh64))
+    """The hashes of the distinct word n-grams; each gram is hashed as it is made, so only longs are held."""
+    def of(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: xxh64(F.array_join(F.slice(words, i, n), " ")))
+        return F.when(F.size(words) >= n, many).otherwise(F.array().cast("array<long>"))
+
+    return F.array_distinct(let(gram_words(F.coalesce(text, F.lit(""))), of))
 
 
 def build_index(texts: DataFrame, n: int = GRAM_SIZE) -> DataFrame:
@@ -55,7 +60,12 @@ def with_overlap(docs: DataFrame, index: DataFrame, n: int = GRAM_SIZE, seq: str
 
 
 def decontaminate(docs: DataFrame, index: DataFrame, n: int = GRAM_SIZE, threshold: int = 1, seq: str = "seq") -> DataFrame:
+    """docs without those that share at least `threshold` n-grams with the index; one shared gram needs no counting."""
     if threshold < 1:
         raise ValueError("threshold must be at least 1")
+    if threshold == 1:
+        exploded = docs.select(F.col(seq).alias("_bad"), F.explode(gram_hashes(F.col("text"), n)).alias("gram"))
+        bad = exploded.join(index, "gram", "left_semi").select("_bad").distinct()
+        return docs.join(bad, F.col(seq) == F.col("_bad"), "left_anti")
     bad = overlaps(docs, index, n, seq).where(F.col("overlap") >= threshold).select(F.col("seq").alias("_bad"))
     return docs.join(bad, F.col(seq) == F.col("_bad"), "left_anti")

@@ -39,6 +39,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 
+#: Rows and bytes in one Arrow batch, whichever is met first: a batch of very long texts must still fit a Python worker.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 2048, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to ours, where they are larger; they stay lowered."""
+    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is None or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors, once per application, so that workers import it wherever they run."""
     context = spark.sparkContext

@@ -8,7 +8,7 @@ import os
 import zipfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,13 +25,22 @@ def concat(*parts: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
     """Documents of JSON-lines files, plain or .zst or .gz, in argument order: (id, text, source, meta, seq).
 
-    Blank lines are skipped; a missing meta is empty. seq orders the rows by input, file and place in the file."""
+    Blank lines are skipped; a missing meta is empty. seq numbers the rows by input, file and place in the file, whatever
+    the order in which Spark packs files into tasks: rows of one split of a file lie in order in one task, splits are
+    counted first, and their first numbers, one row a split, are joined back."""
     parts = []
     for ordinal, path in enumerate(paths):
         rows = spark.read.schema(DOCUMENT).json(path)
+        split = F.struct(F.lit(ordinal).alias("input"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
         meta = F.coalesce("meta", F.create_map().cast("map<string,string>"))
-        parts.append(rows.select("id", "text", "source", meta.alias("meta"), F.lit(ordinal).alias("_input"), F.monotonically_increasing_id().alias("_place")).where("id is not null or text is not null"))
-    return concat(*parts).withColumn("seq", F.col("_input") * F.lit(1 << 53) + F.col("_place")).drop("_input", "_place")
+        parts.append(rows.select("id", "text", "source", meta.alias("meta"), split.alias("_split"), F.monotonically_increasing_id().alias("_place")))
+    rows = concat(*parts)
+    # counting ids makes this pass parse the lines as the other one does, so that both number the same rows
+    splits = rows.groupBy("_split").agg(F.min("_place").alias("_least"), F.count("*").alias("_rows"), F.count("id").alias("_ids"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select(F.col("_split").alias("_of"), "_least", "_rows").withColumn("_first", before).select("_of", (F.col("_first") - F.col("_least")).alias("_shift"))
+    numbered = rows.join(starts, F.col("_split") == F.col("_of")).withColumn("seq", F.col("_place") + F.col("_shift"))
+    return numbered.where("id is not null or text is not null").select("id", "text", "source", "meta", "seq")
 
 
 def write_documents(docs: DataFrame, path: str, compression: str = "gzip") -> int:
@@ -103,12 +112,9 @@ def read_member(spark: SparkSession, path: str, member: str | None) -> DataFrame
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation examples of a JSON array, keyed by position: (index, question_id, db_id, question, evidence, gold_sql, difficulty)."""
-    fields = "question_id string, db_id string, question string, evidence string, difficulty string, SQL string, sql string, query string"
-    spark_case = spark.conf.get("spark.sql.caseSensitive")
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("index", "m"))
     get = lambda name: F.try_element_at("m", F.lit(name))
     gold = F.coalesce(*[F.nullif(F.trim(get(c)), F.lit("")) for c in ("SQL", "sql", "query")])
-    del fields, spark_case
     text = lambda name, other="": F.coalesce(get(name), F.lit(other))
     return rows.select("index", F.coalesce(get("question_id"), F.col("index").cast("string")).alias("question_id"), text("db_id").alias("db_id"), text("question").alias("question"), text("evidence").alias("evidence"), gold.alias("gold_sql"), text("difficulty", "unknown").alias("difficulty"))
 

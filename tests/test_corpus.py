@@ -214,3 +214,42 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.submission(spark.createDataFrame([(0, "S")], "index int, predicted_sql string"), examples)
     assert os.path.exists(f"{tmp_path}/m.json")
+
+
+def test_input_order_whatever_the_sizes(spark, tmp_path):
+    """seq follows input, file name and line, though Spark packs the largest files first."""
+    import json
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, rows, size in (("a", 3, 10), ("b", 400, 2000), ("c", 40, 300)):
+        (folder / f"{name}.jsonl").write_text("\n\n".join(json.dumps({"id": f"{name}{k:03}", "text": "x" * size, "source": "s"}) for k in range(rows)) + "\n")
+    last = tmp_path / "z.jsonl"
+    last.write_text('{"id": "0", "text": "t", "source": "s"}\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "100k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.read_documents(spark, str(last), str(folder)).select("id", "seq").collect()
+            assert [r["id"] for r in sorted(got, key=lambda r: r["seq"])] == ["0"] + [f"{n}{k:03}" for n, rows in (("a", 3), ("b", 400), ("c", 40)) for k in range(rows)]
+            assert len({r["seq"] for r in got}) == 444
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_running_sums_of_sparse_orders(spark):
+    values = [-(2**62) - 5, -(2**61), -3, 0, 1, 2, 7, 2**40, 2**62 + 5]
+    df = spark.createDataFrame([(v, 2) for v in values] + [(10**9 + k, 1) for k in range(500)], "seq long, v long")
+    got = {r["seq"]: r["before"] for r in prefix.running_before(df, "seq", "v", "before", rows_per_bucket=20).collect()}
+    total, want = 0, {}
+    for s, v in sorted((r["seq"], r["v"]) for r in df.collect()):
+        want[s], total = total, total + v
+    assert got == want
+
+
+def test_hot_bands_give_the_same_links(spark, monkeypatch):
+    rows = [(k, [7] * 8 + [k % 3] * 120) for k in range(60)] + [(100, list(range(128)))]
+    signed = spark.createDataFrame(rows, "seq long, sig array<long>")
+    want = sorted(map(tuple, dedup.confirmed_links(signed).collect()))
+    monkeypatch.setattr(dedup, "HOT_BAND", 4)
+    assert sorted(map(tuple, dedup.confirmed_links(signed).collect())) == want == sorted((a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3)
