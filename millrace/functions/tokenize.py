@@ -8,6 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: the public pre-token pattern of code tokenizers; (?U) makes white space Unicode's.
+CODE_PATTERN = r"(?U)(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+
+def code_pieces(text: Column) -> Column:
+    """The pre-tokens of a text, which together are the text: words with one mark before, digits by threes, other marks."""
+    return F.regexp_extract_all(text, F.lit(CODE_PATTERN), F.lit(0))
+
+
 _LOADED: dict[int, object] = {}
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -109,9 +111,35 @@ def epoch_order(spark: SparkSession, count: int, seed: int, epoch: int) -> DataF
     return spark.createDataFrame(pa.table({"place": np.arange(count), "k": order.astype(np.int64)}))
 
 
-def hash_order(k: Column, seed: int, epoch: int) -> Column:
-    """A sort key that shuffles windows without a driver-side permutation."""
-    return F.xxhash64(F.lit(seed), F.lit(epoch), k)
+def hashed_epoch_order(spark: SparkSession, count: int, seed: int, epoch: int) -> DataFrame:
+    """(place, k): a seeded shuffle that never leaves the executors: windows in the order of the first 60 bits of the md5 of
+    seed:epoch:k. Another order than numpy's, for streams whose permutation would not fit the driver."""
+    k = spark.range(count).select(F.col("id").alias("k"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("k").cast("string"))), 1, 15), 16, 10).cast("decimal(38,0)")
+    keyed = k.withColumn("_key", bits * F.lit(1 << 40).cast("decimal(38,0)") + F.col("k")).withColumn("_one", F.lit(1).cast("long"))
+    return running_before(keyed.withColumn("_key", F.col("_key").cast("decimal(38,0)")), "_key", "_one", "place").select(F.col("place").cast("long").alias("place"), "k")
+
+
+def packed_batches(order: Callable[[int], DataFrame], count: int, micro: int, steps: int, epoch: int = 0, cursor: int = 0, world: int = 1, rank: int = 0) -> tuple[DataFrame, tuple[int, int]]:
+    """((step, row, epoch, k), position): the next `steps` micro-batches of a rank from position (epoch, cursor).
+
+    order(epoch) is the epoch's (place, k). A rank takes every world-th place, as many as every other rank; what is left of
+    an epoch and doesn't fill a micro-batch is dropped. Going on from the returned position gives the same batches as one
+    uninterrupted run. Join k to `windows` for the tokens."""
+    own = count // world
+    if own < micro:
+        raise ValueError(f"{count} windows over {world} ranks don't fill a micro-batch of {micro}")
+    parts, step = [], 0
+    while step < steps:
+        if cursor + micro > own:
+            epoch, cursor = epoch + 1, 0
+        number = min(steps - step, (own - cursor) // micro)
+        at = F.floor(F.col("place") / world) - cursor
+        mine = order(epoch).where((F.col("place") % world == rank) & (at >= 0) & (at < number * micro))
+        parts.append(mine.select((F.lit(step) + F.floor(at / micro)).cast("long").alias("step"), (at % micro).cast("long").alias("row"), F.lit(epoch).alias("epoch"), "k"))
+        step, cursor = step + number, cursor + number * micro
+    empty = order(epoch).where("false").select(F.col("k").alias("step"), F.col("k").alias("row"), F.lit(epoch).alias("epoch"), "k")
+    return reduce(DataFrame.unionByName, parts, empty), (epoch, cursor)
 
 
 def chunks(rows: DataFrame, order: str, size: int, out: str = "chunk") -> DataFrame:

@@ -30,9 +30,10 @@ def rollout_rows(examples: DataFrame, by_level: DataFrame, measure: Callable[[Co
 
 def pair_outcomes(pairs: DataFrame) -> DataFrame:
     """(index, level, pair) with pair as packing.pair_row gives it, no row for a missing database ->
-    (index, outcome, pair): the least reduced pair that fits; boundary where the verbatim one broke at the seam."""
+    (index, outcome, pair): the least reduced pair that fits; boundary where one broke at the seam before that."""
     usable = F.col("pair").isNotNull() & ~F.col("pair.overflow")
-    best = pairs.groupBy("index").agg(F.min_by("pair", F.when(usable, F.col("level"))).alias("pair"), F.min(F.when(usable, F.col("level"))).alias("_level"), F.max((F.col("level") == 0) & F.col("pair").isNull()).alias("_broken"))
+    best = pairs.groupBy("index").agg(F.min_by("pair", F.when(usable, F.col("level"))).alias("pair"), F.min(F.when(usable, F.col("level"))).alias("_level"), F.min(F.when(F.col("pair").isNull(), F.col("level"))).alias("_seam"))
+    best = best.withColumn("_broken", F.col("_seam").isNotNull() & (F.col("_level").isNull() | (F.col("_seam") < F.col("_level"))))
     outcome = F.when(F.col("_broken"), "boundary").when(F.col("_level").isNull(), "overflow").when(F.col("_level") == 0, "ok").otherwise(F.concat(F.lit("ok_reduced"), F.col("_level").cast("string")))
     return best.select("index", outcome.alias("outcome"), F.when(~F.col("_broken") & F.col("_level").isNotNull(), F.col("pair")).alias("pair"))
 

@@ -23,6 +23,29 @@ def catalog_columns(spark: SparkSession, db_id: str, tables: list[str], keys: di
     return spark.createDataFrame(rows, "db_id string, table string, column string, ordinal int, type string, pk int")
 
 
+def open_folder(spark: SparkSession, folder: str) -> list[str]:
+    """A view for each name.parquet of a folder that Spark can read; the names, in order. Opening it again changes nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    names = sorted(n.removesuffix(".parquet") for n in found if n.endswith(".parquet"))
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+    return names
+
+
+def verbatim_ddl(spark: SparkSession, db_id: str, tables: list[str] | None = None) -> DataFrame:
+    """(db_id, table, ddl) in name order: the catalog's own statement of a stored table; a view, which has none that others
+    could run, is stated by its columns. Without names, all tables and views of the current database."""
+    rows = []
+    for name in sorted(tables if tables is not None else [t.name for t in spark.catalog.listTables()]):
+        if spark.catalog.getTable(name).isTemporary:
+            body = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.table(name).schema.fields)
+            rows.append((db_id, name, f"CREATE TABLE `{name}` ({body})"))
+        else:
+            rows.append((db_id, name, spark.sql(f"SHOW CREATE TABLE `{name}`").first()[0]))
+    return spark.createDataFrame(rows, "db_id string, table string, ddl string")
+
+
 def quoted(name: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
 

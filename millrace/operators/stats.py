@@ -66,13 +66,38 @@ def margins(measured: DataFrame, matched: str, other: str) -> DataFrame:
     return kept.withColumn("margin_pct", (F.col(matched) - F.col(other)) / F.col(other) * 100.0).withColumn("wins", F.col(matched) < F.col(other))
 
 
+def _put(path: str, text: str) -> None:
+    import os
+
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(text)
+
+
+def write_rows(rows: DataFrame, path: str, order: str, **facts) -> dict:
+    """Any small report (a panel, a gold certificate, scored examples) as JSON with sorted keys on the driver's machine."""
+    import json
+
+    report = facts | {"rows": [r.asDict(recursive=True) for r in rows.orderBy(order).collect()]}
+    _put(path, json.dumps(report, indent=2, sort_keys=True, default=str) + "\n")
+    return report
+
+
+def write_fertility(measured: DataFrame, path: str, counts: list[str]) -> str:
+    """Fertility by group as a Markdown table, tokens per word of each tokenizer; the overall row first."""
+    found = sorted(measured.collect(), key=lambda r: (r["grp"] != "overall", r["grp"] or ""))
+    per_word = lambda r, c: f"{r[c] / r['words']:.3f}" if r["words"] else "-"
+    lines = ["| group | docs | words | " + " | ".join(counts) + " |", "|---|" + "---:|" * (2 + len(counts))]
+    lines += ["| " + " | ".join([r["grp"] or "", f"{r['docs']:,}", f"{r['words']:,}", *(per_word(r, c) for c in counts)]) + " |" for r in found]
+    text = "\n".join(lines) + "\n"
+    _put(path, text)
+    return text
+
+
 def write_report(stats: DataFrame, path: str, generated_at: str) -> dict:
     """A small report as JSON with sorted keys; returned as well."""
     import json
-    import os
 
     report = {"generated_at": generated_at, "sources": [r.asDict() for r in stats.orderBy("ord").collect()]}
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(json.dumps(report, indent=2, sort_keys=True) + "\n")
+    _put(path, json.dumps(report, indent=2, sort_keys=True) + "\n")
     return report

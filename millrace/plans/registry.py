@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: list[str] = ["corpus", "packing", "evaluation", "schemas", "monitoring", "records", "relational"]
+_MODULES: list[str] = ["corpus", "packing", "evaluation", "schemas", "monitoring", "records", "relational", "preparation"]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
