@@ -6,7 +6,7 @@ node with very many links stay where they are in that join (see look_up)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.session import ensure_checkpoint_dir
@@ -16,30 +16,22 @@ from millrace.session import ensure_checkpoint_dir
 HOT_PARTS = 1024
 
 
-def look_up(rows: DataFrame, answers: DataFrame, key: str, total: int) -> DataFrame:
+def look_up(rows: DataFrame, answers: DataFrame, key: str, total: int, every: bool = False) -> DataFrame:
     """rows with the columns of answers(key, n, ...) but n: n says how many of the rows hold the key, total at least how many there are.
 
-    The answers of hot keys, fewer than HOT_PARTS, are broadcast, so that no task gets all rows of a hot key; the others
-    meet by key. Rows whose key is null or has no answer are left out, as by an inner join."""
-    hot = answers.where(F.col("n") * HOT_PARTS > total).drop("n")
-    cold = answers.where(F.col("n") * HOT_PARTS <= total).drop("n")
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(others.join(cold, key))
-
-
-def look_up_all(rows: DataFrame, answers: DataFrame, key: str, total: int, spread: Column) -> DataFrame:
-    """All rows, each with the columns of answers(key, n, ...) but n, null where the key is null or has no answer.
-
-    The answers of hot keys, fewer than HOT_PARTS, are broadcast; the rows of those, and rows without a key, then take
-    part in the join by key under a value of `spread`, which matches nothing, so that they lie in all tasks."""
+    The answers of hot keys, fewer than HOT_PARTS, are broadcast. Their rows, and rows without a key, then take part in the
+    join by key under a flag of their own, which matches nothing and spreads them over all tasks; so no task gets all rows
+    of a hot key, and rows are read once. Rows whose key is null or has no answer are left out unless every is true."""
     names = [c for c in answers.columns if c not in (key, "n")]
-    answer = F.struct(*names)
-    hot = answers.where(F.col("n") * HOT_PARTS > total).select(F.col(key).alias("_hot_key"), answer.alias("_hot"))
-    cold = answers.where(F.col("n") * HOT_PARTS <= total).select(F.concat(F.lit("="), F.col(key)).alias("_cold_key"), answer.alias("_cold"))
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    at = F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.concat(F.lit("="), F.col(key))).otherwise(F.concat(F.lit("~"), spread.cast("string")))
-    joined = marked.withColumn("_at", at).join(cold, F.col("_at") == F.col("_cold_key"), "left").withColumn("_answer", F.coalesce("_hot", "_cold"))
-    return joined.select(*rows.columns, *[F.col(f"_answer.{c}").alias(c) for c in names])
+    answer, at = F.struct(*names), F.col(key)
+    hot = answers.where(F.col("n") * HOT_PARTS > total).select(at.alias("_hot_key"), answer.alias("_hot"))
+    cold = answers.where(F.col("n") * HOT_PARTS <= total).select(at.alias("_cold_key"), answer.alias("_cold"), F.lit(0).alias("_cold_flag"))
+    marked = (rows if every else rows.where(at.isNotNull())).join(F.broadcast(hot), at == F.col("_hot_key"), "left")
+    spread = (F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).cast("int")
+    flag = F.when(F.col("_hot_key").isNull() & at.isNotNull(), F.lit(0)).otherwise(spread)
+    joined = marked.withColumn("_flag", flag).join(cold, (at == F.col("_cold_key")) & (F.col("_flag") == F.col("_cold_flag")), "left")
+    found = joined.withColumn("_answer", F.coalesce("_hot", "_cold"))
+    return (found if every else found.where(F.col("_answer").isNotNull())).select(*rows.columns, *[F.col(f"_answer.{c}").alias(c) for c in names])
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import written
-from millrace.llm.components import look_up, look_up_all
+from millrace.llm.components import look_up
 
 MIN_COSINE = 0.5
 #: Short notices by which files name their licence, several forms a licence.
@@ -140,8 +140,7 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     sets = slim.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("hashes").alias("hashes"), F.count("*").alias("n"))
     best = sets.select("key", "n", F.explode("hashes").alias("hash")).join(scored, "hash").groupBy("key", "n").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
     best = best.select("key", "n", F.col("b.licence").alias("best"), (-F.col("b.c")).alias("best_cosine"))
-    place = F.xxhash64("doc_id", "path")
-    owned = look_up_all(slim.drop("hashes"), best, "key", total, place)
+    owned = look_up(slim.drop("hashes"), best, "key", total, every=True)
     owned = written(owned.select("doc_id", "path", "is_licence", "dir", F.coalesce("declared", "best").alias("own"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.col("best_cosine")).alias("own_cosine")))
 
     given = owned.where(F.col("is_licence") & F.col("own").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("own_cosine")).alias("c"), F.col("own").alias("licence"), "path")).alias("b"))
@@ -152,7 +151,7 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     below = above.groupBy("ancestor").agg(F.count("*").alias("n"))
     nearest = look_up(above, given.join(below, "ancestor"), "ancestor", dirs.count())
     nearest = nearest.groupBy("dir", F.col("files").alias("n")).agg(F.max_by(F.struct(F.col("ancestor").alias("holder"), "from_licence", "from_cosine"), F.length("ancestor")).alias("h")).select("dir", "n", "h.holder", "h.from_licence", "h.from_cosine")
-    out = look_up_all(owned, nearest, "dir", total, place)
+    out = look_up(owned, nearest, "dir", total, every=True)
     mine, theirs = F.col("own").isNotNull(), F.col("from_licence").isNotNull()
     return out.select(
         "doc_id", "path", F.coalesce("own", "from_licence").alias("licence"), F.round(F.coalesce("own_cosine", "from_cosine"), 6).alias("cosine"),

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import map_arrow, utf8
 from millrace.llm.components import look_up, stars
+from millrace.session import ensure_checkpoint_dir
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: (first bit, bits) of the segments, and of the two blocks of each.
@@ -43,6 +44,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 10), (43, 11), (54, 10))
 COMBINATIONS = [(j, p, q) for j in range(3) for p, q in combinations([b for b in range(6) if b // 2 != j], 2)]
 #: Fingerprints that share two exact blocks and meet in one task at most, on the side that is dealt out.
 HOT_BLOCK = 4096
+#: Rows of hot blocks that are broadcast at most.
+MOST_BROADCAST = 500_000
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0xAE3
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -169,8 +172,10 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """distinct(fp) -> (a, b): all pairs of fingerprints that differ in 1 to most_bits (4 at most) bits, each once."""
     if not 0 <= most_bits <= MOST_BITS:
         raise ValueError(f"most_bits must be 0 to {MOST_BITS}")
+    ensure_checkpoint_dir(distinct.sparkSession)
     keys = map_arrow(distinct.select("fp"), _key_batches, "key long, fp long, slot byte")
-    wide = hot_blocks(distinct)
+    wide = hot_blocks(distinct).checkpoint()
+    wide = F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide  # 12 bytes a row; more are joined by shuffle
     salted = lambda: keys.join(wide, F.shiftright("key", 12) == F.col("blocks"), "left")
     deal = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
     every = F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))

@@ -64,6 +64,7 @@ def test_links_of_a_hot_family_equal_brute_force(spark, monkeypatch):
         values.add(value)
     values |= {int(v) for v in draw.integers(0, 2**62, 100)}
     monkeypatch.setattr(simhash_golay, "HOT_BLOCK", 16)
+    monkeypatch.setattr(simhash_golay, "MOST_BROADCAST", draw.integers(0, 2) * 10**6)
     distinct = spark.createDataFrame([(v,) for v in values], "fp long")
     hot = {r["blocks"]: r["salts"] for r in simhash_golay.hot_blocks(distinct).collect()}
     assert max(hot.values()) >= 400 // 16
