@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from millrace.llm import simhash_golay
@@ -53,7 +54,8 @@ def test_links_equal_brute_force(spark):
     assert found == want and len(want) > 50
 
 
-def test_links_of_a_hot_family_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_links_of_a_hot_family_equal_brute_force(spark, monkeypatch, broadcast):
     """A family whose fingerprints share blocks, far more than one task takes, beside others."""
     draw, seed = np.random.default_rng(8), 0x0123_4567_89AB_CDEF
     values = {seed}
@@ -64,7 +66,7 @@ def test_links_of_a_hot_family_equal_brute_force(spark, monkeypatch):
         values.add(value)
     values |= {int(v) for v in draw.integers(0, 2**62, 100)}
     monkeypatch.setattr(simhash_golay, "HOT_BLOCK", 16)
-    monkeypatch.setattr(simhash_golay, "MOST_BROADCAST", draw.integers(0, 2) * 10**6)
+    monkeypatch.setattr(simhash_golay, "MOST_BROADCAST", broadcast)
     distinct = spark.createDataFrame([(v,) for v in values], "fp long")
     hot = {r["blocks"]: r["salts"] for r in simhash_golay.hot_blocks(distinct).collect()}
     assert max(hot.values()) >= 400 // 16
