@@ -98,7 +98,26 @@ def diagnose_splits(spark, sf_dir):
     return reports.split_panel(reports.diagnose(_examples(spark), _predictions(spark), verdicts, _schema(spark, sf_dir)))
 
 
-@query("diagnose_panel")
+def _tokens_sql(sql: str) -> str:
+    return f"list_transform(list_concat(regexp_extract_all({sql}, '([A-Za-z_][A-Za-z0-9_]*)', 1), regexp_extract_all({sql}, '[`\"\\[]([^`\"\\]]+)[`\"\\]]', 1)), lambda x: lower(x))"
+
+
+def _named_sql(kind: str) -> str:
+    return f"list_filter(list_transform(string_split(regexp_extract(head, '-- {kind}:([^\\n]*)', 1), ','), lambda x: lower(trim(x))), lambda x: x <> '')"
+
+
+_QUOTED = lambda text: "'" + text.replace("'", "''") + "'"
+_PANEL = (
+    _SCORED + ", texts AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {_QUOTED(g)}, {_QUOTED('' if i == MISSING else p)}, {_QUOTED('' if i == MISSING else h)})" for i, _, g, p, h, _ in EXAMPLES) + ") AS t(idx, gold, predicted, head)), "
+    "names AS (SELECT list(DISTINCT table_name) AS tables, list(DISTINCT table_name || '.' || column_name) AS columns FROM duckdb_columns() WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")), "
+    f"found AS (SELECT idx, head <> '' AS with_block, list_intersect({_tokens_sql('gold')}, tables) AS g, list_intersect({_tokens_sql('predicted')}, tables) AS p, {_named_sql('tables')} AS bt, {_named_sql('columns')} AS bc, list_concat(tables, columns) AS known FROM texts, names), "
+    "rated AS (SELECT *, len(list_intersect(g, p)) AS hits FROM found JOIN scored USING (idx)), "
+    "rows AS (SELECT *, CASE WHEN len(g) > 0 THEN 2.0 * hits / (len(g) + len(p)) END AS f1, with_block AND len(list_filter(list_concat(bt, bc), lambda x: NOT list_contains(known, x))) > 0 AS hallucinated, "
+    "with_block AND len(bt) > 0 AND len(p) > 0 AND list_sort(list_distinct(bt)) <> list_sort(p) AS divergent FROM rated)"
+)
+
+
+@query("diagnose_panel", f"WITH {_PANEL.removeprefix('WITH ')} SELECT count(*) AS total, count_if(match) / count(*) AS ex, count_if(category IN ('ok', 'timeout')) / count(*) AS valid_sql_rate, coalesce(avg(f1), 0.0) AS linking_f1, count_if(with_block)::BIGINT AS with_block, count_if(divergent)::BIGINT AS divergent, count_if(hallucinated)::BIGINT AS hallucinated_identifiers, count_if(divergent) / count_if(with_block) AS divergence_rate FROM rows")
 def diagnose_panel(spark, sf_dir):
     verdicts = _verdicts(spark, sf_dir).where(F.col("index") != MISSING)
     return reports.panel(reports.diagnose(_examples(spark), _predictions(spark), verdicts, _schema(spark, sf_dir)))

@@ -51,7 +51,16 @@ def repair_prompts(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", render.SELECT_PROMPT.repair(F.col("text"), F.lit("SELECT x"), F.col("role")).alias("prompt"))
 
 
-@query("spec_ids")
+def _text_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _spec_sql(spec: render.PromptSpec) -> str:
+    parts = (spec.name, spec.template, spec.evidence_line, spec.repair_template, spec.completion_prefix)
+    return f"SELECT {_text_sql(spec.name)} AS name, {_text_sql(spec.name)} || '@' || sha256({' || chr(31) || '.join(map(_text_sql, parts))})[1:12] AS spec_id"
+
+
+@query("spec_ids", " UNION ALL ".join(map(_spec_sql, (render.DDL_PROMPT, render.SELECT_PROMPT))))
 def spec_ids(spark, sf_dir):
     return spark.createDataFrame([(s.name, s.spec_id) for s in (render.DDL_PROMPT, render.SELECT_PROMPT)], "name string, spec_id string")
 

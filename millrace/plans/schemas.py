@@ -100,16 +100,46 @@ def fit_to_budget(spark, sf_dir):
     return schemas.fit(by_level, F.lit(10), F.length).select("db_id", "level")
 
 
-@query("reduced_ddl")
+_KEY_SQL = "(VALUES " + ", ".join(f"('{t}', '{c}', {k})" for t, cs in KEYS.items() for k, c in enumerate(cs)) + ") AS k(tbl, col, place)"
+_NUMBERED_F = "(VALUES " + ", ".join(f"('{t}', '{c}', '{p}', '{pc}', {k})" for k, (t, c, p, pc) in enumerate(FOREIGN)) + ") AS f(tbl, col, parent, parent_col, place)"
+_SPARK_TYPE = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"
+#: cols (tbl, col, o, type) and ddl (tbl, ddl): columns, the primary key and the foreign keys of each table, a line each.
+_DDL = (
+    f"cols AS (SELECT table_name AS tbl, column_name AS col, column_index AS o, {_SPARK_TYPE} AS type FROM duckdb_columns() WHERE table_name IN (SELECT tbl FROM {_T})), "
+    f"lines AS (SELECT tbl, o, '  \"' || col || '\" ' || type AS line FROM cols UNION ALL SELECT tbl, 1000, '  PRIMARY KEY (' || string_agg('\"' || col || '\"', ', ' ORDER BY place) || ')' FROM {_KEY_SQL} GROUP BY tbl "
+    f"UNION ALL SELECT tbl, 2000 + place, '  FOREIGN KEY (\"' || col || '\") REFERENCES \"' || parent || '\"(\"' || parent_col || '\")' FROM {_NUMBERED_F}), "
+    "ddl AS (SELECT tbl, 'CREATE TABLE \"' || tbl || '\" (' || chr(10) || string_agg(line, ',' || chr(10) ORDER BY o) || chr(10) || ');' AS ddl FROM lines GROUP BY tbl)"
+)
+_KEPT = f"kept AS (SELECT query, tbl FROM m UNION SELECT query, parent FROM m JOIN {_F} USING (tbl) UNION SELECT query, f.tbl FROM m JOIN {_F} ON f.parent = m.tbl UNION SELECT query, tbl FROM {_Q}, {_T} WHERE query NOT IN (SELECT query FROM m))"
+_TOKENS = f"toks AS (SELECT DISTINCT query, lower(t) AS token FROM (SELECT query, unnest(list_concat(regexp_extract_all(sql, '([A-Za-z_][A-Za-z0-9_]*)', 1), regexp_extract_all(sql, '[`\"\\[]([^`\"\\]]+)[`\"\\]]', 1))) AS t FROM {_Q}))"
+_SHORT = (
+    f"used AS (SELECT DISTINCT query, tbl, o, '\"' || col || '\" ' || type AS line FROM kept JOIN cols USING (tbl) WHERE (query, lower(col)) IN (SELECT query, token FROM toks) OR (tbl, col) IN (SELECT tbl, col FROM {_KEY_SQL}) OR (tbl, col) IN (SELECT tbl, col FROM {_F})), "
+    f"rest AS (SELECT query, tbl, 1000 AS o, 'PRIMARY KEY (' || string_agg('\"' || col || '\"', ', ' ORDER BY place) || ')' AS line FROM kept JOIN {_KEY_SQL} USING (tbl) GROUP BY query, tbl "
+    f"UNION ALL SELECT a.query, a.tbl, 2000 + place, 'FOREIGN KEY (\"' || col || '\") REFERENCES \"' || parent || '\" (\"' || parent_col || '\")' FROM kept a JOIN {_NUMBERED_F} ON f.tbl = a.tbl JOIN kept b ON b.query = a.query AND b.tbl = parent), "
+    "short AS (SELECT query, tbl, 'CREATE TABLE \"' || tbl || '\" (' || string_agg(line, ', ' ORDER BY o) || ');' AS ddl FROM (SELECT * FROM used UNION ALL SELECT * FROM rest) GROUP BY query, tbl)"
+)
+
+
+@query("reduced_ddl", f"WITH m AS {_MENTIONED}, {_DDL}, {_KEPT}, {_TOKENS}, {_SHORT} SELECT query, string_agg(ddl, chr(10) || chr(10) ORDER BY tbl) AS ddl, 1 AS level FROM kept JOIN ddl USING (tbl) GROUP BY query UNION ALL SELECT query, string_agg(ddl, chr(10) || chr(10) ORDER BY tbl), 2 FROM short GROUP BY query")
 def reduced_ddl(spark, sf_dir):
     columns, foreign, verbatim = _columns(spark, sf_dir), _foreign(spark), _verbatim(spark, sf_dir)
     parts = [schemas.reduced(_queries(spark), columns, foreign, verbatim, k).withColumn("level", F.lit(k)) for k in (1, 2)]
     return parts[0].unionByName(parts[1])
 
 
-@query("focused_schema")
+_ASKED = [(0, ["orders", "Customer", "orders"]), (1, ["nothing"]), (2, ["region"])]
+
+
+@query(
+    "focused_schema",
+    f"WITH {_DDL}, asked AS (SELECT * FROM (VALUES {', '.join(f"({r}, {k}, '{n.lower()}')" for r, names in _ASKED for k, n in enumerate(names))}) AS t(request, pos, name)), real AS (SELECT request, tbl, min(pos) AS pos FROM asked JOIN {_T} ON tbl = name GROUP BY ALL), "
+    f"near AS (SELECT request, parent AS tbl FROM real JOIN {_F} USING (tbl) UNION SELECT request, f.tbl FROM real r JOIN {_F} ON f.parent = r.tbl EXCEPT SELECT request, tbl FROM real), "
+    f"whole AS (SELECT DISTINCT request, tbl, 0 AS pos FROM asked, {_T} WHERE request NOT IN (SELECT request FROM real)), "
+    "parts AS (SELECT *, false AS expand FROM real UNION ALL SELECT *, false FROM whole UNION ALL SELECT *, true FROM real UNION ALL SELECT *, true FROM whole UNION ALL SELECT request, tbl, 1000, true FROM near) "
+    "SELECT request, string_agg(ddl, chr(10) || chr(10) ORDER BY pos, tbl) AS ddl, expand FROM parts JOIN ddl USING (tbl) GROUP BY request, expand",
+)
 def focused_schema(spark, sf_dir):
-    asked = spark.createDataFrame([(0, "star", ["orders", "Customer", "orders"]), (1, "star", ["nothing"]), (2, "star", ["region"])], "request int, db_id string, tables array<string>")
+    asked = spark.createDataFrame([(r, "star", names) for r, names in _ASKED], "request int, db_id string, tables array<string>")
     verbatim, foreign = _verbatim(spark, sf_dir), _foreign(spark)
     return schemas.focused(asked, verbatim, foreign).withColumn("expand", F.lit(False)).unionByName(schemas.focused(asked, verbatim, foreign, True).withColumn("expand", F.lit(True)))
 
