@@ -84,44 +84,37 @@ class Guard:
         return None
 
 
-def streak(bad: Column, by: str, order: str) -> tuple[Column, Column]:
-    """(island, running length) for gaps and islands: the island number is a running sum of the good rows."""
+def _streak(bad: Column, by: str, order: str) -> Column:
+    """How many of the known rows up to this one are bad in a row: all bad ones less those up to the last good one."""
     upto = Window.partitionBy(by).orderBy(order)
-    island = F.sum(F.when(bad, 0).otherwise(1)).over(upto)
-    return island, F.when(bad, 1).otherwise(0)
+    total = F.sum(F.when(bad, 1).otherwise(0))
+    return total.over(upto) - F.coalesce(F.max(F.when(~bad, F.col("_bad_so_far"))).over(upto), F.lit(0))
 
 
 def streaks(logs: DataFrame, by: str, order: str, bad: Column, out: str) -> DataFrame:
-    """logs with `out`: how many rows in a row, up to this one, are bad; null where `bad` is null."""
-    known = logs.where(bad.isNotNull())
+    """logs with `out`: how many rows in a row, up to this one, are bad; null where `bad` is null. One pass of windows."""
     upto = Window.partitionBy(by).orderBy(order)
-    marked = known.withColumn("_bad", bad).withColumn("_island", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(upto))
-    inside = Window.partitionBy(by, "_island").orderBy(order)
-    counted = marked.withColumn(out, F.sum(F.col("_bad").cast("long")).over(inside)).select(F.col(by).alias("_by"), F.col(order).alias("_order"), out)
-    return logs.join(counted, logs[by].eqNullSafe(F.col("_by")) & (logs[order] == F.col("_order")), "left").drop("_by", "_order")
+    marked = logs.withColumn("_bad", bad).withColumn("_bad_so_far", F.sum(F.when(F.col("_bad"), 1).otherwise(0)).over(upto))
+    return marked.withColumn(out, F.when(F.col("_bad").isNotNull(), _streak(F.col("_bad"), by, order))).drop("_bad", "_bad_so_far")
 
 
 def guard(logs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """(run, step, length, flat, reward, kl, clipped, errors, rollouts) -> (run, step, reason): each run's first halt.
 
-    One run is one ordered log and the unit of parallelism."""
+    One run is one ordered log and the unit of parallelism: the rows are dealt by run once, and all windows follow."""
     upto = Window.partitionBy("run").orderBy("step")
-    last = upto.rowsBetween(-(rules.window - 1), 0)
-    count = lambda c: F.count(c).over(upto)
-    rows = logs.withColumn("_place", count("length"))
-    base = rows.where((F.col("length").isNotNull()) & (F.col("_place") <= rules.baseline_steps)).groupBy("run").agg(F.avg("length").alias("_base"), F.count("*").alias("_n"))
-    rows = rows.join(base.select(F.col("run").alias("_r"), "_base", "_n"), F.col("run").eqNullSafe(F.col("_r")), "left").drop("_r")
+    rows = logs.withColumn("_place", F.count("length").over(upto))
+    base = F.avg(F.when(F.col("_place") <= rules.baseline_steps, F.col("length"))).over(upto)  # whole once the place is beyond
     short = F.when(F.col("length").isNotNull() & (F.col("_place") > rules.baseline_steps), F.col("length") < F.col("_base") * rules.length_ratio)
+    rows = rows.withColumn("_base", base)
     for name, bad in (("_short", short), ("_flat", F.col("flat") > rules.flat_share), ("_high", F.col("kl") > rules.kl_ceiling), ("_cut", F.col("clipped") > rules.clipped_share)):
         rows = streaks(rows, "run", "step", bad, name)
     for name in ("reward", "kl"):
-        known = logs.where(F.col(name).isNotNull()).select("run", "step", name)
-        placed = known.withColumn("_k", F.row_number().over(upto)).withColumn(f"_late_{name}", F.avg(name).over(last))
-        early = placed.where(F.col("_k") <= rules.window).groupBy("run").agg(F.avg(name).alias(f"_early_{name}"))
-        late = placed.join(early, "run").select(F.col("run").alias("_r"), F.col("step").alias("_s"), f"_late_{name}", f"_early_{name}", F.col("_k").alias(f"_k_{name}"))
-        rows = rows.join(late, (F.col("run") == F.col("_r")) & (F.col("step") == F.col("_s")), "left").drop("_r", "_s")
-        for c in (f"_late_{name}", f"_early_{name}", f"_k_{name}"):
-            rows = rows.withColumn(c, F.last(c, ignorenulls=True).over(upto))
+        k = f"_k_{name}"
+        rows = rows.withColumn(k, F.count(name).over(upto))
+        rows = rows.withColumn(f"_early_{name}", F.avg(F.when(F.col(k) <= rules.window, F.col(name))).over(upto))
+        # the last values that aren't null: those whose number lies within the window, wherever their rows are
+        rows = rows.withColumn(f"_late_{name}", F.avg(name).over(Window.partitionBy("run").orderBy(k).rangeBetween(-(rules.window - 1), 0)))
     diverges = (F.col("_k_reward") >= 2 * rules.window) & (F.col("_k_kl") >= 2 * rules.window) & (F.col("_early_kl") > 0) & (F.col("_late_kl") / F.col("_early_kl") >= rules.kl_rise) & (F.col("_early_reward") - F.col("_late_reward") >= rules.reward_drop)
     tests = [
         (F.coalesce("rollouts", F.lit(0)) > 0) & (F.col("errors") > rules.error_share * F.col("rollouts")), F.col("_short") >= rules.length_patience, F.col("_flat") > rules.flat_patience,
