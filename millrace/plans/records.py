@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.operators import render
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import ensure_checkpoint_dir, table
 from millrace.sources import files
 
 
@@ -103,20 +102,22 @@ def schema_documents(spark, sf_dir):
 @query("json_lines_round_trip", "SELECT source, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
 def json_lines_round_trip(spark, sf_dir):
     """Documents written as gzipped JSON lines and scanned again."""
-    from millrace.session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/json_lines"
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/json_lines-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "source", F.create_map(F.lit("lang"), F.col("lang")).alias("meta"))
     files.write_documents(docs, folder)
     return files.read_documents(spark, folder).groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("json_array_scan", "SELECT * FROM (VALUES (0, 'd1', 'q [1]'), (1, 'd2', 'q \"{2}\"'), (2, 'd3', 'q3')) AS t(\"index\", db_id, question)")
+_ELEMENTS = [{"db_id": "d1", "question": "q [1]"}, {"db_id": "d2", "question": 'q "{2}" \\\\'}, {"db_id": "d3", "question": "q3"}]
+
+
+@query("json_array_scan", "SELECT i::INT AS \"index\", db_id, question, scan FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(i, e["db_id"], e["question"]) for i, e in enumerate(_ELEMENTS)) + ") AS t(i, db_id, question), (VALUES ('strict'), ('lenient')) AS s(scan) WHERE scan = 'strict' OR i < 2")
 def json_array_scan(spark, sf_dir):
-    """A small JSON array on the driver's machine, scanned whole and scanned up to a break: the same whole elements."""
-    rows = [{"db_id": "d1", "question": "q [1]"}, {"db_id": "d2", "question": 'q "{2}"'}, {"db_id": "d3", "question": "q3"}]
-    path = os.path.join(tempfile.mkdtemp(), "rows.json")
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(rows, out)
-    return files.read_json_array(spark, f"file://{path}", "db_id string, question string")
+    """A JSON array scanned strictly, and one that breaks off within its last object scanned for what is whole."""
+    ensure_checkpoint_dir(spark)
+    folder, text = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/array-{uuid.uuid4()}", json.dumps(_ELEMENTS, indent=1)
+    for name, content in (("strict", text), ("lenient", text[: text.rindex("q3")])):
+        spark.createDataFrame([(content,)], "value string").write.text(f"{folder}/{name}")
+    scans = [files.read_json_array(spark, f"{folder}/{name}", "db_id string, question string", name == "strict").withColumn("scan", F.lit(name)) for name in ("strict", "lenient")]
+    return files.concat(*scans)

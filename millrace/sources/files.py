@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import zipfile
 from functools import reduce
 
@@ -17,6 +18,9 @@ DOCUMENT = T.StructType(
 )
 
 
+_NEXT_OBJECT = re.compile(r"[\s,]*\{")
+
+
 def concat(*parts: DataFrame) -> DataFrame:
     """All rows of several inputs with the same columns, as one."""
     return reduce(DataFrame.unionByName, parts)
@@ -65,20 +69,14 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def whole_objects(text: str) -> list[str]:
-    """The complete top-level objects of a JSON array text, which may break off."""
-    out, depth, start, quoted, escaped = [], 0, 0, False, False
-    for at, c in enumerate(text):
-        if quoted:
-            escaped, quoted = (c == "\\" and not escaped), not (c == '"' and not escaped)
-        elif c == '"':
-            quoted = True
-        elif c == "{":
-            start = at if not depth else start
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                out.append(text[start : at + 1])
+    """The objects of a JSON array text up to its end or its first fault, as they are written."""
+    out, decoder, at = [], json.JSONDecoder(), text.find("[") + 1
+    while (start := _NEXT_OBJECT.match(text, at)) is not None:
+        try:
+            _, at = decoder.raw_decode(text, start.end() - 1)
+        except ValueError:
+            break
+        out.append(text[start.end() - 1 : at])
     return out
 
 
