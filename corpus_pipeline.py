@@ -5,9 +5,10 @@ and read again as the next one's docs. All but the last return the columns of do
 learns, from the rows of docs that `labels` of sf_dir covers.
 
 Nulls, empty and repeated rows: the quality stage scores a null text as the empty one; of a component of near-
-duplicates the row with the least doc_id stays, once (equal rows count as one); a document without words isn't
-contaminated; redaction leaves null and empty texts as they are; the encoder gives them no tokens. An empty table stays
-empty through all stages."""
+duplicates exactly one row stays, that with the least doc_id (of several texts with that id the one with the least
+fingerprint, then the least hash of the text; a row without an id only where none of the component has one); a document
+without words isn't contaminated; redaction leaves null and empty texts as they are; the encoder gives them no tokens. An
+empty table stays empty through all stages."""
 
 from __future__ import annotations
 
