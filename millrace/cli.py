@@ -7,11 +7,13 @@ import json
 import sys
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import config
-from millrace.operators import clean, dedup, execute, packing, reports, sampling, shingles, stats
+from millrace.operators import clean, dedup, execute, linking, packing, pairs, reports, sampling, schemas, shingles, stats
+from millrace.operators.render import DDL_PROMPT
 from millrace.session import ensure_checkpoint_dir, local_session
 from millrace.sources import files, readers
 
@@ -98,23 +100,64 @@ def run_fertility(spark: SparkSession, args) -> None:
         _say(**row.asDict())
 
 
-def _tables(spark: SparkSession, folder: str) -> None:
-    for name in args_tables(folder):
-        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
-
-
-def args_tables(folder: str) -> list[str]:
-    import os
+def _judged(spark: SparkSession, args) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(examples, predictions, verdicts) of a folder of tables, over which alone the queries may run."""
+    names = schemas.open_folder(spark, args.tables)
+    examples = files.read_examples(spark, args.examples)
+    predictions = files.read_predictions(spark, args.predictions) if args.predictions else examples.select("index", F.col("gold_sql").alias("predicted_sql"))
+    scorer = execute.Scorer(spark, args.seconds, tables=frozenset(map(str.lower, names)))
+    wanted = examples.join(predictions, "index").select("index", "predicted_sql", "gold_sql").collect()  # one query a row
+    return examples, predictions, scorer.score_all([(r["index"], execute.to_spark(r["predicted_sql"]), execute.to_spark(r["gold_sql"])) for r in wanted])
+
+
+def run_diagnose(spark: SparkSession, args) -> None:
+    """Accuracy by difficulty and joins, and the panel of linking scores; a raw completion is the prediction itself."""
+    examples, predictions, verdicts = _judged(spark, args)
+    names = schemas.open_folder(spark, args.tables)
+    known = spark.createDataFrame([(t, f.name) for t in names for f in spark.table(t).schema.fields], "table string, column string").crossJoin(F.broadcast(examples.select("db_id").distinct()))
+    rows = reports.diagnose(examples, predictions.withColumn("raw_completion", F.col("predicted_sql")), verdicts, known).checkpoint()
+    splits = {f"{r['part']}.{r['name']}": {"total": r["total"], "correct": r["correct"], "ex": r["ex"]} for r in reports.split_panel(rows).collect()}
+    panel = reports.panel(rows).first().asDict()
+    if args.out:
+        stats.write_rows(rows, args.out, "index", panel=panel, splits=splits)
+    _say(**panel, **splits)
+
+
+def run_prepare(spark: SparkSession, args) -> None:
+    """Training pairs of a JSON array of examples; each database is a folder of tables below --tables."""
+    from millrace.functions.tokenize import encoder
 
-    return sorted(n.removesuffix(".parquet") for n in os.listdir(folder) if n.endswith(".parquet"))
+    rows = files.read_examples(spark, args.examples).where("gold_sql is not null").select("index", "db_id", "question", "evidence", F.col("gold_sql").alias("sql"))
+    stated, columns = None, None
+    for (db_id,) in rows.select("db_id").distinct().orderBy("db_id").collect():
+        try:
+            names = schemas.open_folder(spark, f"{args.tables}/{db_id}")
+        except Py4JJavaError:  # no such folder: its rows come out as missing_db
+            continue
+        one = schemas.verbatim_ddl(spark, db_id, names), schemas.catalog_columns(spark, db_id, names)
+        stated, columns = (one if stated is None else (stated.unionByName(one[0]), columns.unionByName(one[1])))
+    if stated is None:
+        raise SystemExit("no database of the examples was found")
+    foreign = spark.createDataFrame([], "db_id string, table string, column string, parent string, parent_column string, ordinal int")
+    queries = rows.join(columns.groupBy("db_id").agg(F.collect_set("table").alias("_tables")), "db_id").select(F.col("index").alias("query"), "db_id", "sql", linking.mentioned_tables(F.col("sql"), F.col("_tables")).alias("mentioned"))
+    reduced = files.concat(*[schemas.reduced(queries, columns, foreign, stated, k).select(F.col("query").alias("index"), F.lit(k).alias("level"), "ddl") for k in (1, 2)]) if args.reduce_overflow else None
+    blocks = linking.linking_blocks(queries, columns, "query").withColumnRenamed("query", "index") if args.link_targets else None
+    prepared = pairs.prepare(rows, schemas.database_ddl(stated), encoder(spark, args.tokenizer), args.eos, args.context, reduced, blocks, rate=args.sample_rate, seed=args.seed).checkpoint()
+    manifest = pairs.write_pairs(prepared, args.out, args.limit, targets="linked-v1" if args.link_targets else "plain", context_limit=args.context, sample_rate=args.sample_rate, seed=args.seed, prompt_spec=DDL_PROMPT.spec_id)
+    _say(**manifest)
+
+
+def run_submit(spark: SparkSession, args) -> None:
+    """The ordered submission object of all examples' predictions, as one JSON file on the driver's machine."""
+    rows, empty = files.submission(files.read_predictions(spark, args.predictions), files.read_examples(spark, args.examples))
+    found = {r["key"]: r["line"] for r in rows.collect()}  # the whole file is one small object
+    with open(args.out, "w", encoding="utf-8") as out:
+        json.dump(found, out, indent=4)
+    _say(written=len(found), empty=empty)
 
 
 def run_score(spark: SparkSession, args) -> None:
-    _tables(spark, args.tables)
-    examples = files.read_examples(spark, args.examples)
-    wanted = examples.join(files.read_predictions(spark, args.predictions), "index") if args.predictions else examples.withColumn("predicted_sql", F.col("gold_sql"))
-    scorer = execute.Scorer(spark, args.seconds)
-    verdicts = scorer.score_all([(r["index"], execute.to_spark(r["predicted_sql"]), execute.to_spark(r["gold_sql"])) for r in wanted.collect()])  # one query a row
+    examples, _, verdicts = _judged(spark, args)
     report = reports.accuracy(reports.scored(examples, verdicts)).collect()
     _say(**{f"{r['part']}.{r['name']}": {"total": r["total"], "correct": r["correct"], "ex": r["ex"]} for r in report})
     if not args.predictions and any(r["category"] not in ("ok", "empty") for r in verdicts.collect()):
@@ -154,6 +197,24 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--tables", required=True)
         sub.add_argument("--predictions", required=needs)
         sub.add_argument("--seconds", type=float, default=execute.SECONDS)
+    sub = stage("diagnose", run_diagnose, inputs=False, out=False)
+    sub.add_argument("--out")
+    for name in ("--examples", "--tables", "--predictions"):
+        sub.add_argument(name, required=True)
+    sub.add_argument("--seconds", type=float, default=execute.SECONDS)
+    sub = stage("submit", run_submit, inputs=False)
+    sub.add_argument("--examples", required=True)
+    sub.add_argument("--predictions", required=True)
+    sub = stage("prepare", run_prepare, inputs=False)
+    for name in ("--examples", "--tables", "--tokenizer"):
+        sub.add_argument(name, required=True)
+    sub.add_argument("--eos", type=int, required=True)
+    sub.add_argument("--context", type=int, default=2048)
+    sub.add_argument("--sample-rate", type=float, default=1.0)
+    sub.add_argument("--seed", type=int, default=0)
+    sub.add_argument("--limit", type=int)
+    sub.add_argument("--link-targets", action="store_true")
+    sub.add_argument("--reduce-overflow", action="store_true")
     return top
 
 

@@ -68,6 +68,26 @@ def test_score_command(spark, tmp_path, capsys):
     assert report["overall.all"] == {"total": 2, "correct": 1, "ex": 0.5} and report["category.missing"]["total"] == 1
 
 
+def test_diagnose_submit_and_prepare_commands(spark, tmp_path, capsys):
+    import public_tokenizers
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string").write.parquet(f"{tmp_path}/d/t.parquet")
+    examples = [{"db_id": "d", "question": "which names", "SQL": "SELECT name FROM t", "difficulty": "simple"}, {"db_id": "d", "question": "how many", "query": "SELECT count(*) FROM t", "difficulty": "simple"}]
+    open(f"{tmp_path}/e.json", "w").write(json.dumps(examples))
+    open(f"{tmp_path}/p.jsonl", "w").write('{"index": 0, "predicted_sql": "SELECT name\\nFROM t"}\n{"index": 1, "predicted_sql": "SELECT * FROM text.`/etc/hostname`"}\n')
+    cli.main(["diagnose", "--examples", f"{tmp_path}/e.json", "--tables", f"{tmp_path}/d", "--predictions", f"{tmp_path}/p.jsonl", "--seconds", "60", "--out", f"{tmp_path}/panel.json"], spark)
+    panel = said(capsys)[0]
+    assert (panel["total"], panel["ex"], panel["valid_sql_rate"], panel["linking_f1"]) == (2, 0.5, 0.5, 0.5) and panel["joins.0-1"]["total"] == 2
+    assert len(json.load(open(f"{tmp_path}/panel.json"))["rows"]) == 2
+    cli.main(["submit", "--examples", f"{tmp_path}/e.json", "--predictions", f"{tmp_path}/p.jsonl", "--out", f"{tmp_path}/s.json"], spark)
+    assert json.load(open(f"{tmp_path}/s.json"))["0"] == "SELECT name FROM t\t----- bird -----\td"
+    open(f"{tmp_path}/e.json", "w").write(json.dumps([*examples, {"db_id": "gone", "question": "q", "SQL": "SELECT 1"}]))
+    cli.main(["prepare", "--examples", f"{tmp_path}/e.json", "--tables", str(tmp_path), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--eos", "0", "--context", "200", "--link-targets", "--reduce-overflow", "--out", f"{tmp_path}/pairs"], spark)
+    manifest = said(capsys)[-1]
+    assert (manifest["written"], manifest["skipped_missing_db"], manifest["boundary_errors"]) == (2, 1, 0) and manifest["targets"] == "linked-v1"
+    assert spark.read.json(f"{tmp_path}/pairs").count() == 2
+
+
 def test_rollouts_and_pairs(spark):
     levels = spark.createDataFrame([("d", 0, "x" * 400), ("d", 1, "x" * 200), ("d", 2, "x" * 20)], "db_id string, level int, ddl string")
     rows = spark.createDataFrame([(0, "d", "q" * n, "", "g") for n in (1, 150, 330, 900)] + [(4, "gone", "q", "", "g")], "index int, db_id string, question string, evidence string, gold_sql string")
