@@ -138,7 +138,10 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     # per distinct set of unit hashes, the best unit; files of equal units share the answer
     slim = looked.select("doc_id", "path", directory(F.col("path")).alias("dir"), "is_licence", "declared", F.array_sort(F.transform("units", lambda u: u["hash"])).alias("hashes")).withColumn("key", F.when(F.size("hashes") > 0, F.sha2(F.concat_ws(",", "hashes"), 256)))
     sets = slim.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("hashes").alias("hashes"), F.count("*").alias("n"))
-    best = sets.select("key", "n", F.explode("hashes").alias("hash")).join(scored, "hash").groupBy("key", "n").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    member = sets.select("key", F.col("n").alias("files"), F.explode("hashes").alias("hash"))
+    answers = scored.join(member.groupBy("hash").agg(F.count("*").alias("n")), "hash")
+    rated = look_up(member, answers, "hash", member.count())  # one line may stand in most sets
+    best = rated.groupBy("key", F.col("files").alias("n")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
     best = best.select("key", "n", F.col("b.licence").alias("best"), (-F.col("b.c")).alias("best_cosine"))
     owned = look_up(slim.drop("hashes"), best, "key", total, every=True)
     owned = written(owned.select("doc_id", "path", "is_licence", "dir", F.coalesce("declared", "best").alias("own"), F.when(F.col("declared").isNotNull(), 1.0).otherwise(F.col("best_cosine")).alias("own_cosine")))
