@@ -1,15 +1,12 @@
 """A guard over ordered metric logs: halts a run when a rule trips, tested per step in a fixed order.
 
-`guard` is the batch form, windows only. `Guard` is the state machine of one run; `guard_stream` drives it over a
+`guard` is the batch form, windows only. `Guard` is the state machine of one run; millrace.streaming drives it over a
 stream with one state a run. Missing metrics are ignored: they neither extend nor break a streak."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,41 +122,6 @@ def guard(logs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return halts.groupBy("run").agg(F.min_by(F.struct("step", "reason"), "step").alias("h")).select("run", "h.step", "h.reason")
 
 
-METRICS = ("length", "flat", "reward", "kl", "clipped", "errors", "rollouts")
-
-
-def _plain(value) -> float | None:
-    return None if value is None or value != value else float(value)
-
-
-def guard_stream(logs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same over a stream: one row (run, step, reason) when a run halts; later rows of the run are ignored.
-
-    Within a micro-batch rows are taken in step order; batches must come in that order."""
-
-    def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        own, halted = Guard(rules), False
-        if state.exists:
-            kept = json.loads(state.get[0])
-            halted = kept.pop("halted")
-            own = Guard(rules, **kept)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("step").itertuples():
-            if halted:
-                break
-            values = {m: _plain(getattr(row, m)) for m in METRICS}
-            values |= {m: values[m] or 0 for m in ("errors", "rollouts")}
-            reason = own.observe(**values)
-            if reason:
-                halted = True
-                out.append((key[0], row.step, reason))
-        state.update((json.dumps({"halted": halted, "lengths": own.lengths, "streak": own.streak, "early": own.early, "late": own.late, "seen": own.seen}),))
-        yield pd.DataFrame(out, columns=["run", "step", "reason"])
-
-    kind = logs.schema["run"].dataType.simpleString()
-    return logs.groupBy("run").applyInPandasWithState(advance, f"run {kind}, step long, reason string", "state string", "append", "NoTimeout")
-
-
 def longest_blank_streak(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """(by, longest): the longest run of consecutive blank texts."""
     return streaks(rows, by, order, F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "_run").groupBy(by).agg(F.max("_run").alias("longest"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.prefix import running_before
+from millrace.session import bounded_batches, ship
+from millrace.sources import paths
+from millrace.sources.paths import Replaced
 
-MOST_ID = 65535
+MOST_ID, PIECE = 65535, 1 << 20
 
 
 def token_offsets(docs: DataFrame, eos: int, seq: str = "seq", rows_per_bucket: int = 200_000) -> DataFrame:
@@ -34,34 +37,48 @@ def shards(offsets: DataFrame, shard_size: int) -> DataFrame:
 
 
 def write_shards(offsets: DataFrame, folder: str, shard_size: int, eos: int) -> dict:
-    """Raw little-endian 16-bit files and an index, in a folder that driver and executors share. No rows: no shards."""
+    """Raw little-endian 16-bit files and an index, in a folder that driver and executors share. No rows: no shards.
 
-    def write(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        order = np.argsort(group.column("pos").to_numpy())
-        os.makedirs(folder, exist_ok=True)
-        name = f"shard_{shard:05d}.bin"
-        with open(os.path.join(folder, name + ".part"), "wb") as out:
-            out.write(group.column("token").to_numpy()[order].astype("<u2").tobytes())
-        os.replace(os.path.join(folder, name + ".part"), os.path.join(folder, name))
-        return pa.table({"file": [name], "tokens": [len(order)]})
+    Tokens become pieces of at most PIECE, and a task appends the pieces of its shards one after another, so it holds one
+    piece at a time whatever the size of a shard."""
 
-    import json
+    def packed(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("pos").to_numpy())
+        data = group.column("token").to_numpy()[order].astype("<u2").tobytes()
+        return pa.table({"shard": [group.column("shard")[0].as_py()], "piece": [group.column("piece")[0].as_py()], "data": [data]}, schema=pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("data", pa.binary())]))
 
-    files = sorted(tuple(r) for r in shards(offsets, shard_size).groupBy("shard").applyInArrow(write, "file string, tokens long").collect())
+    def append(batches):
+        out, shard, tokens = None, None, 0
+        for batch in batches:
+            for own, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != shard:
+                    if out is not None:
+                        out.__exit__(None)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([tokens])], names=["file", "tokens"])
+                    shard, tokens, name = own, 0, f"shard_{own:05d}.bin"
+                    out = Replaced(f"{folder}/{name}")
+                out.write(data)
+                tokens += len(data) // 2
+        if out is not None:
+            out.__exit__(None)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([tokens])], names=["file", "tokens"])
+
+    ship(offsets.sparkSession)
+    bounded_batches(offsets.sparkSession)
+    pieces = shards(offsets, shard_size).withColumn("piece", F.floor(F.col("pos") / PIECE).cast("int")).groupBy("shard", "piece").applyInArrow(packed, "shard int, piece int, data binary")
+    files = sorted(tuple(r) for r in pieces.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(append, "file string, tokens long").collect())
     index = {"dtype": "uint16", "eos_id": eos, "total_tokens": sum(n for _, n in files), "shards": [{"file": f, "tokens": n} for f, n in files]}
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "index.json"), "w", encoding="utf-8") as out:
-        json.dump(index, out)
+    with Replaced(f"{folder}/index.json") as out:
+        out.write(json.dumps(index).encode())
     return index
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """(offset, token) of the files that an index names."""
-    import json
-
-    with open(os.path.join(folder, "index.json"), encoding="utf-8") as file:
-        index = json.load(file)
+    found = paths.read(f"{folder}/index.json")
+    if found is None:
+        raise FileNotFoundError(f"{folder}/index.json")
+    index = json.loads(found)
     starts, total = [], 0
     for entry in index["shards"]:
         starts.append((entry["file"], total))
@@ -77,7 +94,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     if not starts:
         return spark.createDataFrame([], "offset long, token int")
-    raw = spark.read.format("binaryFile").load(os.path.join(folder, "shard_*.bin")).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    raw = spark.read.format("binaryFile").load(f"{folder}/shard_*.bin").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     return raw.join(F.broadcast(spark.createDataFrame(starts, "file string, start long")), "file").select("start", "content").mapInArrow(decode, "offset long, token int")
 
 

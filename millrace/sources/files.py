@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import os
 import re
 import zipfile
 from functools import reduce
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.sources import paths
+
 DOCUMENT = T.StructType(
     [T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), T.StructField("meta", T.MapType(T.StringType(), T.StringType()))]
 )
@@ -136,18 +137,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 def write_manifest(path: str, stats: dict) -> None:
     """A finished stage's counters; its presence lets a re-run skip the stage."""
-    with open(f"{path}.part", "w", encoding="utf-8") as out:
-        json.dump(stats | {"complete": True}, out, sort_keys=True)
-        out.flush()
-        os.fsync(out.fileno())
-    os.replace(f"{path}.part", path)
+    with paths.Replaced(path) as out:
+        out.write(json.dumps(stats | {"complete": True}, sort_keys=True).encode())
 
 
 def finished(path: str) -> dict | None:
     try:
-        with open(path, encoding="utf-8") as file:
-            found = json.load(file)
-    except (OSError, ValueError):
+        found = json.loads(paths.read(path) or b"{}")
+    except ValueError:
         return None
     return found if found.get("complete") else None
 

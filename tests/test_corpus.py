@@ -253,3 +253,19 @@ def test_hot_bands_give_the_same_links(spark, monkeypatch):
     want = sorted(map(tuple, dedup.confirmed_links(signed).collect()))
     monkeypatch.setattr(dedup, "HOT_BAND", 4)
     assert sorted(map(tuple, dedup.confirmed_links(signed).collect())) == want == sorted((a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3)
+
+
+def test_near_links_recall_against_all_pairs(spark, sf):
+    """Of all pairs whose five-word shingles are alike by 0.85 or more, at least nine in ten are linked; none under 0.65 is."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), "text").union(
+        spark.createDataFrame([(10_000 + k, " ".join(f"w{j}" if j != 40 + k % 9 else f"x{k}" for j in range(120 + k))) for k in range(60)], "seq long, text string")
+    )
+    grams = {r["seq"]: set(r["g"]) for r in docs.select("seq", shingles.gram_hashes(F.col("text"), 5).alias("g")).collect() if r["g"]}
+    signed = dedup.signatures(docs.select("seq", shingles.gram_hashes(F.col("text"), 5).alias("grams"))).checkpoint()
+    sig = {r["seq"]: tuple(r["sig"]) for r in signed.collect()}
+    links = {tuple(r) for r in dedup.confirmed_links(signed).collect()}
+    alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    ids = sorted(grams)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(a, b) >= 0.85 and sig[a] != sig[b]]
+    assert len(near) > 100 and sum(pair in links for pair in near) >= 0.9 * len(near)
+    assert all(alike(a, b) > 0.65 for a, b in links)

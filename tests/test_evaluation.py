@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import execute, health, linking, reports, schemas
+from millrace.streaming.guard import guard_stream
 
 
 @pytest.fixture(scope="module")
@@ -195,7 +196,7 @@ def test_guard_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame(own, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.1)
     stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
-    query = health.guard_stream(stream).writeStream.outputMode("append").format("memory").queryName("halts").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query = guard_stream(stream).writeStream.outputMode("append").format("memory").queryName("halts").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     got = {r["run"]: (r["step"], r["reason"]) for r in spark.table("halts").collect()}
     assert got == expected()
