@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import word_count
+from millrace.sources.paths import Replaced
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -67,11 +68,8 @@ def margins(measured: DataFrame, matched: str, other: str) -> DataFrame:
 
 
 def _put(path: str, text: str) -> None:
-    import os
-
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(text)
+    with Replaced(path) as out:
+        out.write(text.encode())
 
 
 def write_rows(rows: DataFrame, path: str, order: str, **facts) -> dict:
