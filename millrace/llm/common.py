@@ -9,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import ensure_checkpoint_dir, ship
-
-#: Rows and bytes in one Arrow batch, whichever is met first: a batch of very long documents must still fit a small Python worker.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 2048, 4 << 20
+from millrace.session import bounded_batches, ensure_checkpoint_dir, ship
 
 
 def prepare(spark: SparkSession) -> None:
@@ -21,10 +18,7 @@ def prepare(spark: SparkSession) -> None:
     Batches are bounded by settings of the session, which stay lowered; larger values of the caller's are lowered, too."""
     ship(spark)
     ensure_checkpoint_dir(spark)
-    for key, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
-        if now is None or not 0 < int(now) <= most:
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    bounded_batches(spark)
 
 
 def written(df: DataFrame) -> DataFrame:
