@@ -63,9 +63,11 @@ def run_dedup(spark: SparkSession, args) -> None:
 
 
 def run_index(spark: SparkSession, args) -> None:
-    index = shingles.build_index(files.read_documents(spark, *args.inputs).select("text"), args.n)
-    shingles.save_index(index, args.out, args.n)
-    _say(n=args.n, grams=shingles.load_index(spark, args.out)[0].count())
+    parts = [files.read_documents(spark, *args.inputs).select("text")] if args.inputs else []
+    sets = config.load_eval_sets(args.config) if args.config else ()
+    texts = files.concat(*parts, *[readers.read_eval_set(spark, s).select("text") for s in sets])
+    shingles.save_index(shingles.build_index(texts, args.n), args.out, args.n)
+    _say(grams=shingles.load_index(spark, args.out)[0].count(), n=args.n, sets=[s.name for s in sets])
 
 
 def run_decontaminate(spark: SparkSession, args) -> None:
@@ -180,7 +182,10 @@ def parser() -> argparse.ArgumentParser:
     stage("download", download, inputs=False).add_argument("--config", required=True)
     stage("clean", run_clean).add_argument("--min-chars", type=int, default=200)
     stage("dedup", run_dedup).add_argument("--near", action="store_true")
-    stage("build-eval-index", run_index).add_argument("--n", type=int, default=shingles.GRAM_SIZE)
+    sub = stage("build-eval-index", run_index, inputs=False)
+    sub.add_argument("inputs", nargs="*")
+    sub.add_argument("--config")
+    sub.add_argument("--n", type=int, default=shingles.GRAM_SIZE)
     sub = stage("decontaminate", run_decontaminate)
     sub.add_argument("--index", required=True)
     sub.add_argument("--threshold", type=int, default=1)

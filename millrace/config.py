@@ -45,6 +45,24 @@ class Mix:
             raise ConfigError(f"repeated sources: {', '.join(sorted(twice))}")
 
 
+@dataclass(frozen=True)
+class EvalSet:
+    """A JSON array of examples, whole or a member of a zip file, whose fields are held out."""
+
+    name: str
+    path: str
+    fields: tuple[str, ...]
+    member: str | None = None
+    expected_examples: int | None = None
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "fields", tuple(self.fields))
+        if not self.fields:
+            raise ConfigError(f"{self.name}: at least one field is needed")
+        if self.expected_examples is not None and self.expected_examples < 0:
+            raise ConfigError(f"{self.name}: expected_examples must not be negative")
+
+
 def build(kind: type, given: Mapping[str, Any]) -> Any:
     """An instance of a dataclass out of a mapping with exactly its keys, those with a default optional."""
     known = {f.name: f for f in fields(kind)}
@@ -55,11 +73,23 @@ def build(kind: type, given: Mapping[str, Any]) -> Any:
     return kind(**given)
 
 
-def load_mix(path: str) -> Mix:
+def _entries(path: str) -> list[Mapping[str, Any]]:
     import yaml
 
     with open(path, encoding="utf-8") as file:
         data = yaml.safe_load(file)
     if not isinstance(data, Mapping) or set(data) != {"sources"} or not isinstance(data["sources"], list):
-        raise ConfigError("a mix holds one list, `sources`")
-    return Mix(tuple(build(Source, s) for s in data["sources"]))
+        raise ConfigError("a configuration holds one list, `sources`")
+    return data["sources"]
+
+
+def load_mix(path: str) -> Mix:
+    return Mix(tuple(build(Source, s) for s in _entries(path)))
+
+
+def load_eval_sets(path: str) -> tuple[EvalSet, ...]:
+    found = tuple(build(EvalSet, s) for s in _entries(path))
+    names = [s.name for s in found]
+    if len(set(names)) < len(names):
+        raise ConfigError("repeated evaluation sets")
+    return found

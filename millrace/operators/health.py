@@ -125,3 +125,10 @@ def guard(logs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def longest_blank_streak(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """(by, longest): the longest run of consecutive blank texts."""
     return streaks(rows, by, order, F.trim(F.coalesce(F.col(text), F.lit(""))) == "", "_run").groupBy(by).agg(F.max("_run").alias("longest"))
+
+
+def evaluation_loss(batches: DataFrame, by: str, loss: str) -> DataFrame:
+    """(by, batches, loss, perplexity): the mean of the batch losses of each evaluation, and its exponential. A batch
+    without a loss doesn't count."""
+    mean = F.avg(loss)
+    return batches.groupBy(by).agg(F.count(loss).alias("batches"), mean.alias("loss"), F.exp(mean).alias("perplexity"))

@@ -80,3 +80,10 @@ def early_late_means(spark, sf_dir):
     by = Window.partitionBy("user_id")
     rows = table(spark, sf_dir, "events").withColumn("k", F.row_number().over(by.orderBy("ts", "event_id"))).withColumn("n", F.count("*").over(by)).where("n >= 40")
     return rows.groupBy(F.col("user_id").alias("run")).agg(F.round(F.avg(F.when(F.col("k") <= 20, F.col("value"))), 6).alias("early"), F.round(F.avg(F.when(F.col("k") > F.col("n") - 20, F.col("value"))), 6).alias("late"))
+
+
+@query("evaluation_loss", "SELECT event_type, count(value) AS batches, round(avg(value / 100), 9) AS loss, round(exp(avg(value / 100)), 9) AS perplexity FROM events GROUP BY event_type")
+def evaluation_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100).alias("loss"))
+    found = health.evaluation_loss(rows, "event_type", "loss")
+    return found.select("event_type", "batches", F.round("loss", 9).alias("loss"), F.round("perplexity", 9).alias("perplexity"))

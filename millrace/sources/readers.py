@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.config import Source
+from millrace.config import EvalSet, Source
 from millrace.operators import render, sampling
+from millrace.operators.prediction import expect_rows
 from millrace.sources import files
 
 _TABLE = (
@@ -47,6 +48,15 @@ def read_pairs(spark: SparkSession, source: Source, ddls: DataFrame | None = Non
     return render.as_documents(rows, source.name, "index", text)
 
 
+def read_eval_set(spark: SparkSession, source: EvalSet) -> DataFrame:
+    """(source, field, text): the non-blank fields of an evaluation set's examples, which must be as many as expected."""
+    member = files.read_member(spark, source.path, source.member)
+    rows = member.select(F.explode(F.from_json(F.col("content").cast("string"), "array<map<string,string>>")).alias("m"))
+    rows = rows.select(*[F.try_element_at("m", F.lit(f)).alias(f) for f in source.fields])
+    texts = render.eval_texts(expect_rows(rows, source.expected_examples, source.name), list(source.fields))
+    return texts.select(F.lit(source.name).alias("source"), "field", "text")
+
+
 READERS: dict[str, Callable[[SparkSession, Source], tuple[DataFrame, DataFrame]]] = {"hf": read_plain, "schemapile": read_schemas, "synsql": read_pairs}
 
 

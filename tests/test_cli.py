@@ -50,7 +50,7 @@ def test_stages_end_to_end(spark, tmp_path, capsys):
     out = said(capsys)
     assert out[0] == {"kept": 4, "short": 1}
     assert out[1]["near_duplicate"] == 2 and out[1]["docs_out"] == 2
-    assert out[2]["grams"] == 48 and out[3] == {"docs_in": 2, "docs_out": 1}
+    assert out[2]["grams"] == 48 and out[2]["sets"] == [] and out[3] == {"docs_in": 2, "docs_out": 1}
     import public_tokenizers
 
     run("shard", f"{tmp_path}/pure", "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--eos", 50256, "--shard-size", 100, "--out", f"{tmp_path}/shards")
@@ -88,6 +88,26 @@ def test_diagnose_submit_and_prepare_commands(spark, tmp_path, capsys):
     assert spark.read.json(f"{tmp_path}/pairs").count() == 2
 
 
+def test_index_of_configured_sets(spark, tmp_path, capsys):
+    import zipfile
+
+    rows = [{"question": " ".join(f"w{k}" for k in range(20)), "SQL": "SELECT 1", "evidence": " "}, {"question": "short", "n": 3}]
+    with zipfile.ZipFile(f"{tmp_path}/dev.zip", "w") as out:
+        out.writestr("dev/dev.json", json.dumps(rows))
+    entry = f"  - {{name: dev, path: '{tmp_path}/dev.zip', member: dev/dev.json, fields: [question, evidence], expected_examples: 2}}\n"
+    open(f"{tmp_path}/sets.yaml", "w").write("sources:\n" + entry)
+    (one,) = config.load_eval_sets(f"{tmp_path}/sets.yaml")
+    assert sorted(r["text"] for r in readers.read_eval_set(spark, one).collect()) == sorted(r["question"] for r in rows)
+    cli.main(["build-eval-index", "--config", f"{tmp_path}/sets.yaml", "--out", f"{tmp_path}/index"], spark)
+    assert said(capsys)[0] == {"grams": 8, "n": 13, "sets": ["dev"]}
+    open(f"{tmp_path}/sets.yaml", "w").write("sources:\n" + entry.replace("expected_examples: 2", "expected_examples: 3"))
+    with pytest.raises(ValueError, match="expected 3 examples, found 2"):
+        readers.read_eval_set(spark, config.load_eval_sets(f"{tmp_path}/sets.yaml")[0])
+    open(f"{tmp_path}/sets.yaml", "w").write("sources:\n" + entry.replace("[question, evidence]", "[]"))
+    with pytest.raises(config.ConfigError, match="at least one field"):
+        config.load_eval_sets(f"{tmp_path}/sets.yaml")
+
+
 def test_rollouts_and_pairs(spark):
     levels = spark.createDataFrame([("d", 0, "x" * 400), ("d", 1, "x" * 200), ("d", 2, "x" * 20)], "db_id string, level int, ddl string")
     rows = spark.createDataFrame([(0, "d", "q" * n, "", "g") for n in (1, 150, 330, 900)] + [(4, "gone", "q", "", "g")], "index int, db_id string, question string, evidence string, gold_sql string")
