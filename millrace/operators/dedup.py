@@ -20,6 +20,8 @@ from millrace.session import ensure_checkpoint_dir
 PRIME, DOMAIN, FIRST_SEED = 4294967311, 1 << 32, 0x51705550
 #: Signatures that share a band and meet in one task at most, on the side that is dealt out.
 HOT_BAND = 2048
+#: Ids of dropped documents that are broadcast at most, 8 bytes each.
+MOST_BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -45,17 +47,32 @@ def exact_key(text: Column, whitespace: bool = False) -> Column:
     return xxh64(text if whitespace else T.collapse(text))
 
 
-def with_exact_verdict(docs: DataFrame, whitespace: bool = False, seq: str = "seq") -> DataFrame:
-    """docs with `verdict`: unique for the first document of each key, dropped for the others.
+def _listed(gone: DataFrame) -> DataFrame:
+    """(seq) -> (_gone), for a join with whole documents: a list of at most MOST_BROADCAST is broadcast, so that texts aren't
+    shuffled; a longer one is joined by shuffle."""
+    found = gone.select(F.col("seq").alias("_gone")).checkpoint()
+    return F.broadcast(found) if found.count() <= MOST_BROADCAST else found
+
 
-    Only (key, seq) is aggregated, combined before the shuffle; then seq, which is unique, finds the first ones."""
-    first = docs.groupBy(exact_key(F.col("text"), whitespace).alias("_key")).agg(F.min(seq).alias("_first")).select("_first")
-    joined = docs.join(first, F.col(seq) == F.col("_first"), "left")
-    return joined.withColumn("verdict", F.when(F.col("_first").isNotNull(), "unique").otherwise("dropped")).drop("_first")
+def exact_dropped(docs: DataFrame, whitespace: bool = False, seq: str = "seq") -> DataFrame:
+    """(seq): documents with the key of an earlier one.
+
+    Only (seq, key) is kept; the first seq of each key is an aggregation, combined before the shuffle, and the others are
+    what is left of all seqs, which are unique, so no key's rows ever meet in a task."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    slim = docs.select(F.col(seq).alias("seq"), exact_key(F.col("text"), whitespace).alias("key")).checkpoint()
+    first = slim.groupBy("key").agg(F.min("seq").alias("seq")).select("seq")
+    return slim.select("seq").join(first, "seq", "left_anti")
+
+
+def with_exact_verdict(docs: DataFrame, whitespace: bool = False, seq: str = "seq") -> DataFrame:
+    """docs with `verdict`: unique for the first document of each key, dropped for the others."""
+    joined = docs.join(_listed(exact_dropped(docs, whitespace, seq)), F.col(seq) == F.col("_gone"), "left")
+    return joined.withColumn("verdict", F.when(F.col("_gone").isNull(), "unique").otherwise("dropped")).drop("_gone")
 
 
 def exact(docs: DataFrame, whitespace: bool = False, seq: str = "seq") -> DataFrame:
-    return with_exact_verdict(docs, whitespace, seq).where("verdict = 'unique'").drop("verdict")
+    return docs.join(_listed(exact_dropped(docs, whitespace, seq)), F.col(seq) == F.col("_gone"), "left_anti")
 
 
 def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,14 +157,14 @@ def near_dropped(docs: DataFrame, rules: NearRules = NearRules(), seq: str = "se
 
 def with_near_verdict(docs: DataFrame, rules: NearRules = NearRules(), seq: str = "seq") -> DataFrame:
     """docs with `verdict`: too_short (kept), near_duplicate or kept."""
-    gone = near_dropped(docs, rules, seq).select(F.col("seq").alias("_gone"))
+    gone = _listed(near_dropped(docs, rules, seq))
     short = F.size(T.gram_words(F.coalesce("text", F.lit("")))) < rules.shingle_size
     joined = docs.join(gone, F.col(seq) == F.col("_gone"), "left")
     return joined.withColumn("verdict", F.when(F.col("_gone").isNotNull(), "near_duplicate").when(short, "too_short").otherwise("kept")).drop("_gone")
 
 
 def near(docs: DataFrame, rules: NearRules = NearRules(), seq: str = "seq") -> DataFrame:
-    return docs.join(near_dropped(docs, rules, seq).select(F.col("seq").alias("_gone")), F.col(seq) == F.col("_gone"), "left_anti")
+    return docs.join(_listed(near_dropped(docs, rules, seq)), F.col(seq) == F.col("_gone"), "left_anti")
 
 
 def two_stage(docs: DataFrame, rules: NearRules = NearRules(), seq: str = "seq") -> DataFrame:
