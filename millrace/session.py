@@ -40,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 #: Rows and bytes in one Arrow batch, whichever is met first: a batch of very long texts must still fit a Python worker.
-ROWS_PER_BATCH, BYTES_PER_BATCH = 2048, 4 << 20
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1024, 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
