@@ -29,7 +29,7 @@ from millrace.llm.common import map_arrow
 
 #: Fixed value: the White_Space property, which `\s` stands for in the pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-KEPT_CHUNKS, KEPT_CHARS, CHARS_AT_ONCE = 250_000, 64, 1_000_000
+KEPT_CHUNKS, KEPT_CHARS, CHARS_AT_ONCE = 180_000, 64, 1_000_000
 
 
 def pattern(text: str) -> regex.Pattern:
