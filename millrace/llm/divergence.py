@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import map_arrow, utf8
 
 COMMON, COMMON_WORDS, LEAST_WORDS = 0.004, 32, 2_000
+#: Languages whose names and sizes are broadcast at most.
+MOST_LANGUAGES = 100_000
 MIN_CHARS, MIN_WORDS, MOST_CHARS_DISTANCE, MOST_WORDS_DISTANCE = 200, 80, 0.25, 0.45
 WINDOW = 8
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "control", "two_bytes", "more_bytes")
@@ -127,6 +129,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, dict[bytes, int],
     all_words = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     large = sizes.where((F.col("n") >= LEAST_WORDS) & (F.col("lang") != "")).select("lang", F.col("n").alias("words"))
     every = counted.groupBy("kind", "word").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "kind", "word", "n", F.lit(all_words).cast("long").alias("words"))
+    large = F.broadcast(large) if large.count() <= MOST_LANGUAGES else large  # more are joined by shuffle
     of_lang = counted.join(large, "lang").select("lang", "kind", "word", "n", "words")
     is_word = F.col("kind") == A_WORD
     kept = of_lang.unionByName(every).where(~is_word | (F.col("n") >= COMMON * F.col("words")))
