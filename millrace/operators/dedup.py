@@ -20,7 +20,7 @@ from millrace.session import ensure_checkpoint_dir
 PRIME, DOMAIN, FIRST_SEED = 4294967311, 1 << 32, 0x51705550
 #: Signatures that share a band and meet in one task at most, on the side that is dealt out.
 HOT_BAND = 2048
-#: Ids of dropped documents that are broadcast at most, 8 bytes each.
+#: Ids of dropped documents, or hot bands, that are broadcast at most, 8 or 16 bytes each.
 MOST_BROADCAST = 1_000_000
 
 
@@ -108,9 +108,11 @@ def confirmed_links(signed: DataFrame, rules: NearRules = NearRules(), seq: str
 
     A band that more than HOT_BAND signatures share is dealt out: one side of its join spreads over as many salts as keep
     HOT_BAND rows together, the other is repeated under each."""
+    ensure_checkpoint_dir(signed.sparkSession)
     bands = F.transform(F.sequence(F.lit(0), F.lit(rules.bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.slice("sig", k * rules.rows + 1, rules.rows)).alias("key")))
     banded = signed.select(seq, F.explode(bands).alias("b")).select(F.col(seq), "b.band", "b.key")
-    hot = banded.groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_BAND).select("_band", "_key", F.ceil(F.col("n") / HOT_BAND).cast("int").alias("salts"))
+    hot = banded.groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") > HOT_BAND).select("_band", "_key", F.ceil(F.col("n") / HOT_BAND).cast("int").alias("salts")).checkpoint()
+    hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
     dealt = banded.join(hot, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")), "left")
     own = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(seq), F.col("salts")).cast("int"))
     every = F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
