@@ -44,6 +44,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 10), (43, 11), (54, 10))
 COMBINATIONS = [(j, p, q) for j in range(3) for p, q in combinations([b for b in range(6) if b // 2 != j], 2)]
 #: Fingerprints that share two exact blocks and meet in one task at most, on the side that is dealt out.
 HOT_BLOCK = 4096
+#: Fingerprints whose keys, about 96 each, one task makes.
+KEYED_AT_ONCE = 50_000
 #: Rows of hot blocks that are broadcast at most.
 MOST_BROADCAST = 500_000
 #: Generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -173,8 +175,9 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     if not 0 <= most_bits <= MOST_BITS:
         raise ValueError(f"most_bits must be 0 to {MOST_BITS}")
     ensure_checkpoint_dir(distinct.sparkSession)
-    keys = map_arrow(distinct.select("fp"), _key_batches, "key long, fp long, slot byte")
-    wide = hot_blocks(distinct).checkpoint()
+    held = distinct.select("fp").checkpoint()
+    keys = map_arrow(held.repartition(max(1, -(-held.count() // KEYED_AT_ONCE))), _key_batches, "key long, fp long, slot byte")
+    wide = hot_blocks(held).checkpoint()
     wide = F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide  # 12 bytes a row; more are joined by shuffle
     salted = lambda: keys.join(wide, F.shiftright("key", 12) == F.col("blocks"), "left")
     deal = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
