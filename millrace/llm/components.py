@@ -21,11 +21,12 @@ def look_up(rows: DataFrame, answers: DataFrame, key: str, total: int, every: bo
 
     The answers of hot keys, fewer than HOT_PARTS, are broadcast. Their rows, and rows without a key, then take part in the
     join by key under a flag of their own, which matches nothing and spreads them over all tasks; so no task gets all rows
-    of a hot key, and rows are read once. Rows whose key is null or has no answer are left out unless every is true."""
+    of a hot key, and rows are read once. (The flag of the answers comes from n: a literal would be folded into the other
+    side, and the join would deal by the key alone.) Rows whose key is null or has no answer are left out unless every is true."""
     names = [c for c in answers.columns if c not in (key, "n")]
     answer, at = F.struct(*names), F.col(key)
     hot = answers.where(F.col("n") * HOT_PARTS > total).select(at.alias("_hot_key"), answer.alias("_hot"))
-    cold = answers.where(F.col("n") * HOT_PARTS <= total).select(at.alias("_cold_key"), answer.alias("_cold"), F.lit(0).alias("_cold_flag"))
+    cold = answers.where(F.col("n") * HOT_PARTS <= total).select(at.alias("_cold_key"), answer.alias("_cold"), F.when(F.col("n") > 0, 0).otherwise(-1).alias("_cold_flag"))
     marked = (rows if every else rows.where(at.isNotNull())).join(F.broadcast(hot), at == F.col("_hot_key"), "left")
     spread = (F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20)) + 1).cast("int")
     flag = F.when(F.col("_hot_key").isNull() & at.isNotNull(), F.lit(0)).otherwise(spread)

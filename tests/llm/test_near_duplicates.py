@@ -1,6 +1,9 @@
+import re
+
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Row
 
 from millrace.llm import simhash_golay
 from millrace.llm.components import look_up, stars
@@ -100,6 +103,15 @@ def test_look_up_of_hot_and_other_keys_equals_a_join(spark):
     answers = table.where("key < 1000000").groupBy("key").count().selectExpr("key", "count AS n", "key * 7 AS answer")
     got = sorted(map(tuple, look_up(table, answers, "key", len(rows)).select("row", "key", "answer").collect()))
     assert got == sorted((r, k, 7 * k) for r, k in rows if k is not None and k < 10**6)
+    every = look_up(table, answers, "key", len(rows), every=True).select("row", "key", "answer")
+    assert sorted(map(str, every.collect())) == sorted(str(Row(row=r, key=k, answer=None if k is None or k >= 10**6 else 7 * k)) for r, k in rows)
+    # the rows of the hot key, and those without one, don't meet: the join deals by the flag as well
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = look_up(table, answers, "key", len(rows), every=True)
+        assert re.search(r"hashpartitioning\(key#\d+L, _flag#\d+", joined._jdf.queryExecution().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_stars_of_hubs(spark):
