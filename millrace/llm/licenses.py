@@ -133,7 +133,7 @@ def scan(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     hashed = F.transform("units", lambda u: F.struct(F.sha2(u, 256).alias("hash"), u.alias("unit")))
     looked = written(looked.select("doc_id", "path", "is_licence", "declared", hashed.alias("units")))
     total = looked.count()
-    scored = score_units(looked.select(F.explode("units").alias("u")).select("u.hash", "u.unit")).where(F.col("cosine") >= min_cosine)
+    scored = written(score_units(looked.select(F.explode("units").alias("u")).select("u.hash", "u.unit")).where(F.col("cosine") >= min_cosine))
 
     # per distinct set of unit hashes, the best unit; files of equal units share the answer
     slim = looked.select("doc_id", "path", directory(F.col("path")).alias("dir"), "is_licence", "declared", F.array_sort(F.transform("units", lambda u: u["hash"])).alias("hashes")).withColumn("key", F.when(F.size("hashes") > 0, F.sha2(F.concat_ws(",", "hashes"), 256)))
