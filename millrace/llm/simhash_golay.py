@@ -188,7 +188,8 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     code = F.shiftright("key", 34).cast("int")
     inside = reduce(lambda case, j: case.when(code < 6 * (j + 1), F.lit(_mask(SEGMENTS[j]))), (1, 2), F.when(code < 6, F.lit(_mask(SEGMENTS[0]))))
     same = (F.col("slot") == 0) | (x.bitwiseAND(inside) != 0)
-    found = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= most_bits) & (code == _found_by(x)) & same)
+    # the planner takes keys to be as few as fingerprints and would broadcast them: they are about 96 times as many
+    found = a.join(b.hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= most_bits) & (code == _found_by(x)) & same)
     return found.select("a", "b").distinct()
 
 
