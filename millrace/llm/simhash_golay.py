@@ -44,7 +44,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 10), (43, 11), (54, 10))
 COMBINATIONS = [(j, p, q) for j in range(3) for p, q in combinations([b for b in range(6) if b // 2 != j], 2)]
 #: Fingerprints that share two exact blocks and meet in one task at most, on the side that is dealt out.
 HOT_BLOCK = 4096
-#: Fingerprints whose keys, about 96 each, one task makes.
+#: Fingerprints whose keys, about 96 each, one task makes at most; there are 8 tasks at least, as the keys of a single one
+#: would be joined in that task.
 KEYED_AT_ONCE = 50_000
 #: Rows of hot blocks that are broadcast at most.
 MOST_BROADCAST = 500_000
@@ -176,7 +177,7 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         raise ValueError(f"most_bits must be 0 to {MOST_BITS}")
     ensure_checkpoint_dir(distinct.sparkSession)
     held = distinct.select("fp").checkpoint()
-    keys = map_arrow(held.repartition(max(1, -(-held.count() // KEYED_AT_ONCE))), _key_batches, "key long, fp long, slot byte")
+    keys = map_arrow(held.repartition(max(8, -(-held.count() // KEYED_AT_ONCE))), _key_batches, "key long, fp long, slot byte")
     wide = hot_blocks(held).checkpoint()
     wide = F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide  # 12 bytes a row; more are joined by shuffle
     salted = lambda: keys.join(wide, F.shiftright("key", 12) == F.col("blocks"), "left")
@@ -188,7 +189,7 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     code = F.shiftright("key", 34).cast("int")
     inside = reduce(lambda case, j: case.when(code < 6 * (j + 1), F.lit(_mask(SEGMENTS[j]))), (1, 2), F.when(code < 6, F.lit(_mask(SEGMENTS[0]))))
     same = (F.col("slot") == 0) | (x.bitwiseAND(inside) != 0)
-    # the planner takes keys to be as few as fingerprints and would broadcast them: they are about 96 times as many
+    # the planner may take keys to be as few as fingerprints and broadcast them: they are about 96 times as many
     found = a.join(b.hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("a") < F.col("b")) & (F.bit_count(x) <= most_bits) & (code == _found_by(x)) & same)
     return found.select("a", "b").distinct()
 
