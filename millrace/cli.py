@@ -95,9 +95,9 @@ def run_shard(spark: SparkSession, args) -> None:
 
 
 def run_fertility(spark: SparkSession, args) -> None:
-    from millrace.functions.tokenize import encoder
+    from millrace.functions.tokenize import counter
 
-    docs = files.read_documents(spark, *args.inputs).withColumn("tokens", F.size(encoder(spark, args.tokenizer)("text")).cast("long"))
+    docs = files.read_documents(spark, *args.inputs).withColumn("tokens", counter(spark, args.tokenizer)("text"))
     for row in stats.fertility(docs, "source", ["tokens"]).orderBy("grp").collect():
         _say(**row.asDict())
 

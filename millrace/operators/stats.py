@@ -51,10 +51,10 @@ def fertility(texts: DataFrame, group: str, counts: list[str], overall: str | No
     The overall row adds up totals; ratios are never averaged. `counts` are columns with a text's token counts; the
     ratios are those of the first one."""
     sums = [F.count("*").alias("docs"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"), F.sum(word_count(F.col("text"))).cast("long").alias("words"), *[F.sum(c).cast("long").alias(c) for c in counts]]
-    if overall is None:
-        out = texts.groupBy(F.col(group).alias("grp")).agg(*sums)
-    else:
-        rolled = texts.withColumn("grp", F.col(group)).rollup("grp").agg(F.grouping("grp").alias("_all"), *sums)
+    out = texts.groupBy(F.col(group).alias("grp")).agg(*sums)
+    if overall is not None:
+        # the groups' totals are rolled up, not the texts, which would be doubled and counted twice
+        rolled = out.rollup("grp").agg(F.grouping("grp").alias("_all"), *[F.sum(c).alias(c) for c in out.columns[1:]])
         out = rolled.withColumn("grp", F.when(F.col("_all") == 1, F.lit(overall)).otherwise(F.col("grp"))).drop("_all")
     if not counts:
         return out

@@ -89,9 +89,9 @@ def tokenizer_fertility(spark, sf_dir):
     """Compression of a published tokenizer by language."""
     import public_tokenizers
 
-    from millrace.functions.tokenize import encoder
+    from millrace.functions.tokenize import counter
     from millrace.operators import stats
 
-    encode = encoder(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    docs = table(spark, sf_dir, "documents").select("lang", "text", F.size(encode("text")).cast("long").alias("tokens"))
+    count = counter(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select("lang", "text", count("text").alias("tokens"))
     return stats.fertility(docs, "lang", ["tokens"])

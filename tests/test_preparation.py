@@ -19,6 +19,49 @@ def test_code_pieces_equal_the_pattern(spark):
     assert {r["k"]: r["p"] for r in got} == {k: regex.findall(CODE_PATTERN.removeprefix("(?U)"), t) for k, t in enumerate(texts)}
 
 
+def test_counts_are_those_of_the_encoder_and_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from millrace.functions.tokenize import counter, encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["SELECT a1234567 FROM  t\n\n", "héllo wörld 中文 😀", "", None, "x" * 3000, "word " * 2000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", encoder(spark, path)("t").alias("ids"), counter(spark, path)("t").alias("n")).collect()
+    assert {r["k"]: (r["ids"], r["n"]) for r in rows} == {k: (ids := library.encode(t or "").ids, len(ids)) for k, t in enumerate(texts)}
+
+
+def test_encoding_keeps_few_results_in_memory(spark):
+    import public_tokenizers
+
+    from millrace.functions.tokenize import encoder
+
+    def status(name):
+        with open("/proc/self/status") as file:
+            return next(int(line.split()[1]) for line in file if line.startswith(name)) // 1024
+
+    @F.pandas_udf("string")
+    def start(texts):
+        import builtins
+
+        if not hasattr(builtins, "_base_mb"):
+            with open("/proc/self/clear_refs", "w") as file:
+                file.write("5")  # sets the peak to what is used now
+            builtins._base_mb = status("VmRSS")
+        return texts
+
+    @F.pandas_udf("long")
+    def grown(ids):
+        import builtins
+
+        return ids.map(lambda _: status("VmHWM") - builtins._base_mb)
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(4000).coalesce(1)
+    encode = encoder(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    assert docs.select(grown(encode(start("text"))).alias("mb")).agg(F.max("mb")).first()[0] < 200
+
+
 def test_pairs_ladder_sink_and_manifest(spark, tmp_path):
     rows = spark.createDataFrame([(k, "gone" if k == 3 else "d", "q" * (20 * k), "", "SELECT 1") for k in range(8)], "index long, db_id string, question string, evidence string, sql string")
     verbatim = spark.createDataFrame([("d", "x" * 100)], "db_id string, ddl string")
