@@ -65,6 +65,48 @@ def test_quality_scores_equal_plain_loops(spark):
         assert math.isclose(r["score"], want, rel_tol=1e-9) and r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == fold(r["doc_id"])
 
 
+def test_ranker_takes_every_pair():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(600, 4))
+    label = (x[:, 0] + draw.normal(size=600) > 0.8).astype(int)
+    model = quality_rank.fit(x, label)
+    scaled = np.clip((x - model.centre) / model.spread, -8, 8)
+    differences = (scaled[label == 1][:, None] - scaled[label == 0][None]).reshape(-1, 4)
+    assert len(differences) > 40_000
+    slope = 1e-3 * model.weight - differences.T @ (1 / (1 + np.exp(differences @ model.weight))) / len(differences)
+    assert np.abs(slope).max() < 1e-10
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    draw = np.random.default_rng(5)
+    words = ["Alpha", "beta", "42", "#", "gamma.", "\n", "DELTA", "é"]
+    texts = [" ".join(draw.choice(words, 1 + k % 23)) for k in range(10_000)]
+    given = [int(("#" in t) + draw.normal() < 0.7) for t in texts]
+    docs = documents(spark, list(enumerate(texts)) + [(1, texts[1])]).repartition(5)
+    table = spark.createDataFrame([(k, q, 0) for k, q in enumerate(given)], "doc_id long, quality int, toxic int")
+    rows = [k for k in range(10_000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert len(rows) > 6_000
+    x, label = np.array([quality_rank.features(texts[k].encode()) for k in rows]), np.array([given[k] for k in rows])
+    for quantile in (None, 0.3):
+        model, want = quality_rank.learn(docs, table, quantile=quantile), quality_rank.fit(x, label, quantile=quantile)
+        assert np.allclose(model.centre, want.centre) and np.allclose(model.spread, want.spread) and np.allclose(model.weight, want.weight)
+        assert math.isclose(model.cut, want.cut, rel_tol=1e-9) and math.isclose(model.gap, want.gap)
+
+
+def test_cut_is_the_best_whatever_the_parts(spark):
+    draw = np.random.default_rng(6)
+    for size in (1, 7, 40):
+        rank, label = np.sort(draw.integers(0, 12, size)).astype(float), draw.integers(0, 2, size)
+        good, bad = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
+        balance = lambda cut: good * int(((label == 0) & (rank < cut)).sum()) - bad * int(((label == 1) & (rank < cut)).sum())
+        table = quality_rank._Table(spark.createDataFrame(list(zip(rank.tolist(), label.tolist())), "rank double, label int").repartition(3))
+        one = quality_rank._best_cut(quality_rank._Rows(rank, label).runs(good, bad))
+        assert one == quality_rank._best_cut(table.runs(good, bad)) and balance(one) == max(balance(c) for c in rank)
+        pieces = [(rank[k : k + 3], (label == 1)[k : k + 3].astype(int), (label == 0)[k : k + 3].astype(int)) for k in range(0, size, 3)]
+        assert one == quality_rank._best_cut(quality_rank._runs(pieces, good, bad))
+        assert table.places([0, size - 1]) == [rank[0], rank[-1]]
+
+
 def test_features_equal_their_definitions():
     text = "The THE the cat, 42 #x é. Yes!\nnew line a b. "
     got = dict(zip(quality_rank.FEATURES, quality_rank.features(text.encode())))
